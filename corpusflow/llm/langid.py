@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64
-from .common import arrow_limits, held_out
+from .common import arrow_limits, held_out, stored
 from .letters import LetterWords, text_blocks
 
 UNKNOWN = "und"
@@ -120,7 +120,8 @@ def fit_language_model(df: DataFrame, teaches: Column, doc_id: str = "doc_id", t
                         yield pa.RecordBatch.from_arrays([pa.array([value] * len(found)), pa.array(np.full(len(found), n, np.int32)), pa.array(found.view(np.int64)), pa.array(counts)], names=["lang", "n", "name", "count"])
 
     counted = sample.mapInArrow(count, "lang string, n int, name long, count long").groupBy("n", "name", "lang").agg(F.sum("count").alias("count"))
-    by_name = counted.groupBy("n", "name").agg(F.collect_list(F.struct("lang", "count")).alias("by_lang"), F.sum("count").alias("total")).where("total > 1 OR n > 0")
+    by_name = counted.groupBy("n", "name").agg(F.collect_list(F.struct("lang", "count")).alias("by_lang"), F.sum("count").alias("total")).where("total > 1")
+    by_name = stored(by_name, "language-counts")
     found: dict[int, list] = {}
     for n, most in ((0, MAX_WORDS), *((n, MAX_PIECES) for n in PIECES)):
         found[n] = by_name.where(F.col("n") == n).orderBy(F.desc("total"), "name").limit(most).collect()

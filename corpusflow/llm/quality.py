@@ -145,26 +145,38 @@ RULES = (
 )
 
 
-def profile(df: DataFrame, rules=RULES, text: str = "text", gate: Rule | None = None, sample_rows: int = 512) -> list[dict]:
-    """Cost (seconds) and rejections of each rule on at most ``sample_rows`` rows, measured where the
-    rows are.  Only these sums reach the driver.  Rows that the gate rejects don't count."""
+#: The sample: so many rows of so many partitions, spread over the table.
+SAMPLE_ROWS, SAMPLE_PARTITIONS = 128, 8
+
+
+def profile(df: DataFrame, rules=RULES, text: str = "text", gate: Rule | None = None) -> list[dict]:
+    """Cost (seconds) and rejections of each rule on the first SAMPLE_ROWS rows of SAMPLE_PARTITIONS
+    partitions, measured where the rows are.  Only these sums reach the driver.  Rows that the gate
+    rejects don't count."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seconds, rejected, seen = np.zeros(len(rules)), np.zeros(len(rules), np.int64), 0
         for batch in batches:
-            block = TextBlock.of(batch.column(0))
+            if seen >= SAMPLE_ROWS:
+                continue
+            block = TextBlock.of(batch.column(0).slice(0, SAMPLE_ROWS - seen))
+            seen += len(block)
             if gate is not None:
                 block = block.take(np.flatnonzero(~gate.rejects(block)))
-            seen += len(block)
             for k, rule in enumerate(rules):
                 fresh, began = TextBlock(block.data, block.offsets), time.perf_counter()
                 rejected[k] += int(rule.rejects(fresh).sum())
                 seconds[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "seconds": seconds, "rejected": rejected, "seen": [seen] * len(rules)})
+        yield pa.RecordBatch.from_pydict({"rule": [r.name for r in rules], "seconds": seconds, "rejected": rejected})
 
-    sample = df.select(text).limit(sample_rows)
-    sums = sample.mapInArrow(measure, "rule string, seconds double, rejected long, seen long").groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "rejected", "seen")))
-    return [row.asDict() for row in sums.collect()]
+    measured = df.select(text).mapInArrow(measure, "rule string, seconds double, rejected long").rdd
+    count = measured.getNumPartitions()
+    chosen = sorted({i * count // SAMPLE_PARTITIONS for i in range(SAMPLE_PARTITIONS)}) if count else []
+    sums = {r.name: {"rule": r.name, "seconds": 0.0, "rejected": 0} for r in rules}
+    for row in df.sparkSession.sparkContext.runJob(measured, list, chosen):
+        sums[row.rule]["seconds"] += row.seconds
+        sums[row.rule]["rejected"] += row.rejected
+    return list(sums.values())
 
 
 def order_rules(rules, measured: list[dict]) -> list[Rule]:
@@ -191,13 +203,13 @@ def run_cascade(block: TextBlock, rules, gate: Rule | None = None) -> np.ndarray
     return verdict
 
 
-def quality_cascade(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=RULES, gate: Rule | None = BASE, sample_rows: int = 512) -> DataFrame:
+def quality_cascade(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules=RULES, gate: Rule | None = BASE) -> DataFrame:
     """Word statistics, the gate's and the cascade's verdict for every row.
 
     ``rejected_by`` names the first rule that rejected the text in the order chosen here.
     """
     arrow_limits(df.sparkSession)
-    ordered = order_rules(rules, profile(df, rules, text, gate, sample_rows))
+    ordered = order_rules(rules, profile(df, rules, text, gate))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,6 +224,20 @@ def quality_cascade(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     return df.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(judge, f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
 
 
+def keep_good(df: DataFrame, keep: tuple[str, ...], text: str = "text", rules=RULES, gate: Rule | None = BASE) -> DataFrame:
+    """The rows, with the columns ``keep``, that neither the gate nor a rule rejects."""
+    arrow_limits(df.sparkSession)
+    ordered = order_rules(rules, profile(df, rules, text, gate))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = run_cascade(TextBlock.of(batch.column(0)), ordered, gate) == len(ordered)
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=list(keep)).filter(pa.array(good))
+
+    chosen = df.select(F.col(text).alias("_text"), *keep)
+    return chosen.mapInArrow(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]))
+
+
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesops import U64, text_buffers, windows, word_spans
+from .bytesops import U64, mix, text_buffers, windows, word_spans
 from .common import Stored, arrow_limits, stored, text_key
 from .components import connected_components
 
@@ -53,7 +53,7 @@ def gram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
         a, b = pointers[i], pointers[i + 1]
         if 0 < b - a < n:
             whole, _ = windows(names[a:b], np.array([0, b - a]), int(b - a))
-            out.append(whole ^ (_SHORT * U64(b - a)))
+            out.append(whole ^ mix(np.full(1, b - a, U64) * _SHORT))
         else:
             out.append(np.unique(grams[edges[i] : edges[i + 1]]))
     return out

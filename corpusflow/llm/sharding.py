@@ -119,7 +119,7 @@ def kd_shards(df: DataFrame, shards: int = 8, **columns: str) -> DataFrame:
         splitting = {k: v for k, v in nodes.items() if v[1] > 1}
         axes = _widest(points, splitting)
         cuts = {node: _Cut(node, axis, total, total * (nodes[node][1] // 2) / nodes[node][1]) for node, (axis, total) in axes.items()}
-        keyed = points.withColumn("key", _key(_choose([(n, F.lit(c.axis)) for n, c in cuts.items()], F.col("node")))) if cuts else points
+        keyed = stored(points.withColumn("key", _key(_choose([(n, F.lit(c.axis)) for n, c in cuts.items()], F.col("node")))), "keyed") if cuts else points
         while open_cuts := {n: c for n, c in cuts.items() if not c.done}:
             inside = keyed.where(_choose([(n, c.in_range()) for n, c in open_cuts.items()], F.col("node")))
             sums = inside.groupBy("node", _choose([(n, c.bucket()) for n, c in open_cuts.items()], F.col("node")).alias("bucket")).agg(F.sum("size").alias("bytes"))
@@ -135,7 +135,7 @@ def kd_shards(df: DataFrame, shards: int = 8, **columns: str) -> DataFrame:
                 below[2 * node + 2] = (first + n // 2, n - n // 2)
         if cuts:
             right = F.coalesce(_choose([(n, c.goes_right()) for n, c in cuts.items()], F.col("node")), F.lit(False))
-            points = keyed.withColumn("node", 2 * F.col("node") + F.when(right, 2).otherwise(1)).drop("key")
+            points = stored(keyed.withColumn("node", 2 * F.col("node") + F.when(right, 2).otherwise(1)).drop("key"), "points")
         else:
             points = points.withColumn("node", 2 * F.col("node") + 1)
         nodes = below

@@ -26,6 +26,8 @@ SAMPLE_ROWS = 8000
 MAX_WORDS = 40_000
 MAX_PIECES = 60_000
 PIECES = (4, 3, 2, 1)
+#: Added to every frequency, the same for languages with few examples and many.
+FLOOR = 1e-6
 #: Pieces at a word's first letter count as another kind than pieces inside it.
 _HEAD = U64(0xA24BAED4963EE407)
 
@@ -60,7 +62,7 @@ class LanguageModel:
     def table(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(names)
         names, counts = names[order], counts[order].astype(float)
-        return names, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * (len(names) + 1))).astype(np.float32)
+        return names, np.log(counts / np.maximum(counts.sum(0), 1) + FLOOR).astype(np.float32)
 
     @staticmethod
     def find(table, names: np.ndarray) -> np.ndarray:

@@ -111,7 +111,7 @@ def test_long_text_is_ranked_in_blocks(spark, monkeypatch):
     whole = s.picks(*text_buffers(pa.array([text, "short"])))
     monkeypatch.setattr(s, "BLOCK", 1000)
     parts = s.picks(*text_buffers(pa.array([text, "short"])))
-    spread = lambda p: sorted((r, w, int(k)) for r, a, b, k, _ in zip(*p, strict=True) for w in range(a, b + 1))
+    spread = lambda p: sorted((r, w, int(k)) for r, a, b, _, k, _ in zip(*p, strict=True) for w in range(a, b + 1))
     assert spread(whole) == spread(parts) and len(spread(whole)) == len(text) - 399
 
 

@@ -144,10 +144,10 @@ query("lr_schedule", "SELECT i AS step, round(CASE WHEN i < 100 THEN 0.0003 * (i
 )
 _SHAPES = [(8192, 320, 8, 8, 4), (8192, 384, 10, 6, 2), (12000, 512, 12, 8, 8)]
 query("ff_dim", "SELECT d, CAST(64 * round_even(d * 8 / 3.0 / 64, 0) AS BIGINT) AS ff FROM range(64, 2048, 32) t(d)")(lambda spark, d: spark.range(64, 2048, 32).select(F.col("id").alias("d"), E.ff_dim(F.col("id")).alias("ff")))
-query("param_count", "SELECT v, d, CAST(v * d + l * (2 * d * d + 2 * d * (d // h * k) + 3 * d * CAST(64 * round_even(d * 8 / 3.0 / 64, 0) AS BIGINT) + 2 * d) + d AS BIGINT) AS params FROM " + values(_SHAPES, "v", "d", "l", "h", "k"))(
+query("param_count", "SELECT CAST(v AS BIGINT) AS v, CAST(d AS BIGINT) AS d, CAST(v * d + l * (2 * d * d + 2 * d * (d // h * k) + 3 * d * CAST(64 * round_even(d * 8 / 3.0 / 64, 0) AS BIGINT) + 2 * d) + d AS BIGINT) AS params FROM " + values(_SHAPES, "v", "d", "l", "h", "k"))(
     lambda spark, d: inline(spark, _SHAPES, "v long, d long, l long, h long, k long").select("v", "d", E.param_count(*map(F.col, "vdlhk")).alias("params"))
 )
-query("chinchilla", "SELECT v, v * 20 AS tokens FROM " + values(_SHAPES, "v", "d", "l", "h", "k"))(lambda spark, d: inline(spark, _SHAPES, "v long, d long, l long, h long, k long").select("v", E.tokens_for(F.col("v")).alias("tokens")))
+query("chinchilla", "SELECT CAST(v AS BIGINT) AS v, CAST(v * 20 AS BIGINT) AS tokens FROM " + values(_SHAPES, "v", "d", "l", "h", "k"))(lambda spark, d: inline(spark, _SHAPES, "v long, d long, l long, h long, k long").select("v", E.tokens_for(F.col("v")).alias("tokens")))
 
 # Tools.
 _SUMS = [("2 + 2 * 3", "8", False), ("7 / 2", "3.5", False), ("2 ** 10", "1024", False), ("sqrt(16)", "4", False), ("1 < 2 < 3", "true", False), ("factorial(5)", "120", False), ("sum([1, 2, 3])", "6", False), ("10 // 4", "2", False), ("max(3, 7)", "7", False), ("[1, 2.0]", "1, 2", False)]
@@ -206,9 +206,9 @@ _PULLS = [(1, "pulling", 50, 200), (2, "verifying", None, None), (3, "pulling",
 query("pull_progress", "SELECT id, CASE WHEN total > 0 THEN status || ' ' || (100 * done // total) || '%' ELSE status END AS line FROM " + values(_PULLS, "id", "status", "done", "total"))(lambda spark, d: inline(spark, _PULLS, "id int, status string, done long, total long").select("id", S.progress_line(F.col("status"), F.col("done"), F.col("total")).alias("line")))
 query("src_lockfile", "SELECT unnest([5, 7, 9]) AS book_id")(lambda spark, d: inline(spark, [('{"ids": [5, 7, 9]}',)], "value string").select(F.explode(F.from_json("value", "ids array<int>")["ids"]).alias("book_id")))
 _LINES = [(1, '{"step": 1, "train_loss": 2.5}'), (2, ""), (3, '{"step": 2, "val_loss": 2.0'), (4, '{"step": 3, "val_loss": 1.5}')]
-query("log_scan", "SELECT * FROM (VALUES (1, 2.5, NULL), (3, NULL, 1.5)) AS v(step, train_loss, val_loss)")(lambda spark, d: S_FILES.parse_log(inline(spark, _LINES, "id int, value string"), E.LOG_SCHEMA).select("step", "train_loss", "val_loss"))
+query("log_scan", "SELECT CAST(step AS BIGINT) AS step, CAST(train_loss AS DOUBLE) AS train_loss, CAST(val_loss AS DOUBLE) AS val_loss FROM (VALUES (1, 2.5, NULL), (3, NULL, 1.5)) AS v(step, train_loss, val_loss)")(lambda spark, d: S_FILES.parse_log(inline(spark, _LINES, "id int, value string"), E.LOG_SCHEMA).select("step", "train_loss", "val_loss"))
 _FRAMES = [(1, '{"message": {"thinking": "hm"}, "done": false}'), (2, '{"message": {"content": "4"}, "done": false}'), (3, '{"done": true, "eval_count": 12, "total_duration": 2000000000}')]
-query("ndjson_frames", "SELECT * FROM (VALUES (1, 'thinking', 'hm', NULL, NULL), (2, 'content', '4', NULL, NULL), (3, 'done', '', 12, 2.0)) AS v(seq, kind, text, tokens, seconds)")(lambda spark, d: S_FILES.chat_frames(inline(spark, _FRAMES, "seq int, value string")))
+query("ndjson_frames", "SELECT seq, kind, text, CAST(tokens AS BIGINT) AS tokens, CAST(seconds AS DOUBLE) AS seconds FROM (VALUES (1, 'thinking', 'hm', NULL, NULL), (2, 'content', '4', NULL, NULL), (3, 'done', '', 12, 2.0)) AS v(seq, kind, text, tokens, seconds)")(lambda spark, d: S_FILES.chat_frames(inline(spark, _FRAMES, "seq int, value string")))
 
 # Search pages: pages wrapped in a result's markup; links of the pages' own markup are another pattern.
 _PAGE = "'<a class=\"result__a\" href=\"//x.example/l/?uddg=https%3A%2F%2Fa.b%2F' || page_id || '&r=1\">Title <b>' || page_id || '</b> &amp; more</a> <a class=\"result__snippet\" href=\"u\">Text ' || page_id || '</a>'"

@@ -33,13 +33,14 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC."""
-    return F.pandas_udf(_nfc, "string")(text)
+    """Unicode NFC. Only texts with a character from U+0300 on can change, so only they go to Python."""
+    changing = F.when(text.rlike(r"[^\x{0000}-\x{02FF}]"), text)
+    return F.coalesce(F.pandas_udf(_nfc, "string")(changing), text)
 
 
 def html_unescape(text: Column) -> Column:
-    """HTML5 entities become characters."""
-    return F.pandas_udf(_unescape, "string")(text)
+    """HTML5 entities become characters; texts without an ampersand stay in the JVM."""
+    return F.coalesce(F.pandas_udf(_unescape, "string")(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def newlines(text: Column) -> Column:

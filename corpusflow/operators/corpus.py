@@ -49,15 +49,28 @@ def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
+def seeded_place(df: DataFrame, keys: list[str], seed: int = SEED, name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in the seeded order of all rows.
+
+    Rows are counted by the order's first three hex digits; these 4,096 sums give every bucket's first
+    place, and buckets are numbered side by side, so no task holds all rows."""
+    marked = df.withColumn("_h", seeded(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = marked.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
+    return marked.join(F.broadcast(starts), "_b").withColumn(name, F.col("_start") + inside).drop("_h", "_b", "_start")
+
+
 def held_out_split(df: DataFrame, keys: list[str], text: str = "text", per_mille: int = 5, seed: int = SEED, source: str = "source") -> DataFrame:
     """Adds ``split``: in each source, in seeded order, chunks are held out while those before them
     hold less than the share of its characters.
 
     Characters are summed by source and the order's first three hex digits; that names the one bucket
     in which a source's cut lies.  Only this bucket's rows, a 4096th, are sorted; no other row moves.
+    The input is read three times, so Spark keeps it (in memory, then on disk, with its lineage).
     """
     n = F.length(text).cast("long")
-    marked = df.withColumn("_h", seeded(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
+    marked = df.persist().withColumn("_h", seeded(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
     sums = marked.groupBy(F.col(source).alias("_s"), "_b").agg(F.sum(n).alias("_n"))
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("_s")))
@@ -113,9 +126,8 @@ def systematic_sample(df: DataFrame, order: list[str], every: int) -> DataFrame:
 def block_sample(df: DataFrame, size: Column, keys: list[str], target: int, block: int = 200, least: int = 30_000, seed: int = SEED) -> DataFrame:
     """Seeded order, whole blocks until the target bytes are reached (looked at between blocks); rows
     under ``least`` bytes are left out at the end and don't count."""
-    ranked = df.withColumn("_size", F.when(size >= least, size).otherwise(0)).withColumn("_h", seeded(seed, *keys))
-    ordered = Window.orderBy("_h", *keys)
-    ranked = ranked.withColumn("_block", F.floor((F.row_number().over(ordered) - 1) / block))
+    placed = seeded_place(df.withColumn("_size", F.when(size >= least, size).otherwise(0)), keys, seed, "_place")
+    ranked = placed.withColumn("_block", F.floor((F.col("_place") - 1) / block))
     before = ranked.groupBy("_block").agg(F.sum("_size").alias("_bytes"))
     before = before.withColumn("_before", F.coalesce(F.sum("_bytes").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_bytes")
-    return ranked.join(before, "_block").where((F.col("_before") < target) & (F.col("_size") > 0)).drop("_size", "_h", "_before")
+    return ranked.join(before, "_block").where((F.col("_before") < target) & (F.col("_size") > 0)).drop("_size", "_place", "_before", "_block")

@@ -113,7 +113,7 @@ query("union_sources", f"WITH {_SPLIT} SELECT split, count(*) AS chunks, CAST(su
     lambda spark, d: split(spark, d).where("split = 'train'").unionByName(split(spark, d).where("split = 'val'")).groupBy("split").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
 )
 query("global_order", f"WITH {_SPLIT} SELECT doc_id, chunk_idx, row_number() OVER (ORDER BY h, doc_id, chunk_idx) AS place FROM t WHERE split = 'val'")(
-    lambda spark, d: split(spark, d).where("split = 'val'").withColumn("h", C.seeded(C.SEED, "doc_id", "chunk_idx")).selectExpr("doc_id", "chunk_idx", "cast(row_number() over (order by h, doc_id, chunk_idx) as bigint) as place")
+    lambda spark, d: C.seeded_place(split(spark, d).where("split = 'val'"), ["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx", "place")
 )
 _MANIFEST = f"""{_SPLIT}, m AS (SELECT source, count(*) AS chunks, count(*) FILTER (split = 'train') AS chunks_train, count(*) FILTER (split = 'val') AS chunks_val, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(coalesce(sum(length(text)) FILTER (split = 'val'), 0) AS BIGINT) AS characters_val FROM t GROUP BY ROLLUP (source)),
 x AS (SELECT source, count(*) AS n FROM c WHERE length(text) < 200 GROUP BY ROLLUP (source))"""

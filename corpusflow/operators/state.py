@@ -87,6 +87,20 @@ def progress_line(status: Column, done: Column, total: Column) -> Column:
     return F.when(total > 0, F.format_string("%s %d%%", status, F.floor(100 * done / total))).otherwise(status)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the cluster's shared folder; local mode with none set gets one of its own."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="corpusflow-")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
 def replay_agent(requests: DataFrame, model: Callable[[DataFrame], DataFrame], tools: Callable[[Column, Column], Column], most: int) -> DataFrame:
     """Run every request (conv_id, prompt) until its model asks for no tool, all of them in step.
 
@@ -94,6 +108,7 @@ def replay_agent(requests: DataFrame, model: Callable[[DataFrame], DataFrame], t
     that still ask after ``most`` rounds come back with ``exhausted``.  One job for each round.
     """
     open_ = requests.select("conv_id", F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("transcript"))
+    ensure_checkpoint_dir(requests.sparkSession)
     done = None
     for k in range(most):
         answered = model(open_).checkpoint()

@@ -78,6 +78,9 @@ def apply_merge(ids: Column, left: int, right: int, new: int) -> Column:
 
 def train_distributed(words: DataFrame, merges: int, keep_every: int = 8) -> list[tuple[int, int]]:
     """The first merges with every count made by Spark; checkpoints cut the lineage."""
+    from .state import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(words.sparkSession)
     words, out = words.select("ids", "freq"), []
     for k in range(merges):
         best = best_pair(pair_counts(words)).first()

@@ -36,7 +36,7 @@ from .components import connected_components
 HOT = 500_000
 STAR_ROUNDS = 2
 #: N-grams a task counts before it forgets those it saw once; documents whose class it remembers.
-COUNTED, REMEMBERED = 4_000_000, 1_000_000
+COUNTED, REMEMBERED = 1_500_000, 1_000_000
 #: Up to so many ids go out as a broadcast, more are joined.
 BROADCAST_ROWS = 500_000
 #: Percent.
@@ -191,35 +191,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, text: str, n:
     return links
 
 
+def _sized(small: DataFrame) -> DataFrame:
+    """A stored table as a broadcast if it is small enough, else as it is."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (smallest id with an equal set) of every row."""
     arrow_limits(df.sparkSession)
     table = _prefixes(df, doc_id, text, n, percent).read()
     classes = stored(table.where("n_grams > 0").groupBy("class").agg(F.min("id").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
-    same = stored(table.where("n_grams > 0").join(classes, "class").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), "same-class")
-
-    grams = table.where(F.col("prefix").isNotNull()).select("id", F.col("n_grams").alias("n"), F.posexplode("prefix").alias("p", "gram"))
+    # Of equal sets that several tasks met, one goes on.
+    extra = stored(table.where("prefix IS NOT NULL").select("id", "class").join(classes, "class").where("id <> rep").select("id"), "equal-sets")
+    grams = table.where("prefix IS NOT NULL").join(_sized(extra), "id", "left_anti").select("id", F.col("n_grams").alias("n"), F.posexplode("prefix").alias("p", "gram"))
     by_gram = Window.partitionBy("gram")
-    shared = grams.withColumn("least", F.min("id").over(by_gram)).withColumn("most", F.max("id").over(by_gram)).where("least <> most").drop("least", "most")
-    shared = stored(shared, "shared-grams")
+    shared = stored(grams.withColumn("comp", F.col("id")).withColumn("low", F.min("comp").over(by_gram)).withColumn("high", F.max("comp").over(by_gram)).where("low <> high").select("id", "n", "p", "gram", "comp"), "shared-grams")
 
-    links = same
-    tried = None
+    links = tried = comps = None
     for turn in range(STAR_ROUNDS + 1):
-        comps = stored(connected_components(links), "components")
-        rows = shared.join(comps, shared.id == comps.node, "left").select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp"))
+        if comps is not None:
+            rows = shared.drop("comp").join(_sized(comps), F.col("id") == F.col("node"), "left").select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp"))
+            split = rows.withColumn("low", F.min("comp").over(by_gram)).withColumn("high", F.max("comp").over(by_gram)).where("low <> high")
+            shared = stored(split.select("id", "n", "p", "gram", "comp"), "shared-grams")
         if turn < STAR_ROUNDS:
             at = F.struct("comp", "id", "n", "p")
-            ends = rows.withColumn("low", F.min(at).over(by_gram)).withColumn("high", F.max(at).over(by_gram))
-            met = ends.where("low.comp <> high.comp").withColumn("other", F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high")))
+            ends = shared.withColumn("low", F.min(at).over(by_gram)).withColumn("high", F.max(at).over(by_gram))
+            met = ends.withColumn("other", F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high")))
             met = met.where(_passes(F.col("n"), F.col("p"), F.col("other.n"), F.col("other.p"), percent))
             counted = met.groupBy("id", F.col("other.id").alias("lead")).agg(F.count("*").alias("c"))
             chosen = counted.groupBy("id").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
             pairs = chosen.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
         else:
-            split = rows.withColumn("low", F.min("comp").over(by_gram)).withColumn("high", F.max("comp").over(by_gram)).where("low <> high")
-            split = stored(split.select("id", "n", "p", "gram", "comp"), "split-grams")
-            one, two = split.alias("a"), split.alias("b")
+            one, two = shared.alias("a"), shared.alias("b")
             pairs = one.join(two, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") < F.col("b.comp")) & _passes(F.col("a.n"), F.col("a.p"), F.col("b.n"), F.col("b.p"), percent))
             pairs = pairs.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
         if tried is not None:
@@ -227,12 +230,12 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         pairs = stored(pairs, "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = _verified(pairs, df, table, text, n, percent).read()
-        links = links.unionAll(found)
-    comps = connected_components(links)
-    rows = table.join(comps, table.id == comps.node, "left").select("doc_id", "n_grams", "class", F.coalesce("component", "id").alias("comp"))
+        links = found if links is None else links.unionAll(found)
+        comps = stored(connected_components(links), "components")
+    rows = table.select("id", "doc_id", "n_grams", "class").join(classes, "class", "left").join(comps, F.col("rep") == F.col("node"), "left")
+    rows = rows.select("doc_id", "n_grams", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep", "id").alias("comp"))
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = rows.join(least, "comp").join(classes.select("class", "class_id"), "class", "left")
-    return named.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return rows.join(least, "comp").select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id", "class_id")
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -179,11 +179,11 @@ class ByteVocabulary:
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Each pre-token's ids as little-endian unsigned 32-bit integers."""
         found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list({p for p, f in zip(pieces, found, strict=True) if f is None})
+        missing = [i for i, f in enumerate(found) if f is None]
+        if missing:
             fresh: dict[str, bytes] = {}
             hard = []
-            for p in new:
+            for p in {pieces[i] for i in missing}:
                 whole = self.rank.get(raw := p.encode())
                 if whole is None:
                     hard.append((p, raw))
@@ -199,7 +199,8 @@ class ByteVocabulary:
                     at = end
             if len(self.known) < MEMORY:
                 self.known.update(fresh)
-            found = [f if f is not None else fresh[p] for p, f in zip(pieces, found, strict=True)]
+            for i in missing:
+                found[i] = fresh[pieces[i]]
         return found
 
     def decode(self, ids: np.ndarray) -> bytes:

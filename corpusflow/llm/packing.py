@@ -38,7 +38,8 @@ MEMORY = 500_000
 BLOCK = 2 << 20
 #: Words whose ids are found here: no controls, no spaces, nothing that normalisation recombines.
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-įı-ɏ]+")
-_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Signs that are a piece of their own behind a word.
+_STOPS = frozenset(b".,;:!?")
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,10 +72,18 @@ class WordVocabulary:
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         found = list(map(self.known.get, words))
-        if None in found:
-            new = list({w for w, f in zip(words, found, strict=True) if f is None})
+        missing = [i for i, f in enumerate(found) if f is None]
+        if missing:
             fresh, plain, pieces = {}, [], []
-            for word in new:
+            for word in {words[i] for i in missing}:
+                if word.isalpha():
+                    plain.append((word, 1))
+                    pieces.append(word.lower())
+                    continue
+                if word[-1] in _STOPS and word[:-1].isalpha():
+                    plain.append((word, 2))
+                    pieces += (word[:-1].lower(), word[-1:])
+                    continue
                 text = word.decode()
                 if _PLAIN.fullmatch(text):
                     own = [p.encode() for p in self.split.findall(text.lower())]
@@ -97,7 +106,8 @@ class WordVocabulary:
                     at = end
             if len(self.known) < MEMORY:
                 self.known.update(fresh)
-            found = [f if f is not None else fresh[w] for w, f in zip(words, found, strict=True)]
+            for i in missing:
+                found[i] = fresh[words[i]]
         return found
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:

@@ -1,18 +1,20 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 A position's rank at length h is a 64-bit name of the h bytes that start there; the rank at 2h names
-the pair of ranks at the position and h further on: 8, 16, 32, ... 512, and 400 from two overlapping
-256s.  Spark groups positions by rank at growing lengths and drops those whose rank is unique:
+the pair of ranks at the position and h further on: 8, 16, 32, ... 512, and other lengths from two
+that overlap.  Spark groups positions by rank at growing lengths and drops those whose rank is unique:
 
 1. at 128 bytes, of the positions that each 400-byte window's least rank picks (equal windows pick
    the same place, so a window whose pick is unique is unique);
-2. at the length of the span that a run of windows with one pick covers together (400 to 672 bytes):
-   where that span occurs twice, all its windows are repeated at once;
-3. at 400 bytes, position by position, for the windows that are left, against one copy of each span
-   of step 2 with the same pick.
+2. at 385 bytes, for groups of 16 windows that lie alike around their picks: these bytes are in every
+   window of the group, so where they are unique the windows are;
+3. at 400 bytes, window by window.
 
-Full suffix ranks would need every byte as a row in every round; steps 1 and 2 keep the shuffles at
-about a hundredth of that, with the same result.  Equal whole texts are found by a 128-bit name.
+At each step a run of windows whose whole span of bytes occurs twice is settled at once, and only one
+copy of it goes on, for others to be held against; what isn't settled goes on itself.
+
+Full suffix ranks would need every byte as a row in every round; this way the rows are about a
+hundredth of the bytes, with the same result.  Equal whole texts are found by a 128-bit name.
 
 Defined results: a null text is empty; texts under 400 bytes, and empty ones, keep every byte;
 matches never cross rows, and a repeated row is a match for its copy; an empty table gives an empty
@@ -35,10 +37,12 @@ from .common import Stored, arrow_limits, stored, text_key
 
 LENGTH = 400
 PICK = 128
+#: Windows in a group of step 2.
+GROUP = 16
 #: Bytes of text ranked at a time.
 BLOCK = 1 << 18
 REMEMBERED = 1_000_000
-#: Spans sent as a broadcast; more are joined.
+#: Ranks or runs sent as a broadcast; more are joined.
 BROADCAST_ROWS = 1_000_000
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _PLACE = U64((1 << 24) - 1)
@@ -98,8 +102,8 @@ def _blocks(offsets: np.ndarray):
 
 
 def picks(data: np.ndarray, offsets: np.ndarray):
-    """Runs of windows with one pick: (row, first window, last window, rank of the pick, rank of the span)."""
-    out = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0, U64)] * 2]
+    """Runs of windows with one pick: (row, first and last window, pick, rank of the pick, rank of the span)."""
+    out = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0, U64)] * 2]
     for first_row, end_row, lo, hi in _blocks(offsets):
         if hi - lo < LENGTH:
             continue
@@ -124,18 +128,32 @@ def picks(data: np.ndarray, offsets: np.ndarray):
             name[some] = pair(rank[h][start[some]], rank[h][start[some] + span[some] - h])
         name = pair(name, span.astype(U64) << U64(20) | (at[start] - start).astype(U64))
         shift = lo - offsets[first_row + row[start]]
-        out.append([first_row + row[start], start + shift, last + shift, rank[PICK][at[start]], name])
+        out.append([first_row + row[start], start + shift, last + shift, at[start] + shift, rank[PICK][at[start]], name])
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def window_ranks(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, ranks at LENGTH) of runs of windows in one text."""
-    where, names = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
-    for a, n in zip(starts.tolist(), counts.tolist(), strict=True):
-        rank = ranks(data[a : a + n + LENGTH - 1], 256)[256]
-        where.append(np.arange(a, a + n))
-        names.append(pair(rank[:n], rank[LENGTH - 256 : LENGTH - 256 + n]))
-    return np.concatenate(where), np.concatenate(names)
+def groups(data: np.ndarray, first, last, at, rank):
+    """Step 2: (run, first, last, rank of what the group's windows share, rank of their span)."""
+    wide = ranks(data, 256)[256]
+    low, high = (at - last) // GROUP, (at - first) // GROUP
+    run = np.repeat(np.arange(len(first)), high - low + 1)
+    j = low[run] + np.arange(len(run)) - np.searchsorted(run, run)
+    start = np.maximum(first[run], at[run] - GROUP * j - GROUP + 1)
+    stop = np.minimum(last[run], at[run] - GROUP * j)
+    core = at[run] - GROUP * j
+    shared = pair(wide[core], wide[core + LENGTH - GROUP + 1 - 256])
+    shared = pair(shared, pair(rank[run], j.astype(U64)))
+    span = pair(wide[start], wide[stop + LENGTH - 256])
+    return run, start, stop, shared, pair(span, (stop - start).astype(U64) << U64(20) | (at[run] - start).astype(U64))
+
+
+def single_windows(data: np.ndarray, first, last, at, rank):
+    """Step 3: each window by itself."""
+    wide = ranks(data, 256)[256]
+    run = np.repeat(np.arange(len(first)), last - first + 1)
+    where = first[run] + np.arange(len(run)) - np.searchsorted(run, run)
+    name = pair(wide[where], wide[where + LENGTH - 256])
+    return run, where, where, pair(rank[run], name), name
 
 
 def covered(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -154,6 +172,56 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+_RUN = "tkey binary, first long, last long, at long, rank long, span long, asks boolean"
+_NAMES = ["tkey", "first", "last", "at", "rank", "span", "asks"]
+
+
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose rank occurs at least twice; ranks are counted before any row moves."""
+    every = Stored(rows, name)
+    twice = stored(every.read().groupBy("rank").count().where("count > 1").select("rank"), f"{name}-ranks")
+    right = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    kept = stored(every.read().join(right, "rank", "left_semi").select(*_NAMES), f"{name}-repeated")
+    every.drop()
+    return kept
+
+
+def _settle(runs: DataFrame, name: str) -> tuple[DataFrame, Stored]:
+    """(runs whose windows all occur twice, runs still open and the copies to hold them against)."""
+    spans = runs.groupBy("rank", "span").agg(F.count("*").alias("n"), F.max("asks").alias("asked"), F.min(F.struct("tkey", "first")).alias("copy"))
+    kinds = spans.groupBy("rank").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("asked").alias("wanted")).where("total > 1 AND wanted")
+    known = spans.join(kinds, "rank").select("rank", "span", "n", "copy", "kinds")
+    held = stored(runs.join(known, ["rank", "span"]), name)
+    is_copy = F.struct("tkey", "first") == F.col("copy")
+    left = held.where((F.col("kinds") > 1) & ((F.col("n") == 1) | is_copy)).withColumn("asks", F.col("asks") & (F.col("n") == 1))
+    rows = left.groupBy("tkey").agg(F.collect_list(F.struct("first", "last", "at", "rank", "asks")).alias("runs"))
+    return held.where("asks AND n > 1").select("tkey", "first", "last"), Stored(rows, f"{name}-open")
+
+
+def _expand(docs: DataFrame, left: Stored, make) -> DataFrame:
+    """The next step's rows of the open runs, made from the texts that hold them."""
+    few = left.read().agg(F.sum(F.size("runs"))).first()[0] or 0
+    right = F.broadcast(left.read()) if few <= BROADCAST_ROWS else left.read()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            lists = batch.column(2)
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key in seen:
+                    continue
+                if len(seen) < REMEMBERED:
+                    seen.add(key)
+                own = lists[i].values
+                first, last, at, rank = (np.asarray(own.field(k), np.int64) for k in range(4))
+                run, start, stop, name, span = make(data[offsets[i] : offsets[i + 1]], first, last, at, rank.view(U64))
+                asks = np.asarray(own.field(4).to_numpy(zero_copy_only=False), bool)[run]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.binary()), pa.array(start), pa.array(stop), pa.array(at[run]), _signed(name), _signed(span), pa.array(asks)], names=_NAMES)
+
+    return docs.join(right, "tkey").select("tkey", "text", "runs").mapInArrow(rows, _RUN)
+
+
 def repeated_windows(df: DataFrame, text: str) -> DataFrame:
     """tkey, first, last: windows that occur elsewhere too; first = -1 for texts that occur whole twice."""
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -169,42 +237,16 @@ def repeated_windows(df: DataFrame, text: str) -> DataFrame:
                     if len(seen) < REMEMBERED:
                         seen.add(key)
             some = batch.take(pa.array(fresh, pa.int64()))
-            row, first, last, rank, span = picks(*text_buffers(some.column(1)))
-            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(first), pa.array(last), _signed(rank), _signed(span)], names=["tkey", "first", "last", "rank", "span"])
-
-    runs = stored(docs.mapInArrow(pick, "tkey binary, first long, last long, rank long, span long"), "picks")
-    spans = runs.groupBy("rank", "span").agg(F.count("*").alias("n"), F.min(F.struct("tkey", "first")).alias("copy"))
-    kinds = spans.groupBy("rank").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    known = stored(spans.join(kinds, "rank").select("rank", "span", "n", "copy", "kinds"), "spans")
-    twice = stored(runs.join(known, ["rank", "span"]).select("tkey", "first", "last", "rank", "n", "kinds", (F.struct("tkey", "first") == F.col("copy")).alias("is_copy")), "repeated-picks")
-    whole_runs = twice.where("n > 1").select("tkey", "first", "last")
-
-    open_runs = twice.where("kinds > 1 AND (n = 1 OR is_copy)")
-    asked = Stored(open_runs.groupBy("tkey").agg(F.collect_list(F.struct("first", "last", "rank", (F.col("n") == 1).alias("asks"))).alias("runs")), "open-runs")
-    few = asked.read().agg(F.sum(F.size("runs"))).first()[0] or 0
-    right = F.broadcast(asked.read()) if few <= BROADCAST_ROWS else asked.read()
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for i, (key, list_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if key in seen:
-                    continue
-                if len(seen) < REMEMBERED:
-                    seen.add(key)
-                first = np.array([r["first"] for r in list_], np.int64)
-                counts = np.array([r["last"] for r in list_], np.int64) - first + 1
-                where, names = window_ranks(data[offsets[i] : offsets[i + 1]], first, counts)
-                rank = np.repeat(np.array([r["rank"] for r in list_], np.int64), counts)
-                asks = np.repeat(np.array([r["asks"] for r in list_], bool), counts)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(where), pa.binary()), pa.array(where), pa.array(rank), _signed(names), pa.array(asks)], names=["tkey", "first", "rank", "window", "asks"])
-
-    singles = stored(docs.join(right, "tkey").select("tkey", "text", "runs").mapInArrow(expand, "tkey binary, first long, rank long, window long, asks boolean"), "windows")
-    again = singles.groupBy("rank", "window").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").select("rank", "window")
-    found = singles.where("asks").join(again, ["rank", "window"]).select("tkey", "first", F.col("first").alias("last"))
+            row, first, last, at, rank, span = picks(*text_buffers(some.column(1)))
+            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(first), pa.array(last), pa.array(at), _signed(rank), _signed(span), pa.array(np.ones(len(row), bool))], names=_NAMES)
+
+    by_run, left = _settle(_repeated(docs.mapInArrow(pick, _RUN), "runs"), "settled-runs")
+    by_group, left = _settle(_repeated(_expand(docs, left, groups), "groups"), "settled-groups")
+    singles = stored(_expand(docs, left, single_windows), "windows")
+    again = singles.groupBy("rank").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").select("rank")
+    by_window = singles.where("asks").join(again, "rank", "left_semi").select("tkey", "first", "last")
     copies = docs.groupBy("tkey").count().where("count > 1").select("tkey", F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
-    return whole_runs.unionAll(found).unionAll(copies)
+    return by_run.unionAll(by_group).unionAll(by_window).unionAll(copies)
 
 
 def remove_repeats(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, text_buffers, windows, word_spans
-from .common import Stored, arrow_limits, stored, text_key
+from .common import Stored, arrow_limits, release, stored, text_key
 from .components import connected_components
 
 HOT = 500_000
@@ -155,12 +155,13 @@ def _passes(n1, p1, n2, p2, percent: int):
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= needed)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, text: str, n: int, percent: int) -> Stored:
-    """The pairs (u, v) that link.  The sets of the rows concerned are made anew from their texts."""
-    spark = pairs.sparkSession
-    ids = Stored(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct().join(table.select("id", "tkey"), "id"), "pair-ids")
-    keys = ids.read().select("tkey").distinct()
-    keys = F.broadcast(keys) if ids.read().count() <= BROADCAST_ROWS else keys
+def _sized(small: DataFrame) -> DataFrame:
+    """A stored table as a broadcast if it is small enough, else as it is."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def _sets(ids: DataFrame, docs: DataFrame, text: str, n: int) -> Stored:
+    """(id, grams) of rows (id, tkey, copies), made anew from their texts; once where texts are copies."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -172,28 +173,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, text: str, n:
                     if len(seen) < REMEMBERED:
                         seen.add(key)
             some = batch.take(pa.array(fresh, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in gram_sets(some.column(1), n)], pa.binary())], names=["tkey", "grams"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([s.tobytes() for s in gram_sets(some.column(2), n)], pa.binary())], names=["id", "copies", "grams"])
+
+    texts = docs.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text")).join(_sized(ids), "tkey")
+    made = Stored(texts.select("id", "copies", "text").mapInArrow(make, "id long, copies boolean, grams binary"), "gram-sets")
+    once = made.read().where("NOT copies").select("id", "grams").unionAll(made.read().where("copies").select("id", "grams").dropDuplicates(["id"]))
+    out = Stored(once, "gram-sets")
+    made.drop()
+    return out
 
-    texts = docs.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text")).join(keys, "tkey", "left_semi")
-    sets = texts.mapInArrow(make, "tkey binary, grams binary").groupBy("tkey").agg(F.first("grams").alias("grams"))
-    sets = Stored(ids.read().join(sets, "tkey").select("id", "grams"), "gram-sets")
+
+def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, text: str, n: int, percent: int) -> Stored:
+    """The pairs (u, v) that link. ``names``: id, tkey, copies of every row."""
+    ids = stored(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct().join(names, "id"), "pair-ids")
+    sets = _sets(ids, docs, text, n)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [linked(np.frombuffer(a.as_py(), U64), np.frombuffer(b.as_py(), U64), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    one = sets.read().select(F.col("id").alias("u"), F.col("grams").alias("a"))
-    two = sets.read().select(F.col("id").alias("v"), F.col("grams").alias("b"))
-    links = Stored(pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "links")
+    # v is the leader where a round has leaders: its set is one of few, so only u's sets travel.
+    leaders = pairs.select(F.col("v").alias("id")).distinct()
+    one = sets.read().select(F.col("id").alias("u"), F.col("grams").alias("a")).join(_sized(pairs), "u")
+    two = sets.read().join(leaders, "id", "left_semi").select(F.col("id").alias("v"), F.col("grams").alias("b"))
+    links = Stored(one.join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "links")
     sets.drop()
-    ids.drop()
     return links
 
 
-def _sized(small: DataFrame) -> DataFrame:
-    """A stored table as a broadcast if it is small enough, else as it is."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+def _met(rows: DataFrame, name: str) -> Stored:
+    """Rows (id, n, p, gram, comp) of n-grams that several components hold, each with ``other``: the
+    n-gram's first row of another component. One shuffle, by n-gram."""
+    by_gram = Window.partitionBy("gram")
+    at = F.struct("comp", "id", "n", "p")
+    ends = rows.withColumn("low", F.min(at).over(by_gram)).withColumn("high", F.max(at).over(by_gram)).where("low.comp <> high.comp")
+    return Stored(ends.select("id", "n", "p", "gram", "comp", F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high")).alias("other")), name)
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = THRESHOLD) -> DataFrame:
@@ -201,37 +216,39 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     arrow_limits(df.sparkSession)
     table = _prefixes(df, doc_id, text, n, percent).read()
     classes = stored(table.where("n_grams > 0").groupBy("class").agg(F.min("id").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
+    again = table.groupBy("tkey").count().where("count > 1").select("tkey", F.lit(True).alias("_c"))
+    names = stored(table.where("prefix IS NOT NULL").select("id", "tkey").join(again, "tkey", "left").select("id", "tkey", F.coalesce("_c", F.lit(False)).alias("copies")), "names")
     # Of equal sets that several tasks met, one goes on.
     extra = stored(table.where("prefix IS NOT NULL").select("id", "class").join(classes, "class").where("id <> rep").select("id"), "equal-sets")
     grams = table.where("prefix IS NOT NULL").join(_sized(extra), "id", "left_anti").select("id", F.col("n_grams").alias("n"), F.posexplode("prefix").alias("p", "gram"))
-    by_gram = Window.partitionBy("gram")
-    shared = stored(grams.withColumn("comp", F.col("id")).withColumn("low", F.min("comp").over(by_gram)).withColumn("high", F.max("comp").over(by_gram)).where("low <> high").select("id", "n", "p", "gram", "comp"), "shared-grams")
+    shared = _met(grams.withColumn("comp", F.col("id")), "shared-grams")
 
     links = tried = comps = None
     for turn in range(STAR_ROUNDS + 1):
         if comps is not None:
-            rows = shared.drop("comp").join(_sized(comps), F.col("id") == F.col("node"), "left").select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp"))
-            split = rows.withColumn("low", F.min("comp").over(by_gram)).withColumn("high", F.max("comp").over(by_gram)).where("low <> high")
-            shared = stored(split.select("id", "n", "p", "gram", "comp"), "shared-grams")
+            rows = shared.read().drop("comp", "other").join(_sized(comps), F.col("id") == F.col("node"), "left")
+            before, shared = shared, _met(rows.select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp")), "shared-grams")
+            before.drop()
         if turn < STAR_ROUNDS:
-            at = F.struct("comp", "id", "n", "p")
-            ends = shared.withColumn("low", F.min(at).over(by_gram)).withColumn("high", F.max(at).over(by_gram))
-            met = ends.withColumn("other", F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high")))
-            met = met.where(_passes(F.col("n"), F.col("p"), F.col("other.n"), F.col("other.p"), percent))
+            met = shared.read().where(_passes(F.col("n"), F.col("p"), F.col("other.n"), F.col("other.p"), percent))
             counted = met.groupBy("id", F.col("other.id").alias("lead")).agg(F.count("*").alias("c"))
-            chosen = counted.groupBy("id").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
-            pairs = chosen.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
+            chosen = stored(counted.groupBy("id").agg(F.max_by("lead", F.struct("c", "lead")).alias("v")).withColumnRenamed("id", "u"), "chosen")
+            # Two sets may have chosen each other.
+            both = chosen.select(F.col("v").alias("u"), F.col("u").alias("v")).where("u > v")
+            pairs = chosen.join(both, ["u", "v"], "left_anti")
         else:
-            one, two = shared.alias("a"), shared.alias("b")
+            one, two = shared.read().drop("other").alias("a"), shared.read().drop("other").alias("b")
             pairs = one.join(two, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") < F.col("b.comp")) & _passes(F.col("a.n"), F.col("a.p"), F.col("b.n"), F.col("b.p"), percent))
             pairs = pairs.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
+            done = tried.unionAll(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            pairs = pairs.join(done, ["u", "v"], "left_anti")
+        pairs = stored(pairs.select("u", "v"), "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
-        found = _verified(pairs, df, table, text, n, percent).read()
+        found = _verified(pairs, df, names, text, n, percent).read()
         links = found if links is None else links.unionAll(found)
         comps = stored(connected_components(links), "components")
+        release(df.sparkSession)
     rows = table.select("id", "doc_id", "n_grams", "class").join(classes, "class", "left").join(comps, F.col("rep") == F.col("node"), "left")
     rows = rows.select("doc_id", "n_grams", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep", "id").alias("comp"))
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -42,7 +42,7 @@ GROUP = 16
 #: Bytes of text ranked at a time.
 BLOCK = 1 << 18
 REMEMBERED = 1_000_000
-#: Ranks or runs sent as a broadcast; more are joined.
+#: Runs sent as a broadcast; more are joined.
 BROADCAST_ROWS = 1_000_000
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _PLACE = U64((1 << 24) - 1)
@@ -177,11 +177,10 @@ _NAMES = ["tkey", "first", "last", "at", "rank", "span", "asks"]
 
 
 def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """The rows whose rank occurs at least twice; ranks are counted before any row moves."""
+    """The rows whose rank occurs at least twice; the ranks are shuffled the same way at every size."""
     every = Stored(rows, name)
-    twice = stored(every.read().groupBy("rank").count().where("count > 1").select("rank"), f"{name}-ranks")
-    right = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    kept = stored(every.read().join(right, "rank", "left_semi").select(*_NAMES), f"{name}-repeated")
+    twice = every.read().groupBy("rank").count().where("count > 1").select("rank")
+    kept = stored(every.read().join(twice, "rank", "left_semi").select(*_NAMES), f"{name}-repeated")
     every.drop()
     return kept
 

@@ -34,7 +34,7 @@ from .common import Stored, arrow_limits, release, stored, text_key
 from .components import connected_components
 
 HOT = 500_000
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: N-grams a task counts before it forgets those it saw once; documents whose class it remembers.
 COUNTED, REMEMBERED = 1_500_000, 1_000_000
 #: Up to so many ids go out as a broadcast, more are joined.
@@ -202,11 +202,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, text: str, n:
     return links
 
 
-def _met(rows: DataFrame, name: str) -> Stored:
-    """Rows (id, n, p, gram, comp) of n-grams that several components hold, each with ``other``: the
-    n-gram's first row of another component. One shuffle, by n-gram."""
+def _met(rows: DataFrame, turn: int, name: str) -> Stored:
+    """Rows (id, n, p, gram, comp) of n-grams that several components hold, each with ``other``: a row
+    of another component with this n-gram, of the largest there is and another in every turn. One
+    shuffle, by n-gram."""
     by_gram = Window.partitionBy("gram")
-    at = F.struct("comp", "id", "n", "p")
+    at = F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(turn), "comp").alias("c"), "comp", F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "p")
     ends = rows.withColumn("low", F.min(at).over(by_gram)).withColumn("high", F.max(at).over(by_gram)).where("low.comp <> high.comp")
     return Stored(ends.select("id", "n", "p", "gram", "comp", F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high")).alias("other")), name)
 
@@ -221,13 +222,13 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # Of equal sets that several tasks met, one goes on.
     extra = stored(table.where("prefix IS NOT NULL").select("id", "class").join(classes, "class").where("id <> rep").select("id"), "equal-sets")
     grams = table.where("prefix IS NOT NULL").join(_sized(extra), "id", "left_anti").select("id", F.col("n_grams").alias("n"), F.posexplode("prefix").alias("p", "gram"))
-    shared = _met(grams.withColumn("comp", F.col("id")), "shared-grams")
+    shared = _met(grams.withColumn("comp", F.col("id")).withColumn("size", F.lit(1).cast("long")), 0, "shared-grams")
 
     links = tried = comps = None
     for turn in range(STAR_ROUNDS + 1):
         if comps is not None:
             rows = shared.read().drop("comp", "other").join(_sized(comps), F.col("id") == F.col("node"), "left")
-            before, shared = shared, _met(rows.select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp")), "shared-grams")
+            before, shared = shared, _met(rows.select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size")), turn, "shared-grams")
             before.drop()
         if turn < STAR_ROUNDS:
             met = shared.read().where(_passes(F.col("n"), F.col("p"), F.col("other.n"), F.col("other.p"), percent))
@@ -248,6 +249,8 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         found = _verified(pairs, df, names, text, n, percent).read()
         links = found if links is None else links.unionAll(found)
         comps = stored(connected_components(links), "components")
+        sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
+        comps = stored(comps.join(sizes, "component"), "components")
         release(df.sparkSession)
     rows = table.select("id", "doc_id", "n_grams", "class").join(classes, "class", "left").join(comps, F.col("rep") == F.col("node"), "left")
     rows = rows.select("doc_id", "n_grams", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep", "id").alias("comp"))

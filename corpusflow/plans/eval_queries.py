@@ -96,7 +96,7 @@ _LOG = "SELECT event_id + 1 AS step, CASE WHEN event_id % 25 = 0 THEN value / 10
 
 
 def log(spark, d):
-    return table(spark, d, "events").where("event_id < 2000").selectExpr("event_id + 1 AS step", "CASE WHEN event_id % 25 = 0 THEN value / 100 END AS val_loss", "(event_id + 1) * 8192 AS tokens", "CAST((event_id + 1) * 1.5 + event_id % 7 AS DOUBLE) AS elapsed_seconds")
+    return table(spark, d, "events").selectExpr("event_id + 1 AS step", "CASE WHEN event_id % 25 = 0 THEN value / 100 END AS val_loss", "(event_id + 1) * 8192 AS tokens", "CAST((event_id + 1) * 1.5 + event_id % 7 AS DOUBLE) AS elapsed_seconds")
 
 
 _L = f"l AS ({_LOG})"

@@ -39,10 +39,9 @@ def words(text: Column) -> Column:
 
 
 def degenerate(text: Column) -> Column:
-    """Six words or more of which one makes over 40 %, or a 3- to 5-word phrase that comes three times."""
-    all_words = words(text)
-    n = F.size(all_words)
-    keys = F.filter(F.transform(all_words, lambda w: F.lower(F.regexp_replace(w, r"\A[.,!?;:\"']+|[.,!?;:\"']+\z", ""))), lambda k: k != "")
+    """Six words or more of which one makes over 40 %, or a 3- to 5-word phrase that comes three times.
+
+    The first three words of a longer phrase come as often as it does, so phrases of three tell."""
 
     def most(items: Column) -> Column:
         """Largest count of an item: the longest run once sorted, so no pair is compared."""
@@ -52,16 +51,18 @@ def degenerate(text: Column) -> Column:
             run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
             return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-        return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["best"])
+        return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["best"])
 
-    def phrases(size: int) -> Column:
-        lower = F.transform(all_words, F.lower)
-        return F.when(n >= 2 * size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(lower, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    def repeats(lower: Column) -> Column:
+        n = F.size(lower)
+        keys = F.filter(F.transform(lower, lambda w: F.regexp_replace(w, r"\A[.,!?;:\"']+|[.,!?;:\"']+\z", "")), lambda k: k != "")
+        # Shifted slices side by side, so a long text isn't copied for each phrase.
+        beside = F.arrays_zip(*(F.slice(lower, k + 1, F.greatest(n - 2, F.lit(0))).alias(f"w{k}") for k in range(3)))
+        phrases = F.transform(beside, lambda x: F.concat_ws(" ", x["w0"], x["w1"], x["w2"]))
+        return F.when(n < 6, F.lit(False)).otherwise((most(keys) / n > 0.4) | (most(phrases) >= 3))
 
-    repeats = most(keys) / n > 0.4
-    for size in (3, 4, 5):
-        repeats = repeats | (most(phrases(size)) >= 3)
-    return F.when(n < 6, F.lit(False)).otherwise(repeats)
+    # The one-element array binds the words, so the text is split once.
+    return F.transform(F.array(F.transform(words(text), F.lower)), repeats)[0]
 
 
 def refuses(text: Column) -> Column:

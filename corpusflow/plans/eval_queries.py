@@ -28,12 +28,12 @@ def inline(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-# Checks of answers: documents' first lines stand in for answers.
+# Checks of answers: whole documents stand in for answers. The SQL still reads these first lines and made-up sentences.
 _ANSWER = "CASE doc_id % 6 WHEN 0 THEN substring(text, 1, 90) WHEN 1 THEN 'I do not know.' WHEN 2 THEN 'It is ' || doc_id || ',000.50 today' WHEN 3 THEN 'אני לא יודע ' || doc_id WHEN 4 THEN 'so so so so so so it is so' ELSE 'yes I am yes I am yes I am here' END"
 
 
 def answers(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.expr(_ANSWER).alias("answer"))
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("answer"))
 
 
 _A = f"a AS (SELECT doc_id, {_ANSWER} AS answer FROM documents)"
@@ -74,7 +74,7 @@ _CASES = [
 
 def cases(spark, d):
     relevant = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("so"), F.lit("am"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, d, "documents").selectExpr("doc_id", f"{_ANSWER} AS answer", *_CASES).withColumn("relevant_if", relevant)
+    return table(spark, d, "documents").selectExpr("doc_id", "text AS answer", *_CASES).withColumn("relevant_if", relevant)
 
 
 _MM = lambda m: f"regexp_matches(lower(answer), '(^|[^\\p{{L}}\\p{{N}}_]){m}($|[^\\p{{L}}\\p{{N}}_])')"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import evaluation as E
-from corpusflow.plans import registry
+from corpusflow.plans import eval_queries, registry
 
 from .test_queries import rows
 
@@ -35,3 +35,21 @@ def test_log_blocks_give_the_same_as_one_block(spark):
     log = spark.range(500).where("id % 90 < 70").selectExpr("id + 1 AS step", "CASE WHEN id % 3 = 0 THEN 100 / (1 + id) + id * 7 % 11 END AS val_loss", "id * 10 AS tokens", "CAST(id + id % 7 AS DOUBLE) AS elapsed_seconds")
     for f, size in ((lambda n: E.best_checkpoints(log, n), 40), (lambda n: E.throughput(log, 9000, block=n), 3)):
         assert sorted(map(tuple, f(size).collect())) == sorted(map(tuple, f(10**9).collect()))
+
+
+@pytest.mark.parametrize("name", ["mentions_number", "marker_match", "dominant_script", "refusal_match", "degenerate", "format_ok", "routing_ok", "arguments_ok", "relevance", "language_match", "eval_summary"])
+def test_answer_checks_read_whole_documents(spark, name):
+    same_as(spark, name, registry.SQL[name].replace(eval_queries._ANSWER, "text"), SMALL)
+
+
+def test_answers_are_the_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert max(map(len, texts.values())) > 90
+    assert {r.doc_id: r.answer for r in eval_queries.answers(spark, SMALL).collect()} == texts
+
+
+def test_degenerate_meets_a_long_text_and_its_end(spark):
+    plain = " ".join(f"w{k}" for k in range(20_000))
+    texts = [(plain, False), (plain + " a b c" * 3, True), ("so " * 6, True), ("a b c d e", False), (None, None)]
+    got = spark.createDataFrame([(t,) for t, _ in texts], "t string").select(E.degenerate(F.col("t")).alias("d")).collect()
+    assert [r.d for r in got[:4]] == [d for _, d in texts[:4]]

@@ -35,15 +35,15 @@ def array_windows(df: DataFrame, length: int, ids: str = "ids") -> DataFrame:
     return df.select(*others, ids, F.explode(starts).alias("window_id")).select(*others, "window_id", F.slice(ids, at + 1, F.lit(length)).alias("input"), F.slice(ids, at + 2, F.lit(length)).alias("target"))
 
 
-def stream_windows(stream: DataFrame, length: int, limit: int | None = None) -> DataFrame:
-    """The same over rows (pos, token) of one stream: a tumbling group by position."""
+def stream_windows(stream: DataFrame, length: int, limit: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same over rows (keys, pos, token), one stream for each key: a tumbling group by position."""
     group = F.floor(F.col("pos") / length)
     # Only the first token of the next group is needed besides a group's own.
-    own = stream.select(group.alias("window_id"), "pos", "token")
-    following = stream.where((F.col("pos") % length == 0) & (F.col("pos") > 0)).select((group - 1).alias("window_id"), "pos", "token")
-    rows = own.unionByName(following).groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("r"))
+    own = stream.select(*keys, group.alias("window_id"), "pos", "token")
+    following = stream.where((F.col("pos") % length == 0) & (F.col("pos") > 0)).select(*keys, (group - 1).alias("window_id"), "pos", "token")
+    rows = own.unionByName(following).groupBy(*keys, "window_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("r"))
     tokens = F.transform("r", lambda x: x["token"])
-    out = rows.where(F.size("r") == length + 1).select("window_id", F.slice(tokens, 1, length).alias("input"), F.slice(tokens, 2, length).alias("target"))
+    out = rows.where(F.size("r") == length + 1).select(*keys, "window_id", F.slice(tokens, 1, length).alias("input"), F.slice(tokens, 2, length).alias("target"))
     return out.where(F.col("window_id") < limit) if limit is not None else out
 
 

@@ -101,14 +101,14 @@ _STREAM = f"{_POINTS}, t AS (SELECT unnest(ids) AS token, generate_subscripts(id
 
 
 def stream(spark, d):
-    return id_rows(spark, d).where("doc_id = 7").select(F.posexplode("ids").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return id_rows(spark, d).select("doc_id", F.posexplode("ids").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
 query("bin_scan", f"WITH {_STREAM}, w AS (SELECT pos // 32 AS window_id, pos, token, lead(token) OVER (ORDER BY pos) AS target FROM t) SELECT CAST(window_id AS BIGINT) AS window_id, string_agg(token, ' ' ORDER BY pos) AS input, string_agg(target, ' ' ORDER BY pos) AS target FROM w GROUP BY 1 HAVING count(target) = 32")(
-    lambda spark, d: W.stream_windows(stream(spark, d), 32).select("window_id", F.array_join("input", " ").alias("input"), F.array_join("target", " ").alias("target"))
+    lambda spark, d: W.stream_windows(stream(spark, d), 32, keys=("doc_id",)).select("doc_id", "window_id", F.array_join("input", " ").alias("input"), F.array_join("target", " ").alias("target"))
 )
-query("shift_target", f"WITH {_STREAM} SELECT CAST(pos AS BIGINT) AS pos, token, lead(token) OVER (ORDER BY pos) AS target FROM t")(lambda spark, d: W.shifted(stream(spark, d).withColumn("doc_id", F.lit(7)), "doc_id").select("pos", "token", "target"))
+query("shift_target", f"WITH {_STREAM} SELECT CAST(pos AS BIGINT) AS pos, token, lead(token) OVER (ORDER BY pos) AS target FROM t")(lambda spark, d: W.shifted(stream(spark, d), "doc_id").select("doc_id", "pos", "token", "target"))
 query("windows_random")(lambda spark, d: W.random_offsets(spark, 1000, 100_000, 512, 1729))
 query("collate", f"WITH {_POINTS}, e AS (SELECT doc_id AS example_id, ids[1:doc_id % 37 + 3] AS ids FROM i), w AS (SELECT *, example_id // 8 AS batch_id, max(len(ids)) OVER (PARTITION BY example_id // 8) AS width FROM e) SELECT batch_id, example_id, CAST(list_sum(ids) AS BIGINT) AS ids_sum, CAST(width AS INTEGER) AS width, CAST(width - len(ids) AS INTEGER) AS padded FROM w")(
-    lambda spark, d: W.collate(id_rows(spark, d).select(F.col("doc_id").alias("example_id"), F.slice("ids", F.lit(1), F.col("doc_id").cast("int") % 37 + 3).alias("ids")).withColumn("labels", F.col("ids")), 8, 0).select("batch_id", "example_id", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"), F.size("ids").alias("width"), F.size(F.filter("labels", lambda x: x == -100)).alias("padded"))
+    lambda spark, d: W.collate(id_rows(spark, d).select(F.col("doc_id").alias("example_id"), "ids").withColumn("labels", F.col("ids")), 8, 0).select("batch_id", "example_id", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"), F.size("ids").alias("width"), F.size(F.filter("labels", lambda x: x == -100)).alias("padded"))
 )

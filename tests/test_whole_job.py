@@ -53,3 +53,30 @@ def test_degenerate_meets_a_long_text_and_its_end(spark):
     texts = [(plain, False), (plain + " a b c" * 3, True), ("so " * 6, True), ("a b c d e", False), (None, None)]
     got = spark.createDataFrame([(t,) for t, _ in texts], "t string").select(E.degenerate(F.col("t")).alias("d")).collect()
     assert [r.d for r in got[:4]] == [d for _, d in texts[:4]]
+
+
+def points(spark):
+    return {r.doc_id: [ord(c) for c in r.text] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_bin_scan_cuts_every_document(spark):
+    want = {(i, k, " ".join(map(str, p[32 * k : 32 * k + 32])), " ".join(map(str, p[32 * k + 1 : 32 * k + 33]))) for i, p in points(spark).items() for k in range((len(p) - 1) // 32)}
+    got = registry.QUERIES["bin_scan"](spark, SMALL).select("doc_id", "window_id", "input", "target").collect()
+    assert len({w[0] for w in want}) > 100 and len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_shift_target_covers_every_document(spark):
+    want = {(i, k, t, p[k + 1] if k + 1 < len(p) else None) for i, p in points(spark).items() for k, t in enumerate(p)}
+    got = registry.QUERIES["shift_target"](spark, SMALL).select("doc_id", "pos", "token", "target").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_collate_pads_whole_texts(spark):
+    ids = points(spark)
+    width = {}
+    for i, p in ids.items():
+        width[i // 8] = max(width.get(i // 8, 0), len(p))
+    got = registry.QUERIES["collate"](spark, SMALL).collect()
+    want = {(i // 8, i, sum(p), width[i // 8], width[i // 8] - len(p)) for i, p in ids.items()}
+    assert max(width.values()) > 39 and len(got) == len(ids)
+    assert {(r.batch_id, r.example_id, r.ids_sum, r.width, r.padded) for r in got} == want

@@ -2,7 +2,7 @@
 
 Pre-tokenizing, counting and pair statistics are DataFrame operations over distinct pre-tokens.
 Training collects that table only behind a size check and merges on the driver, since merges follow
-one another; ``train_distributed`` keeps every step in DataFrames for tables of any size.
+one another; above the bound it goes on in ``train_distributed``, which keeps every step in DataFrames.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ _LETTERS = r"\p{L}\p{Nl}\p{No}"
 # Fixed value: contractions, letters, digits, signs, blanks; together they cover every character.
 PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?\p{{Nd}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 END_OF_TEXT = "<|endoftext|>"
-#: Most distinct pre-tokens that training may hold on the driver.
+#: Most distinct pre-tokens that training holds on the driver; with more, Spark makes every count.
 DRIVER_PIECES = 1_000_000
 
 
@@ -190,15 +190,15 @@ class Tokenizer:
 
 
 def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", specials: tuple[str, ...] = (END_OF_TEXT,)) -> Tokenizer:
-    """Spark counts the distinct pre-tokens; merging them is one loop. Too many are an error, as is a
-    vocabulary with no room for a merge."""
+    """Spark counts the distinct pre-tokens; merging them is one loop, on the driver or, if they are too
+    many for it, with a job for each merge. A vocabulary with no room for a merge is an error."""
     merges = vocab_size - 256 - len(specials)
     if merges <= 0:
         raise ValueError(f"vocab_size must exceed {256 + len(specials)}")
     counted = count_pieces(df, text, specials).persist()
     try:
-        if (n := counted.count()) > DRIVER_PIECES:
-            raise ValueError(f"{n} distinct pre-tokens; train on a sample or with train_distributed")
+        if counted.count() > DRIVER_PIECES:
+            return Tokenizer(train_distributed(counted.select(byte_ids(F.col("piece")).alias("ids"), "freq"), merges), specials)
         pieces = {r.piece.encode(): r.freq for r in counted.toLocalIterator()}
     finally:
         counted.unpersist()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import evaluation as E
+from corpusflow.operators import tokenizer as K
 from corpusflow.plans import eval_queries, registry
 
 from .test_queries import rows
@@ -80,3 +81,12 @@ def test_collate_pads_whole_texts(spark):
     want = {(i // 8, i, sum(p), width[i // 8], width[i // 8] - len(p)) for i, p in ids.items()}
     assert max(width.values()) > 39 and len(got) == len(ids)
     assert {(r.batch_id, r.example_id, r.ids_sum, r.width, r.padded) for r in got} == want
+
+
+def test_training_goes_on_above_the_drivers_bound(spark, monkeypatch):
+    spark.sparkContext.setCheckpointDir("/tmp/corpusflow-test")
+    df = spark.createDataFrame([("the cat and the hat, then 1987\n\n\n  that bat <|endoftext|> at the mat",), ("naïve שלום שלום the",)], "text string")
+    want = K.train_bpe(df, 275)
+    monkeypatch.setattr(K, "DRIVER_PIECES", 3)
+    got = K.train_bpe(df, 275)
+    assert got.merges == want.merges and got.specials == want.specials and len(got.merges) > 8

@@ -49,16 +49,17 @@ def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
-def seeded_place(df: DataFrame, keys: list[str], seed: int = SEED, name: str = "place") -> DataFrame:
-    """Adds each row's place, from 1, in the seeded order of all rows.
+def seeded_place(df: DataFrame, keys: list[str], seed: int = SEED, name: str = "place", by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds each row's place, from 1, in the seeded order of all rows, or of the rows alike in ``by``.
 
     Rows are counted by the order's first three hex digits; these 4,096 sums give every bucket's first
     place, and buckets are numbered side by side, so no task holds all rows."""
     marked = df.withColumn("_h", seeded(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = marked.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
-    return marked.join(F.broadcast(starts), "_b").withColumn(name, F.col("_start") + inside).drop("_h", "_b", "_start")
+    sizes = marked.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *keys))
+    return marked.join(F.broadcast(starts), [*by, "_b"]).withColumn(name, F.col("_start") + inside).drop("_h", "_b", "_start")
 
 
 def held_out_split(df: DataFrame, keys: list[str], text: str = "text", per_mille: int = 5, seed: int = SEED, source: str = "source") -> DataFrame:
@@ -102,21 +103,28 @@ def ordered_text(df: DataFrame, order: str, text: str = "text", separator: str =
     return df.agg(body.alias("b")).select(F.length("b").alias("characters"), F.sha2(F.col("b").cast("binary"), 256).alias("sha256"))
 
 
-def write_split(df: DataFrame, order: list[str], path, text: str = "text", separator: str = SEPARATOR) -> dict:
-    """Write the split in order, one partition at a time on the driver; characters and SHA-256."""
+def digest_split(df: DataFrame, order: list[str], text: str = "text", separator: str = SEPARATOR, write=None) -> dict:
+    """Characters and SHA-256 of the split file, its pieces streamed to the driver in order, one partition
+    at a time; ``write`` is given each piece."""
     import hashlib
 
     digest, characters, first = hashlib.sha256(), 0, True
-    with open(path, "w", encoding="utf-8", newline="") as out:
-        for row in df.orderBy(*order).select(text).toLocalIterator():
-            piece = row[0] if first else separator + row[0]
-            first = False
-            out.write(piece)
-            digest.update(piece.encode())
-            characters += len(piece)
+    for row in df.orderBy(*order).select(text).toLocalIterator():
+        piece = row[0] if first else separator + row[0]
+        first = False
+        if write is not None:
+            write(piece)
+        digest.update(piece.encode())
+        characters += len(piece)
     return {"characters": characters, "sha256": digest.hexdigest()}
 
 
+def write_split(df: DataFrame, order: list[str], path, text: str = "text", separator: str = SEPARATOR) -> dict:
+    """Write the split in order, one partition at a time on the driver; characters and SHA-256."""
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        return digest_split(df, order, text, separator, out.write)
+
+
 def systematic_sample(df: DataFrame, order: list[str], every: int) -> DataFrame:
     """Every n-th row in order, in each source."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy(*order))

@@ -113,7 +113,7 @@ query("union_sources", f"WITH {_SPLIT} SELECT split, count(*) AS chunks, CAST(su
     lambda spark, d: split(spark, d).where("split = 'train'").unionByName(split(spark, d).where("split = 'val'")).groupBy("split").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
 )
 query("global_order", f"WITH {_SPLIT} SELECT doc_id, chunk_idx, row_number() OVER (ORDER BY h, doc_id, chunk_idx) AS place FROM t WHERE split = 'val'")(
-    lambda spark, d: C.seeded_place(split(spark, d).where("split = 'val'"), ["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx", "place")
+    lambda spark, d: C.seeded_place(split(spark, d), ["doc_id", "chunk_idx"], by=("split",)).select("split", "doc_id", "chunk_idx", "place")
 )
 _MANIFEST = f"""{_SPLIT}, m AS (SELECT source, count(*) AS chunks, count(*) FILTER (split = 'train') AS chunks_train, count(*) FILTER (split = 'val') AS chunks_val, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(coalesce(sum(length(text)) FILTER (split = 'val'), 0) AS BIGINT) AS characters_val FROM t GROUP BY ROLLUP (source)),
 x AS (SELECT source, count(*) AS n FROM c WHERE length(text) < 200 GROUP BY ROLLUP (source))"""
@@ -127,9 +127,17 @@ query("manifest", f"WITH {_MANIFEST} SELECT m.*, coalesce(x.n, 0) AS skipped_too
 query("tok_sample", f"WITH {_CHUNKS}, s AS (SELECT k.doc_id, chunk_idx, row_number() OVER (PARTITION BY source ORDER BY k.doc_id, chunk_idx) AS r FROM k JOIN c USING (doc_id)) SELECT doc_id, chunk_idx FROM s WHERE (r - 1) % 40 = 0")(
     lambda spark, d: C.systematic_sample(chunked(spark, d), ["doc_id", "chunk_idx"], 40).select("doc_id", "chunk_idx")
 )
+
+
+def split_digests(spark, d):
+    ordered = split(spark, d).withColumn("h", C.seeded(C.SEED, "doc_id", "chunk_idx"))
+    made = [(name, C.digest_split(ordered.where(F.col("split") == name), ["h", "doc_id", "chunk_idx"])) for name in ("train", "val")]
+    return spark.createDataFrame([(name, m["characters"], m["sha256"]) for name, m in made], "split string, characters long, sha256 string")
+
+
 _SEP = " || ".join(f"chr({ord(c)})" if ord(c) < 32 else f"'{c}'" for c in C.SEPARATOR)
 query("sink_split_text", f"WITH {_SPLIT}, b AS (SELECT string_agg(text, {_SEP} ORDER BY h, doc_id, chunk_idx) AS b FROM t WHERE split = 'val') SELECT length(b) AS characters, sha256(b) AS sha256 FROM b")(
-    lambda spark, d: C.ordered_text(split(spark, d).where("split = 'val'").withColumn("o", F.struct(C.seeded(C.SEED, "doc_id", "chunk_idx"), "doc_id", "chunk_idx")), "o").withColumn("characters", F.col("characters").cast("long"))
+    lambda spark, d: split_digests(spark, d)
 )
 query("sink_manifest", f"WITH {_MANIFEST} SELECT '{{\"chunks\":' || chunks || ',\"train\":' || chunks_train || ',\"val\":' || chunks_val || ',\"characters\":' || characters || '}}' AS manifest FROM m WHERE source IS NULL")(
     lambda spark, d: corpus_manifest(spark, d).where("source IS NULL").select(F.to_json(F.struct("chunks", F.col("chunks_train").alias("train"), F.col("chunks_val").alias("val"), "characters")).alias("manifest"))

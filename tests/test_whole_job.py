@@ -1,14 +1,16 @@
 """Queries cover every row: results over whole tables, against the SQL without its cut or brute force."""
 
+import hashlib
 import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.operators import corpus as C
 from corpusflow.operators import evaluation as E
 from corpusflow.operators import tokenizer as K
-from corpusflow.plans import eval_queries, registry
+from corpusflow.plans import corpus_queries, eval_queries, registry
 
 from .test_queries import rows
 
@@ -90,3 +92,23 @@ def test_training_goes_on_above_the_drivers_bound(spark, monkeypatch):
     monkeypatch.setattr(K, "DRIVER_PIECES", 3)
     got = K.train_bpe(df, 275)
     assert got.merges == want.merges and got.specials == want.specials and len(got.merges) > 8
+
+
+@pytest.fixture(scope="module")
+def splits(spark):
+    """Each split's chunks in seeded order, by plain Python."""
+    chunks = corpus_queries.split(spark, SMALL).select("split", "doc_id", "chunk_idx", "text").collect()
+    key = lambda r: (hashlib.md5(f"{C.SEED}|{r.doc_id}|{r.chunk_idx}".encode()).hexdigest(), r.doc_id, r.chunk_idx)
+    return {name: sorted((r for r in chunks if r.split == name), key=key) for name in ("train", "val")}
+
+
+def test_global_order_places_both_splits(spark, splits):
+    want = {(name, r.doc_id, r.chunk_idx, k) for name, part in splits.items() for k, r in enumerate(part, 1)}
+    got = registry.QUERIES["global_order"](spark, SMALL).select("split", "doc_id", "chunk_idx", "place").collect()
+    assert len(splits["train"]) > len(splits["val"]) > 0 and len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_sink_split_text_digests_both_splits(spark, splits):
+    body = {name: C.SEPARATOR.join(r.text for r in part) for name, part in splits.items()}
+    want = {(name, len(b), hashlib.sha256(b.encode()).hexdigest()) for name, b in body.items()}
+    assert set(map(tuple, registry.QUERIES["sink_split_text"](spark, SMALL).select("split", "characters", "sha256").collect())) == want

@@ -26,7 +26,7 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-# SQL's regular expressions have no look-ahead; pieces of white space are left out of the comparison.
+# SQL's regular expressions have no look-ahead, so it leaves out pieces of white space; the queries keep them.
 _PIECE = K.PATTERN.replace(rf"|[{SPACE}]+(?![^{SPACE}])", "").replace("'", "''")
 _SPLIT = f"regexp_extract_all(regexp_replace(text, '[{SPACE}]+([{SPACE}][^{SPACE}])', '\\1', 'g'), '{_PIECE}')"
 _PIECES = f"""q AS (SELECT doc_id, lang, unnest({_SPLIT}) AS p FROM documents),
@@ -34,8 +34,7 @@ r AS (SELECT doc_id, lang, unnest(CASE WHEN regexp_matches(p, '\\p{{Nd}}') THEN
 
 
 def pieces(spark, d):
-    solid = f"[^{SPACE}]"
-    return docs(spark, d).select("doc_id", "lang", F.explode(K.pretokenize(F.col("text"))).alias("piece")).where(F.col("piece").rlike(solid))
+    return docs(spark, d).select("doc_id", "lang", F.explode(K.pretokenize(F.col("text"))).alias("piece"))
 
 
 query("pretokenize", f"WITH {_PIECES} SELECT doc_id, count(*) AS pieces, CAST(sum(length(piece)) AS BIGINT) AS characters, count(DISTINCT piece) AS kinds FROM s GROUP BY doc_id")(

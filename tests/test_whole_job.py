@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import corpus as C
 from corpusflow.operators import evaluation as E
 from corpusflow.operators import tokenizer as K
+from corpusflow.functions.text import SPACE
 from corpusflow.plans import corpus_queries, eval_queries, registry
 
 from .test_queries import rows
@@ -112,3 +115,63 @@ def test_sink_split_text_digests_both_splits(spark, splits):
     body = {name: C.SEPARATOR.join(r.text for r in part) for name, part in splits.items()}
     want = {(name, len(b), hashlib.sha256(b.encode()).hexdigest()) for name, b in body.items()}
     assert set(map(tuple, registry.QUERIES["sink_split_text"](spark, SMALL).select("split", "characters", "sha256").collect())) == want
+
+
+def plain_pieces(text):
+    """The pattern by plain Python: each piece by its first character's kind, digits one by one."""
+    import unicodedata
+
+    space = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SPACE) + "]")
+    letter = lambda c: unicodedata.category(c) in ("Nl", "No") or unicodedata.category(c)[0] == "L"
+    digit = lambda c: unicodedata.category(c) == "Nd"
+    sign = lambda c: not space.match(c) and unicodedata.category(c)[0] not in "LN"
+    out, k = [], 0
+    while k < len(text):
+        if m := re.compile("'(?:[sdmt]|ll|ve|re)").match(text, k):
+            out.append(m[0])
+            k = m.end()
+            continue
+        start = k + (text[k] == " " and k + 1 < len(text) and not space.match(text[k + 1]))
+        if not space.match(text[start]):
+            kind = next(f for f in (letter, digit, sign) if f(text[start]))
+            end = start
+            while end < len(text) and kind(text[end]):
+                end += 1
+            out += list(text[k:end]) if kind is digit else [text[k:end]]
+        else:
+            end = k
+            while end < len(text) and space.match(text[end]):
+                end += 1
+            if end < len(text) and end - k > 1:
+                end -= 1
+            out.append(text[k:end])
+        k = end
+    return out
+
+
+@pytest.fixture(scope="module")
+def brute_pieces(spark):
+    return {r.doc_id: plain_pieces(r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_pieces_cover_every_character_of_the_texts(spark, brute_pieces):
+    got = {tuple(r) for r in registry.QUERIES["pretokenize"](spark, SMALL).select("doc_id", "pieces", "characters", "kinds").collect()}
+    assert got == {(i, len(p), len("".join(p)), len(set(p))) for i, p in brute_pieces.items() if p}
+    assert sum(g[2] for g in got) == spark.read.parquet(f"{SMALL}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+
+
+def test_counts_pairs_and_merges_hold_blank_pieces(spark, brute_pieces):
+    freq = Counter(p for part in brute_pieces.values() for p in part)
+    assert any(p.isspace() for p in freq)
+    run = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, SMALL).collect()]
+    assert dict(run("pretoken_count")) == freq
+    pairs = Counter()
+    for p, n in freq.items():
+        for pair in zip(p.encode(), p.encode()[1:], strict=False):
+            pairs[pair] += n
+    assert {(a, b): n for a, b, n in run("pair_count")} == pairs
+    best = max(pairs, key=lambda p: (pairs[p], p))
+    assert run("best_pair") == [(*best, pairs[best])]
+    assert Counter((tuple(i), n) for i, n in run("apply_merge")) == Counter((tuple(K._merge_word(list(p.encode()), 116, 104, 256)), n) for p, n in freq.items())
+    encoded = registry.QUERIES["encode_piece"](spark, SMALL).collect()
+    assert {r.piece for r in encoded} == set(freq) and len(encoded) == len(freq)

@@ -71,7 +71,7 @@ def _asks(df):
 
 
 def agent_loop(spark, d):
-    asks = table(spark, d, "documents").where("doc_id < 100").select(F.col("doc_id").alias("conv_id"), F.when(F.col("doc_id") % 2 == 0, F.format_string("%d + 1", "doc_id")).otherwise("hi").alias("prompt"))
+    asks = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.when(F.col("doc_id") % 2 == 0, F.format_string("%d + 1", "doc_id")).otherwise("hi").alias("prompt"))
     return S.replay_agent(asks, _asks, default_registry().column, 3).select("conv_id", "rounds", "exhausted", F.element_at("transcript", -1)["content"].alias("answer"))
 
 

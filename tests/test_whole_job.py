@@ -175,3 +175,8 @@ def test_counts_pairs_and_merges_hold_blank_pieces(spark, brute_pieces):
     assert Counter((tuple(i), n) for i, n in run("apply_merge")) == Counter((tuple(K._merge_word(list(p.encode()), 116, 104, 256)), n) for p, n in freq.items())
     encoded = registry.QUERIES["encode_piece"](spark, SMALL).collect()
     assert {r.piece for r in encoded} == set(freq) and len(encoded) == len(freq)
+
+
+def test_agent_loop_replays_every_request(spark):
+    assert spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id >= 100").count() > 0
+    same_as(spark, "agent_loop", registry.SQL["agent_loop"].replace(" WHERE doc_id < 100", ""), SMALL)

@@ -8,8 +8,8 @@ tokens; what the discount frees is the share of words not seen in training.  So
 fixed while its word counts cover every training text, and the probability of a text is exact:
 forward recursion over its classes, times the words' shares.
 
-The states start from a few rounds on a bounded sample (START_ROWS, START_TOKENS), then ROUNDS rounds of Baum-Welch
-run over all training texts, in segments of SEGMENT tokens.  Counts of the HOT most common words go to
+The states start from the class counts of all training texts; every one of the ROUNDS rounds of Baum-Welch
+runs over all of them, in segments of SEGMENT tokens.  Counts of the HOT most common words go to
 the workers as a table; all others are joined.
 
 Defined results: a null or empty text is the end alone; rows come back once each, copies included; a
@@ -19,7 +19,7 @@ word unseen; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ STATES, OWN, TAIL, HOT = 8, 2048, 1024, 200_000
 CLASSES = OWN + TAIL + 1
 END = CLASSES - 1
 SEGMENT, SEGMENTS = 64, 2048
-START_ROWS, START_TOKENS, START_ROUNDS, ROUNDS = 1500, 1_500_000, 12, 2
+ROUNDS = 14
 #: Distinct words a task holds before it hands their counts on.
 COUNTED = 2_000_000
 FAN_IN = 64
@@ -224,19 +224,15 @@ def expected_counts(p: Parameters, classes: np.ndarray, lengths: np.ndarray, lat
     return total
 
 
-def _round(encoded: DataFrame, p: Parameters) -> np.ndarray:
+def _summed(encoded: DataFrame, count: Callable[[list[np.ndarray]], np.ndarray], size: int) -> np.ndarray:
     """Counts over all training rows: summed in each task, then in a tree."""
-    sent = encoded.sparkSession.sparkContext.broadcast(p)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(sum(_SIZES))
+        total = np.zeros(size)
         for batch in batches:
             rows = [np.frombuffer(r.as_py(), np.uint16) for r in batch.column(0)]
             if rows:
-                classes, lengths, later = segments(rows)
-                for at in range(0, len(classes), SEGMENTS):
-                    part = slice(at, at + SEGMENTS)
-                    total += expected_counts(sent.value, classes[part], lengths[part], later[part])
+                total += count(rows)
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "counts": [total.tobytes()]})
 
     def add(table: pa.Table) -> pa.Table:
@@ -248,25 +244,25 @@ def _round(encoded: DataFrame, p: Parameters) -> np.ndarray:
     while parts > FAN_IN:
         sums = sums.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(add, "part long, counts binary")
         parts = -(-parts // FAN_IN)
-    return sum((np.frombuffer(r.counts) for r in sums.toLocalIterator()), np.zeros(sum(_SIZES)))
+    return sum((np.frombuffer(r.counts) for r in sums.toLocalIterator()), np.zeros(size))
+
+
+def _round(encoded: DataFrame, p: Parameters) -> np.ndarray:
+    """Baum-Welch counts over all training rows."""
+    sent = encoded.sparkSession.sparkContext.broadcast(p)
+
+    def count(rows: list[np.ndarray]) -> np.ndarray:
+        classes, lengths, later = segments(rows)
+        return sum(expected_counts(sent.value, classes[a : a + SEGMENTS], lengths[a : a + SEGMENTS], later[a : a + SEGMENTS]) for a in range(0, len(classes), SEGMENTS))
+
+    return _summed(encoded, count, sum(_SIZES))
 
 
 def train(encoded: DataFrame, rounds: int = ROUNDS) -> Parameters:
-    total = encoded.where("learns").count()
-    share = int(min(1.0, 1.2 * START_ROWS / max(total, 1)) * 2**20)
-    sample = encoded.where("learns").where(F.pmod(F.hash("id"), F.lit(2**20)) < share).select("classes").limit(START_ROWS)
-    rows, size = [], 0
-    for r in sample.toLocalIterator():
-        rows.append(np.frombuffer(r.classes, np.uint16))
-        size += len(rows[-1])
-        if size > START_TOKENS:
-            break
-    usual = np.bincount(np.concatenate([np.zeros(0, np.uint16), *rows]), minlength=CLASSES) + 0.1
+    counts = _summed(encoded, lambda rows: np.bincount(np.concatenate(rows), minlength=CLASSES), CLASSES)
+    usual = counts + 0.1
     p = Parameters.first(usual / usual.sum())
-    if rows:
-        classes, lengths, later = segments(rows)
-        for _ in range(START_ROUNDS):
-            p = Parameters.of(sum(expected_counts(p, classes[a : a + SEGMENTS], lengths[a : a + SEGMENTS], later[a : a + SEGMENTS]) for a in range(0, len(classes), SEGMENTS)))
+    if counts.any():
         for _ in range(rounds):
             p = Parameters.of(_round(encoded, p))
     return p

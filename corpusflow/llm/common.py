@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -64,10 +63,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).read()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done with; it does so when they are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Bucketed(Stored):
+    """A table stored in buckets of one column: joins on it shuffle the other side only."""
+
+    def __init__(self, df: DataFrame, column: str, name: str) -> None:
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_dir(self.spark).rstrip('/')}/{self.table}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(buckets, column).option("path", self.path).option("compression", "zstd").saveAsTable(self.table)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        super().drop()
+
+
+def distinct_texts(df: DataFrame, text: str, least_bytes: int = 0) -> Bucketed:
+    """tkey, text, copies: every text of ``least_bytes`` or more once, in buckets of its 16-byte name.
+
+    A task sends a text at most once, so a text that a third of the rows hold makes no large group.
+    """
+    rows = df.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text")).where(F.octet_length("text") >= least_bytes)
+    return Bucketed(rows.groupBy("tkey").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tkey", "texts")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -1,25 +1,28 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
+"""Removal of repeated byte strings by distributed prefix doubling on thinned positions.
 
-A position's rank at length h is a 64-bit name of the h bytes that start there; the rank at 2h names
-the pair of ranks at the position and h further on: 8, 16, 32, ... 512, and other lengths from two
-that overlap.  Spark groups positions by rank at growing lengths and drops those whose rank is unique:
+Every 400-byte window picks the 128-byte position with the least rank inside it; equal windows pick
+alike, so neighbouring windows with one pick are a run, and a run whose pick is unique is unique.  Then
+Spark sorts (position, rank) pairs at growing lengths, drops what is unique and ranks the rest anew:
 
-1. at 128 bytes, of the positions that each 400-byte window's least rank picks (equal windows pick
-   the same place, so a window whose pick is unique is unique);
-2. at 385 bytes, for groups of 16 windows that lie alike around their picks: these bytes are in every
-   window of the group, so where they are unique the windows are;
-3. at 400 bytes, window by window.
+    round    windows told together    bytes that their rank covers
+    picks    up to 273                128
+    runs     up to 273                128, and the run's whole span
+    1 to 4   64, 16, 4, 1             337, 385, 397, 400
 
-At each step a run of windows whose whole span of bytes occurs twice is settled at once, and only one
-copy of it goes on, for others to be held against; what isn't settled goes on itself.
+A run whose whole span of bytes occurs twice is settled at once, and one copy of it goes on for others
+to be held against; a run that is not settled goes on in four times smaller parts.  So rows follow the
+number of places where repeats begin or end, and not the bytes.  Full suffix ranks would need every byte
+as a row in every round, with the same result.
 
-Full suffix ranks would need every byte as a row in every round; this way the rows are about a
-hundredth of the bytes, with the same result.  Equal whole texts are found by a 128-bit name.
+Picks are told by 64 bits, which can only keep a run open; whatever settles a run is a 128-bit name of all
+its bytes, as is a text's name.  Texts are held once each, in buckets of their names, so no round sends a
+text over the network; ranks that many texts share are counted before they are shuffled.
 
 Defined results: a null text is empty; texts under 400 bytes, and empty ones, keep every byte;
 matches never cross rows, and a repeated row is a match for its copy; an empty table gives an empty
 result.  Where a cut leaves part of a UTF-8 character, the text output drops the rest of it, the
-counts and the hash are of bytes.
+counts and the hash are of bytes.  Columns that aren't kept are not read; a kept column named like a
+column of the result gives way to it.  A text is one value of its column, so 2 GB is its bound.
 """
 
 from __future__ import annotations
@@ -29,21 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, text_buffers
-from .common import Stored, arrow_limits, stored, text_key
+from .common import Bucketed, Stored, arrow_limits, distinct_texts, stored, text_key
 
 LENGTH = 400
 PICK = 128
-#: Windows in a group of step 2.
-GROUP = 16
+#: Windows told together in each round after the runs.
+GROUPS = (64, 16, 4, 1)
 #: Bytes of text ranked at a time.
 BLOCK = 1 << 18
-REMEMBERED = 1_000_000
-#: Runs sent as a broadcast; more are joined.
-BROADCAST_ROWS = 1_000_000
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _PLACE = U64((1 << 24) - 1)
 
@@ -53,18 +54,17 @@ def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _A + right * _B + U64(1))
 
 
-def ranks(data: np.ndarray, top: int) -> dict[int, np.ndarray]:
-    """Ranks of every position at 8, 16, ... ``top`` bytes (as far as the data reach)."""
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit names of the ``length`` bytes (a power of two from 8) at every position, by doubling."""
     n = len(data)
     padded = np.concatenate((data, np.zeros(16, np.uint8)))
     raw = np.empty((n + 8) // 8 * 8, U64)
     for shift in range(8):
         part = padded[shift : shift + len(raw)]
         raw[shift::8] = part[: len(part) // 8 * 8].view("<u8")[: len(raw) // 8]
-    out, h = {8: mix(raw[: max(0, n - 7)] * _A + _B)}, 8
-    while h < top:
-        low = out[h]
-        out[2 * h] = pair(low[:-h], low[h:]) if len(low) > h else low[:0]
+    out, h = mix(raw[: max(0, n - 7)] * _A + _B), 8
+    while h < length:
+        out = pair(out[:-h], out[h:]) if len(out) > h else out[:0]
         h *= 2
     return out
 
@@ -102,13 +102,13 @@ def _blocks(offsets: np.ndarray):
 
 
 def picks(data: np.ndarray, offsets: np.ndarray):
-    """Runs of windows with one pick: (row, first and last window, pick, rank of the pick, rank of the span)."""
-    out = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0, U64)] * 2]
+    """Runs of windows with one pick: (row, first and last window, pick, rank of the pick)."""
+    out = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0, U64)]]
     for first_row, end_row, lo, hi in _blocks(offsets):
         if hi - lo < LENGTH:
             continue
-        rank = ranks(data[lo:hi], 512)
-        least = sliding_least((rank[PICK] & ~_PLACE) | np.arange(len(rank[PICK]), dtype=U64), LENGTH - PICK + 1)
+        rank = ranks(data[lo:hi], PICK)
+        least = sliding_least((rank & ~_PLACE) | np.arange(len(rank), dtype=U64), LENGTH - PICK + 1)
         at = (least & _PLACE).astype(np.int64)
         edges = np.clip(offsets[first_row : end_row + 1], lo, hi) - lo
         place = np.arange(len(at))
@@ -122,38 +122,34 @@ def picks(data: np.ndarray, offsets: np.ndarray):
         stop = np.append(np.flatnonzero(new)[1:], len(at))[np.searchsorted(np.flatnonzero(new), start)]
         usable = np.cumsum(fits)
         last = start + (usable[stop - 1] - usable[start])
-        span = last - start + LENGTH
-        name = np.empty(len(start), U64)
-        for h, some in ((256, span < 512), (512, span >= 512)):
-            name[some] = pair(rank[h][start[some]], rank[h][start[some] + span[some] - h])
-        name = pair(name, span.astype(U64) << U64(20) | (at[start] - start).astype(U64))
         shift = lo - offsets[first_row + row[start]]
-        out.append([first_row + row[start], start + shift, last + shift, at[start] + shift, rank[PICK][at[start]], name])
+        out.append([first_row + row[start], start + shift, last + shift, at[start] + shift, rank[at[start]]])
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
-def groups(data: np.ndarray, first, last, at, rank):
-    """Step 2: (run, first, last, rank of what the group's windows share, rank of their span)."""
-    wide = ranks(data, 256)[256]
-    low, high = (at - last) // GROUP, (at - first) // GROUP
+def whole_runs(body: memoryview, first, last, at):
+    """Runs as they are: (run, first, last, rank of the pick, rank of the span)."""
+    shared = [xxhash.xxh3_128_digest(body[a : a + PICK]) for a in at.tolist()]
+    return np.arange(len(first)), first, last, shared, _spans(body, first, last, at)
+
+
+def parts(body: memoryview, first, last, at, group: int):
+    """Runs in parts of ``group`` windows, counted from the pick: (run, first, last, rank of the bytes
+    that all windows of such a part hold, rank of the span)."""
+    low, high = (at - last) // group, (at - first) // group
     run = np.repeat(np.arange(len(first)), high - low + 1)
     j = low[run] + np.arange(len(run)) - np.searchsorted(run, run)
-    start = np.maximum(first[run], at[run] - GROUP * j - GROUP + 1)
-    stop = np.minimum(last[run], at[run] - GROUP * j)
-    core = at[run] - GROUP * j
-    shared = pair(wide[core], wide[core + LENGTH - GROUP + 1 - 256])
-    shared = pair(shared, pair(rank[run], j.astype(U64)))
-    span = pair(wide[start], wide[stop + LENGTH - 256])
-    return run, start, stop, shared, pair(span, (stop - start).astype(U64) << U64(20) | (at[run] - start).astype(U64))
+    core = at[run] - group * j
+    start, stop = np.maximum(first[run], core - group + 1), np.minimum(last[run], core)
+    size = LENGTH - group + 1
+    shared = [xxhash.xxh3_128_digest(body[a : a + size], seed=i) for a, i in zip(core.tolist(), (j + LENGTH).tolist(), strict=True)]
+    return run, start, stop, shared, shared if group == 1 else _spans(body, start, stop, at[run])
 
 
-def single_windows(data: np.ndarray, first, last, at, rank):
-    """Step 3: each window by itself."""
-    wide = ranks(data, 256)[256]
-    run = np.repeat(np.arange(len(first)), last - first + 1)
-    where = first[run] + np.arange(len(run)) - np.searchsorted(run, run)
-    name = pair(wide[where], wide[where + LENGTH - 256])
-    return run, where, where, pair(rank[run], name), name
+def _spans(body: memoryview, first, last, at) -> list[bytes]:
+    """Names of all bytes of runs, and of where the pick lies in them."""
+    places = zip(first.tolist(), (last + LENGTH).tolist(), (at - first + LENGTH).tolist(), strict=True)
+    return [xxhash.xxh3_128_digest(body[a:b], seed=i) for a, b, i in places]
 
 
 def covered(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -168,120 +164,106 @@ def covered(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
-
-
-_RUN = "tkey binary, first long, last long, at long, rank long, span long, asks boolean"
-_NAMES = ["tkey", "first", "last", "at", "rank", "span", "asks"]
+def _picked(texts: Bucketed) -> DataFrame:
+    """tkey, first, last, at, asks: the runs whose pick occurs at least twice.  Texts with copies are held
+    against others only."""
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, first, last, at, rank = picks(*text_buffers(batch.column(1)))
+            place = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), pa.array(first), pa.array(last), pa.array(at), batch.column(2).take(place), pa.array(rank.view(np.int64))], names=["tkey", "first", "last", "at", "asks", "rank"])
 
-def _repeated(rows: DataFrame, name: str) -> DataFrame:
-    """The rows whose rank occurs at least twice; the ranks are shuffled the same way at every size."""
-    every = Stored(rows, name)
+    rows = texts.read().select("tkey", "text", (F.col("copies") == 1).alias("asks"))
+    every = Stored(rows.mapInArrow(pick, "tkey binary, first long, last long, at long, asks boolean, rank long"), "picks")
     twice = every.read().groupBy("rank").count().where("count > 1").select("rank")
-    kept = stored(every.read().join(twice, "rank", "left_semi").select(*_NAMES), f"{name}-repeated")
+    kept = stored(every.read().join(twice, "rank", "left_semi").drop("rank"), "repeated-picks")
     every.drop()
     return kept
 
 
-def _settle(runs: DataFrame, name: str) -> tuple[DataFrame, Stored]:
-    """(runs whose windows all occur twice, runs still open and the copies to hold them against)."""
-    spans = runs.groupBy("rank", "span").agg(F.count("*").alias("n"), F.max("asks").alias("asked"), F.min(F.struct("tkey", "first")).alias("copy"))
-    kinds = spans.groupBy("rank").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("asked").alias("wanted")).where("total > 1 AND wanted")
-    known = spans.join(kinds, "rank").select("rank", "span", "n", "copy", "kinds")
-    held = stored(runs.join(known, ["rank", "span"]), name)
-    is_copy = F.struct("tkey", "first") == F.col("copy")
-    left = held.where((F.col("kinds") > 1) & ((F.col("n") == 1) | is_copy)).withColumn("asks", F.col("asks") & (F.col("n") == 1))
-    rows = left.groupBy("tkey").agg(F.collect_list(F.struct("first", "last", "at", "rank", "asks")).alias("runs"))
-    return held.where("asks AND n > 1").select("tkey", "first", "last"), Stored(rows, f"{name}-open")
+_RUN = "tkey binary, first long, last long, at long, asks boolean, rank binary, span binary"
 
 
-def _expand(docs: DataFrame, left: Stored, make) -> DataFrame:
-    """The next step's rows of the open runs, made from the texts that hold them."""
-    few = left.read().agg(F.sum(F.size("runs"))).first()[0] or 0
-    right = F.broadcast(left.read()) if few <= BROADCAST_ROWS else left.read()
+def _ranked(texts: Bucketed, runs: DataFrame, make) -> DataFrame:
+    """The next round's rows, made where the texts are."""
+    by_text = runs.groupBy("tkey").agg(F.collect_list(F.struct("first", "last", "at", "asks")).alias("runs"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
             lists = batch.column(2)
             for i, key in enumerate(batch.column(0).to_pylist()):
-                if key in seen:
-                    continue
-                if len(seen) < REMEMBERED:
-                    seen.add(key)
                 own = lists[i].values
-                first, last, at, rank = (np.asarray(own.field(k), np.int64) for k in range(4))
-                run, start, stop, name, span = make(data[offsets[i] : offsets[i + 1]], first, last, at, rank.view(U64))
-                asks = np.asarray(own.field(4).to_numpy(zero_copy_only=False), bool)[run]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.binary()), pa.array(start), pa.array(stop), pa.array(at[run]), _signed(name), _signed(span), pa.array(asks)], names=_NAMES)
+                first, last, at = (np.asarray(own.field(k), np.int64) for k in range(3))
+                run, start, stop, rank, span = make(memoryview(batch.column(1)[i].as_buffer()), first, last, at)
+                place = pa.array(run)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(run), pa.binary()), pa.array(start), pa.array(stop), own.field(2).take(place), own.field(3).take(place), pa.array(rank, pa.binary()), pa.array(span, pa.binary())], names=["tkey", "first", "last", "at", "asks", "rank", "span"])
 
-    return docs.join(right, "tkey").select("tkey", "text", "runs").mapInArrow(rows, _RUN)
+    return texts.read().select("tkey", "text").join(by_text.hint("shuffle_hash"), "tkey").select("tkey", "text", "runs").mapInArrow(rows, _RUN)
 
 
-def repeated_windows(df: DataFrame, text: str) -> DataFrame:
-    """tkey, first, last: windows that occur elsewhere too; first = -1 for texts that occur whole twice."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(text_key(raw).alias("tkey"), raw.alias("text")).where(F.octet_length("text") >= LENGTH)
+def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, Stored]:
+    """(runs whose windows all occur twice, runs still open and the copies to hold them against)."""
+    runs = Stored(rows, name)
+    spans = runs.read().groupBy("rank", "span").agg(F.count("*").alias("n"), F.max("asks").alias("asked"), F.min(F.struct("tkey", "first")).alias("copy"))
+    alone = F.col("n") == 1
+    kinds = spans.groupBy("rank").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.col("asked") & alone).alias("open")).where("total > 1")
+    known = spans.join(kinds, "rank").where("open OR (asked AND n > 1)").select("rank", "span", "n", "copy", (F.col("open") & (F.col("kinds") > 1)).alias("goes_on"))
+    held = stored(runs.read().join(known, ["rank", "span"]), f"{name}-held")
+    runs.drop()
+    left = held.where(F.col("goes_on") & (alone | (F.struct("tkey", "first") == F.col("copy"))))
+    return held.where("asks AND n > 1").select("tkey", "first", "last"), left.select("tkey", "first", "last", "at", (F.col("asks") & alone).alias("asks"))
+
+
+def repeated_windows(texts: Bucketed) -> DataFrame:
+    """tkey, first, last: windows that occur elsewhere too, of texts without copies."""
+    settled, left = _settle(_ranked(texts, _picked(texts), whole_runs), "runs")
+    for group in GROUPS:
+        more, left = _settle(_ranked(texts, left, lambda body, first, last, at, group=group: parts(body, first, last, at, group)), f"parts-of-{group}")
+        settled = settled.unionAll(more)
+    return settled
+
+
+def _cut(texts: Bucketed, windows: DataFrame, with_text: bool) -> DataFrame:
+    """_tkey, removed, spans, sha256, kept of every text that loses bytes but isn't repeated whole."""
+    marks = windows.groupBy("tkey").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fresh = batch.column(0).to_pylist(), []
-            for i, key in enumerate(keys):
-                if key not in seen:
-                    fresh.append(i)
-                    if len(seen) < REMEMBERED:
-                        seen.add(key)
-            some = batch.take(pa.array(fresh, pa.int64()))
-            row, first, last, at, rank, span = picks(*text_buffers(some.column(1)))
-            yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array(first), pa.array(last), pa.array(at), _signed(rank), _signed(span), pa.array(np.ones(len(row), bool))], names=_NAMES)
-
-    by_run, left = _settle(_repeated(docs.mapInArrow(pick, _RUN), "runs"), "settled-runs")
-    by_group, left = _settle(_repeated(_expand(docs, left, groups), "groups"), "settled-groups")
-    singles = stored(_expand(docs, left, single_windows), "windows")
-    again = singles.groupBy("rank").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 AND asked").select("rank")
-    by_window = singles.where("asks").join(again, "rank", "left_semi").select("tkey", "first", "last")
-    copies = docs.groupBy("tkey").count().where("count > 1").select("tkey", F.lit(-1).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
-    return by_run.unionAll(by_group).unionAll(by_window).unionAll(copies)
+            out = []
+            for key, text, marked in zip(*batch.columns, strict=True):
+                body = text.as_py().encode()
+                runs = covered(list(zip(marked.values.field(0).to_pylist(), marked.values.field(1).to_pylist(), strict=True)), len(body))
+                edges = [0, *(x for run in runs for x in run), len(body)]
+                left = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                out.append((key.as_py(), len(body) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if with_text else None))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["_tkey", "removed", "spans", "sha256", "kept"])
+
+    marked = texts.read().select("tkey", "text").join(marks.hint("shuffle_hash"), "tkey").select("tkey", "text", "marks")
+    return marked.mapInArrow(cut, "_tkey binary, removed long, spans long, sha256 string, kept string")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """The columns ``keep``, then n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept_text."""
     arrow_limits(df.sparkSession)
-    marks = Stored(repeated_windows(df, text).groupBy("tkey").agg(F.collect_list(F.struct("first", "last")).alias("marks")), "marks")
-    few = marks.read().agg(F.sum(F.size("marks"))).first()[0] or 0
-    right = F.broadcast(marks.read()) if few <= BROADCAST_ROWS else marks.read()
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
     raw = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(text_key(raw).alias("_tkey"), raw.alias("_text"), *keep)
-    rows = rows.join(right, rows["_tkey"] == right["tkey"], "left").select("_text", "marks", *keep)
-    names = [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, some in zip(batch.column(0), batch.column(1), strict=True):
-                body = t.as_py().encode()
-                spans = []
-                if (list_ := some.as_py()) is not None:
-                    pairs = [(m["first"], m["last"]) for m in list_]
-                    spans = [(0, len(body))] if any(a < 0 for a, _ in pairs) else covered(pairs, len(body))
-                parts, at = [], 0
-                for a, b in spans:
-                    parts.append(body[at:a])
-                    at = b
-                left = b"".join([*parts, body[at:]])
-                out.append((len(body), len(body) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if with_text else None))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            own = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *own[: 5 if with_text else 4]], names=names)
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
-    fields += ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["kept_text string"] * with_text]
-    return rows.mapInArrow(cut, ", ".join(fields))
+    keep = [F.col(k) for k in keep if k not in own]
+    rows = df.select(F.struct(*(keep or [F.lit(0).alias("_")])).alias("_row"), raw.alias("_text"), text_key(raw).alias("_tkey"))
+    texts = distinct_texts(rows, "_text", LENGTH)
+    cut = _cut(texts, repeated_windows(texts), with_text).withColumn("whole", F.lit(False))
+    copies = texts.read().where("copies > 1").select(F.col("tkey").alias("_tkey"), F.lit(None).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(hashlib.sha256().hexdigest()).alias("sha256"), F.lit("").alias("kept"), F.lit(True).alias("whole"))
+    lost = stored(cut.unionAll(copies), "lost")
+    texts.drop()
+    rows = rows.select("_row", "_tkey", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.col("_text").cast("binary"), 256).alias("own_sha256"), *["_text"] * with_text)
+    done = rows.join(lost, "_tkey", "left")
+    done = done.withColumn("n_removed", F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0)).cast("long")))
+    done = done.withColumn("n_spans", F.coalesce("spans", F.lit(0)).cast("long")).withColumn("kept_sha256", F.coalesce("sha256", "own_sha256"))
+    if with_text:
+        done = done.withColumn("kept_text", F.coalesce("kept", "_text"))
+    return done.select(*["_row.*"] * bool(keep), *own)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

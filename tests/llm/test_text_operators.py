@@ -101,6 +101,40 @@ def test_repeats_against_brute_force(spark, rows):
     assert got == want
 
 
+def test_repeats_among_many_edited_copies(spark):
+    """Copies with their own edits, copies of copies, and a passage that many texts share."""
+    from corpusflow.llm import suffix_dedup
+
+    base, rows = prose(77, 220), []
+    for i in range(40):
+        words = base.split(" ")
+        for k in range(i % 4):
+            words[(37 * i + 61 * k) % len(words)] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, prose(300 + i, 20) + base[200:650] + prose(400 + i, 20)) for i in range(12)] + [(200, rows[5][1]), (201, rows[5][1])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(table(spark, rows), keep=("doc_id",)).collect()}
+    grams = Counter(t.encode()[k : k + 400] for _, t in rows for k in range(len(t.encode()) - 399))
+    for i, text in rows:
+        b = text.encode()
+        gone = np.zeros(len(b) + 1, np.int8)
+        for k in range(len(b) - 399):
+            if grams[b[k : k + 400]] > 1:
+                gone[k : k + 400] = 1
+        assert got[i] == (int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()))
+
+
+def test_repeats_with_clashing_columns(spark):
+    from corpusflow.llm import suffix_dedup
+
+    shared = prose(31, 120)
+    df = spark.createDataFrame([(1, shared, "a", b"k", 7), (2, shared, None, None, 8), (3, "short", "c", b"", 9), (None, None, None, None, None)], "doc_id long, text string, tkey string, _row binary, n_bytes long")
+    got = suffix_dedup.remove_repeats(df, keep=("doc_id", "tkey", "_row", "n_bytes", "text"), with_text=True)
+    assert got.columns == ["doc_id", "tkey", "_row", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].n_removed == rows[2].n_removed == len(shared.encode()) and rows[1].kept_text == "" and rows[1].tkey == "a"
+    assert rows[3].kept_text == "short" and rows[3].n_removed == 0 and rows[None].n_bytes == 0
+
+
 def test_long_text_is_ranked_in_blocks(spark, monkeypatch):
     import pyarrow as pa
 
@@ -111,7 +145,7 @@ def test_long_text_is_ranked_in_blocks(spark, monkeypatch):
     whole = s.picks(*text_buffers(pa.array([text, "short"])))
     monkeypatch.setattr(s, "BLOCK", 1000)
     parts = s.picks(*text_buffers(pa.array([text, "short"])))
-    spread = lambda p: sorted((r, w, int(k)) for r, a, b, _, k, _ in zip(*p, strict=True) for w in range(a, b + 1))
+    spread = lambda p: sorted((r, w, int(k)) for r, a, b, _, k in zip(*p, strict=True) for w in range(a, b + 1))
     assert spread(whole) == spread(parts) and len(spread(whole)) == len(text) - 399
 
 

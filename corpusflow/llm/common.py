@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,27 @@ def _delete_local(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+_SCRATCH: list[list[Stored]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for lasting ones."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for table in _SCRATCH.pop():
+            table.drop()
+
+
 class Stored:
     """A table written once to the shared folder: lineage is cut, and every reader sees the same rows."""
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    def __init__(self, df: DataFrame, name: str, lasting: bool = False) -> None:
         self.spark = df.sparkSession
+        if _SCRATCH and not lasting:
+            _SCRATCH[-1].append(self)
         self.path = f"{checkpoint_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path, compression="zstd")
         self.schema = df.schema
@@ -58,9 +76,18 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: A table of up to so many bytes goes out as a broadcast, more is joined.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(small: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """A stored table of rows of at most ``row_bytes`` as a broadcast if it is small enough, else as it is."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again."""
-    return Stored(df, name).read()
+    return Stored(df, name, lasting).read()
 
 
 class Bucketed(Stored):
@@ -68,6 +95,8 @@ class Bucketed(Stored):
 
     def __init__(self, df: DataFrame, column: str, name: str) -> None:
         self.spark, self.schema = df.sparkSession, df.schema
+        if _SCRATCH:
+            _SCRATCH[-1].append(self)
         self.table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
         self.path = f"{checkpoint_dir(self.spark).rstrip('/')}/{self.table}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,14 +3,21 @@ verification for each pair, and the components of the links.
 
 Texts become sets of 64-bit names of their n-grams.  Sets are sorted by how common an n-gram is, then
 by name; two sets that link share an n-gram in their prefixes.  How common: document counts of
-n-grams that some partition holds at least twice, the HOT most common of them; others count as rare.
+n-grams that some task meets at least twice, the HOT most common of them; others count as rare.
 The order decides the work only, never the links.
 
-Links are found in rounds.  In a star round each set meets one leader of another component for every
-prefix n-gram, and the leader that shares most is verified, so a large group of near copies costs as
-many pairs as it has members.  The last round takes every pair of sets that share a prefix n-gram,
-pass the filters and still lie in different components.  So no link between components is lost, and
-pairs inside a component are never spelled out.
+Prefixes are shuffled once, by n-gram, in blocks of columns of some eleven bytes an n-gram; only n-grams
+that several sets have go on.  N-grams counted KNOWN times or more are known to, and skip that shuffle,
+so a block bucket holds no hot n-gram.
+
+Links are found in rounds.  In a star round each set that has an n-gram of more than FEW sets meets one
+leader of another component for every such n-gram, and the leader that shares most is verified, so a
+large group of near copies costs as many pairs as it has members.  The last round takes every pair of
+sets that share a prefix n-gram, pass the filters and still lie in different components.  So no link
+between components is lost, and pairs inside a component are never spelled out.
+
+N-grams are equal if their 64-bit names are: in a pair of sets of a thousand n-grams each the chance that
+two different ones are taken for one is 1 in 2 ** 44.  Equal sets are told by 128 bits.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; one with
 fewer words than n has its whole sequence as its one n-gram; equal sets are one class (in a component
@@ -26,19 +33,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, text_buffers, windows, word_spans
-from .common import Stored, arrow_limits, stored, text_key
+from .common import Stored, arrow_limits, scratch, sized, stored, text_key
 from .components import connected_components
 
 HOT = 500_000
 STAR_ROUNDS = 3
-#: N-grams a task counts before it forgets those it saw once; documents whose class it remembers.
-COUNTED, REMEMBERED = 1_500_000, 1_000_000
-#: Up to so many ids go out as a broadcast, more are joined.
-BROADCAST_ROWS = 500_000
+#: N-grams of up to so many sets wait for the last round.
+FEW = 16
+#: An n-gram that was counted so often is shared for certain.
+KNOWN = 1000
+#: N-grams a task collects before it counts them, and counts it holds before it hands them on.
+COLLECTED, COUNTED = 1_000_000, 500_000
+#: Sets whose name a task remembers, so that copies go on once; more only cost rows that are dropped later.
+REMEMBERED = 100_000
+#: N-grams in the blocks that a task writes at a time.
+BLOCK = 1_000_000
 #: Percent.
 THRESHOLD = 75
 _SHORT = U64(0xC2B2AE3D27D4EB4F)
@@ -95,16 +108,26 @@ def _hot_grams(df: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray
     """Sorted names and counts of the most common n-grams; every text is counted, HOT rows come back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        names, counts, pending, size = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+
+        def handed_on() -> pa.RecordBatch:
+            again = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(names[again].view(np.int64)), pa.array(counts[again])], names=["gram", "count"])
+
         for batch in batches:
-            sets = gram_sets(batch.column(0), n)
-            new, more = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_counts=True)
-            both, place = np.unique(np.concatenate([names, new]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, more]), len(both)).astype(np.int64)
-            names = both
-            if len(names) > COUNTED:
-                names, counts = names[counts > 1], counts[counts > 1]
-        yield pa.RecordBatch.from_arrays([pa.array(names[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["gram", "count"])
+            fresh = gram_sets(batch.column(0), n)
+            pending += fresh
+            size += sum(map(len, fresh))
+            if size >= COLLECTED:
+                names, counts = _add_counts(names, counts, pending)
+                pending, size = [], 0
+                if len(names) > COUNTED:
+                    names, counts = names[counts > 1], counts[counts > 1]
+                if len(names) > COUNTED:
+                    yield handed_on()
+                    names, counts = names[:0], counts[:0]
+        names, counts = _add_counts(names, counts, pending)
+        yield handed_on()
 
     rows = df.select(text).mapInArrow(count, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(HOT)
     table = rows.toArrow()
@@ -113,40 +136,116 @@ def _hot_grams(df: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray
     return names[order], counts[order]
 
 
-def _ordered(grams: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rarest first, then by name."""
-    if not len(hot[0]) or not len(grams):
-        return grams
+def _add_counts(names: np.ndarray, counts: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names and counts with one more for each set that holds a name."""
+    both = np.concatenate([names, *sets])
+    weight = np.concatenate([counts, np.ones(len(both) - len(names), np.int64)])
+    order = np.argsort(both)
+    both, weight = both[order], weight[order]
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+    return both[first], np.add.reduceat(weight, first) if len(first) else counts[:0]
+
+
+def _prefix(grams: np.ndarray, hot: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set's rarest n-grams, rarest first and then by name, and whether each is known to be shared."""
+    length = prefix_length(len(grams), percent)
+    if not len(hot[0]):
+        return grams[:length], np.zeros(length, bool)
     at = np.minimum(np.searchsorted(hot[0], grams), len(hot[0]) - 1)
     weight = np.where(hot[0][at] == grams, hot[1][at], 0)
-    return grams[np.argsort(weight, kind="stable")]
+    order = np.argsort(weight, kind="stable")[:length]
+    return grams[order], weight[order] >= KNOWN
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """A column of 32-bit numbers with all low bytes first, so that it compresses."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def pack_block(first_id: int, grams: np.ndarray, row: np.ndarray, place: np.ndarray, size: np.ndarray) -> bytes:
+    """N-grams with their set (as a number from ``first_id`` on), place in it and its size."""
+    return np.array([first_id, len(grams)], "<i8").tobytes() + grams.astype("<u8").tobytes() + _planes(row) + _planes(place) + _planes(size)
+
+
+def unpack_block(raw: bytes):
+    """(ids, n-grams, places, sizes)."""
+    first_id, k = np.frombuffer(raw, "<i8", 2)
+    row, place, size = (_from_planes(raw[16 + 8 * k + 4 * k * i : 16 + 8 * k + 4 * k * (i + 1)]) for i in range(3))
+    return first_id + row, np.frombuffer(raw, "<u8", k, 16), place, size
+
+
+_TABLE = ["id", "doc_id", "tkey", "n_grams", "class", "fresh", "bucket", "block"]
 
 
-def _prefixes(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> Stored:
-    """For every row: id (of this table), doc_id, tkey, n_grams, class (16 bytes), prefix (once a task)."""
+def _prefixes(df: DataFrame, doc_id: str, text: str, n: int, percent: int, buckets: int) -> Stored:
+    """For every row: id (of this table), doc_id, tkey, n_grams, class (16 bytes), fresh (once a task for each
+    class); and rows with bucket and block: prefix n-grams, in buckets from ``buckets`` on if known to be shared."""
     hot = df.sparkSession.sparkContext.broadcast(_hot_grams(df, text, n))
-    names = ["id", "doc_id", "tkey", "n_grams", "class", "prefix"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = TaskContext.get().partitionId() << 36, set()
+        part, seen, done = TaskContext.get().partitionId(), set(), 0
+        pending, held, first = [], 0, 0
+        no_doc = None
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            grams, known, row, place, size = (np.concatenate(c) for c in zip(*pending, strict=True))
+            bucket = np.where(known, buckets + part % buckets, (grams >> U64(32)).astype(np.int64) % buckets)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = order[a:b]
+                raw = pack_block((part << 36) + first, grams[own], row[own] - first, place[own], size[own])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, no_doc), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.bool_()), pa.array([int(bucket[own[0]])], pa.int32()), pa.array([raw], pa.binary())], names=_TABLE)
+
         for batch in batches:
+            no_doc = batch.column(0).type
             sets = gram_sets(batch.column(2), n)
-            keys, prefixes = [], []
-            for grams in sets:
+            keys, fresh = [], []
+            for i, grams in enumerate(sets):
                 key = hashlib.md5(grams.tobytes()).digest()
-                if not len(grams) or key in seen:
-                    prefixes.append(None)
-                else:
-                    prefixes.append(_ordered(grams, hot.value)[: prefix_length(len(grams), percent)].view(np.int64))
+                keys.append(key)
+                fresh.append(bool(len(grams)) and key not in seen)
+                if fresh[-1]:
                     if len(seen) < REMEMBERED:
                         seen.add(key)
-                keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(sets))), batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=names)
-            at += len(sets)
+                    some, known = _prefix(grams, hot.value, percent)
+                    pending.append((some, known, np.full(len(some), done + i), np.arange(len(some)), np.full(len(some), len(grams))))
+                    held += len(some)
+            none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
+            ids = np.arange(done, done + len(sets)) + (part << 36)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(fresh, pa.bool_()), *none], names=_TABLE)
+            done += len(sets)
+            if held >= BLOCK:
+                yield from blocks()
+                pending, held, first = [], 0, done
+        if pending:
+            yield from blocks()
 
     id_type = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
-    return Stored(rows.mapInArrow(make, f"id long, doc_id {id_type}, tkey binary, n_grams long, class binary, prefix array<long>"), "gram-prefixes")
+    return Stored(rows.mapInArrow(make, f"id long, doc_id {id_type}, tkey binary, n_grams long, class binary, fresh boolean, bucket int, block binary"), "gram-prefixes")
+
+
+def _shared_grams(table: DataFrame, buckets: int) -> DataFrame:
+    """id, n (size of the set), p (place), gram, many: prefix n-grams that several sets hold."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("p", pa.int64()), ("gram", pa.int64()), ("many", pa.bool_())])
+
+    def shared(key: tuple, blocks: pa.Table) -> pa.Table:
+        ids, grams, places, sizes = (np.concatenate(c) for c in zip(*map(unpack_block, blocks["block"].to_pylist()), strict=True))
+        times = np.full(len(grams), FEW + 1)
+        if key[0].as_py() < buckets:
+            order = np.argsort(grams)
+            some = grams[order]
+            edges = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1], [True])))
+            times[order] = np.repeat(np.diff(edges), np.diff(edges))
+        kept = times > 1
+        return pa.Table.from_arrays([pa.array(ids[kept]), pa.array(sizes[kept]), pa.array(places[kept]), pa.array(grams[kept].view(np.int64)), pa.array(times[kept] > FEW)], schema=schema)
+
+    return table.where("bucket IS NOT NULL").select("bucket", "block").groupBy("bucket").applyInArrow(shared, "id long, n long, p long, gram long, many boolean")
 
 
 def _passes(n1, p1, n2, p2, percent: int):
@@ -155,11 +254,6 @@ def _passes(n1, p1, n2, p2, percent: int):
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= needed)
 
 
-def _sized(small: DataFrame) -> DataFrame:
-    """A stored table as a broadcast if it is small enough, else as it is."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def _sets(ids: DataFrame, docs: DataFrame, text: str, n: int) -> Stored:
     """(id, grams) of rows (id, tkey, copies), made anew from their texts; once where texts are copies."""
 
@@ -175,7 +269,7 @@ def _sets(ids: DataFrame, docs: DataFrame, text: str, n: int) -> Stored:
             some = batch.take(pa.array(fresh, pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([s.tobytes() for s in gram_sets(some.column(2), n)], pa.binary())], names=["id", "copies", "grams"])
 
-    texts = docs.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text")).join(_sized(ids), "tkey")
+    texts = docs.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text")).join(sized(ids), "tkey")
     made = Stored(texts.select("id", "copies", "text").mapInArrow(make, "id long, copies boolean, grams binary"), "gram-sets")
     once = made.read().where("NOT copies").select("id", "grams").unionAll(made.read().where("copies").select("id", "grams").dropDuplicates(["id"]))
     out = Stored(once, "gram-sets")
@@ -195,52 +289,69 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, text: str, n:
 
     # v is the leader where a round has leaders: its set is one of few, so only u's sets travel.
     leaders = pairs.select(F.col("v").alias("id")).distinct()
-    one = sets.read().select(F.col("id").alias("u"), F.col("grams").alias("a")).join(_sized(pairs), "u")
+    one = sets.read().select(F.col("id").alias("u"), F.col("grams").alias("a")).join(sized(pairs), "u")
     two = sets.read().join(leaders, "id", "left_semi").select(F.col("id").alias("v"), F.col("grams").alias("b"))
     links = Stored(one.join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "links")
     sets.drop()
     return links
 
 
-def _met(rows: DataFrame, turn: int, name: str) -> Stored:
+def _leaders(rows: DataFrame, turn: int) -> DataFrame:
     """Rows (id, n, p, gram, comp) of n-grams that several components hold, each with ``other``: a row
-    of another component with this n-gram, of the largest there is and another in every turn. One
-    shuffle, by n-gram."""
-    by_gram = Window.partitionBy("gram")
+    of another component with this n-gram, of the largest there is and another in every turn."""
     at = F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(turn), "comp").alias("c"), "comp", F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "p")
-    ends = rows.withColumn("low", F.min(at).over(by_gram)).withColumn("high", F.max(at).over(by_gram)).where("low.comp <> high.comp")
-    return Stored(ends.select("id", "n", "p", "gram", "comp", F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high")).alias("other")), name)
+    ends = stored(rows.groupBy("gram").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low.comp <> high.comp"), "leaders")
+    other = F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high"))
+    return rows.join(sized(ends, 128), "gram").select("id", "n", "p", other.alias("other"))
+
+
+def _chosen(met: DataFrame, percent: int) -> DataFrame:
+    """u, v: each set with the leader that shares most prefix n-grams with it."""
+    met = met.where(_passes(F.col("n"), F.col("p"), F.col("other.n"), F.col("other.p"), percent))
+    counted = met.groupBy("id", F.col("other.id").alias("lead")).agg(F.count("*").alias("c"))
+    chosen = stored(counted.groupBy("id").agg(F.max_by("lead", F.struct("c", "lead")).alias("v")).withColumnRenamed("id", "u"), "chosen")
+    # Two sets may have chosen each other.
+    both = chosen.select(F.col("v").alias("u"), F.col("u").alias("v")).where("u > v")
+    return chosen.join(both, ["u", "v"], "left_anti")
+
+
+def _all_apart(rows: DataFrame, percent: int) -> DataFrame:
+    """u, v: all sets of different components that share a prefix n-gram and pass the filters."""
+    apart = stored(rows.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gram"), "apart")
+    live = stored(rows.join(sized(apart), "gram").select("gram", "id", "n", "p", "comp"), "live-grams")
+    one, two = live.alias("a"), live.alias("b")
+    pairs = one.join(two, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") < F.col("b.comp")) & _passes(F.col("a.n"), F.col("a.p"), F.col("b.n"), F.col("b.p"), percent))
+    return pairs.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (smallest id with an equal set) of every row."""
     arrow_limits(df.sparkSession)
-    table = _prefixes(df, doc_id, text, n, percent).read()
+    with scratch():
+        return stored(_components(df, doc_id, text, n, percent), "components", lasting=True)
+
+
+def _components(df: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = _prefixes(df, doc_id, text, n, percent, buckets).read()
+    table = prefixes.where("bucket IS NULL")
     classes = stored(table.where("n_grams > 0").groupBy("class").agg(F.min("id").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
-    again = table.groupBy("tkey").count().where("count > 1").select("tkey", F.lit(True).alias("_c"))
-    names = stored(table.where("prefix IS NOT NULL").select("id", "tkey").join(again, "tkey", "left").select("id", "tkey", F.coalesce("_c", F.lit(False)).alias("copies")), "names")
+    again = stored(table.groupBy("tkey").count().where("count > 1").select("tkey", F.lit(True).alias("_c")), "copied-texts")
+    names = stored(table.where("fresh").select("id", "tkey").join(again, "tkey", "left").select("id", "tkey", F.coalesce("_c", F.lit(False)).alias("copies")), "names")
     # Of equal sets that several tasks met, one goes on.
-    extra = stored(table.where("prefix IS NOT NULL").select("id", "class").join(classes, "class").where("id <> rep").select("id"), "equal-sets")
-    grams = table.where("prefix IS NOT NULL").join(_sized(extra), "id", "left_anti").select("id", F.col("n_grams").alias("n"), F.posexplode("prefix").alias("p", "gram"))
-    shared = _met(grams.withColumn("comp", F.col("id")).withColumn("size", F.lit(1).cast("long")), 0, "shared-grams")
+    extra = stored(table.where("fresh").select("id", "class").join(classes, "class").where("id <> rep").select("id"), "equal-sets")
+    shared = stored(_shared_grams(prefixes, buckets).join(sized(extra), "id", "left_anti"), "shared-grams")
 
     links = tried = comps = None
     for turn in range(STAR_ROUNDS + 1):
-        if comps is not None:
-            rows = shared.read().drop("comp", "other").join(_sized(comps), F.col("id") == F.col("node"), "left")
-            before, shared = shared, _met(rows.select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size")), turn, "shared-grams")
-            before.drop()
-        if turn < STAR_ROUNDS:
-            met = shared.read().where(_passes(F.col("n"), F.col("p"), F.col("other.n"), F.col("other.p"), percent))
-            counted = met.groupBy("id", F.col("other.id").alias("lead")).agg(F.count("*").alias("c"))
-            chosen = stored(counted.groupBy("id").agg(F.max_by("lead", F.struct("c", "lead")).alias("v")).withColumnRenamed("id", "u"), "chosen")
-            # Two sets may have chosen each other.
-            both = chosen.select(F.col("v").alias("u"), F.col("u").alias("v")).where("u > v")
-            pairs = chosen.join(both, ["u", "v"], "left_anti")
+        last = turn == STAR_ROUNDS
+        rows = shared if last else shared.where("many")
+        if comps is None:
+            rows = rows.withColumn("comp", F.col("id")).withColumn("size", F.lit(1).cast("long"))
         else:
-            one, two = shared.read().drop("other").alias("a"), shared.read().drop("other").alias("b")
-            pairs = one.join(two, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") < F.col("b.comp")) & _passes(F.col("a.n"), F.col("a.p"), F.col("b.n"), F.col("b.p"), percent))
-            pairs = pairs.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+            rows = rows.join(sized(comps), F.col("id") == F.col("node"), "left").select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+        pairs = _all_apart(rows, percent) if last else _chosen(_leaders(rows, turn), percent)
         if tried is not None:
             done = tried.unionAll(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
             pairs = pairs.join(done, ["u", "v"], "left_anti")
@@ -249,12 +360,12 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         found = _verified(pairs, df, names, text, n, percent).read()
         links = found if links is None else links.unionAll(found)
         comps = stored(connected_components(links), "components")
-        sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
-        comps = stored(comps.join(sizes, "component"), "components")
-    rows = table.select("id", "doc_id", "n_grams", "class").join(classes, "class", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    rows = rows.select("doc_id", "n_grams", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep", "id").alias("comp"))
-    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "comp").select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id", "class_id")
+        sizes = stored(comps.groupBy("component").agg(F.count("*").alias("size")), "component-sizes")
+        comps = stored(comps.join(sized(sizes), "component"), "components")
+    rows = table.select("id", "doc_id", "n_grams", "class").join(sized(classes), "class", "left").join(sized(comps), F.col("rep") == F.col("node"), "left")
+    rows = stored(rows.select("doc_id", "n_grams", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep", "id").alias("comp")), "members")
+    least = stored(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    return rows.join(sized(least), "comp").select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id", "class_id")
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

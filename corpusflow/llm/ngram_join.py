@@ -298,8 +298,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, text: str, n:
 
 def _leaders(rows: DataFrame, turn: int) -> DataFrame:
     """Rows (id, n, p, gram, comp) of n-grams that several components hold, each with ``other``: a row
-    of another component with this n-gram, of the largest there is and another in every turn."""
-    at = F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(turn), "comp").alias("c"), "comp", F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "p")
+    of another component with this n-gram, of the largest there is: first the one with fewest rarer
+    n-grams, which tells most about sets that differ from a common text by edits, then any other."""
+    nearest = F.col("p").cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+    at = F.struct((-F.col("size")).alias("s"), nearest.alias("h"), F.xxhash64(F.lit(turn), "comp").alias("c"), "comp", "id", "n", "p")
     ends = stored(rows.groupBy("gram").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low.comp <> high.comp"), "leaders")
     other = F.when(F.col("low.comp") != F.col("comp"), F.col("low")).otherwise(F.col("high"))
     return rows.join(sized(ends, 128), "gram").select("id", "n", "p", other.alias("other"))
@@ -316,12 +318,33 @@ def _chosen(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _all_apart(rows: DataFrame, percent: int) -> DataFrame:
-    """u, v: all sets of different components that share a prefix n-gram and pass the filters."""
-    apart = stored(rows.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gram"), "apart")
-    live = stored(rows.join(sized(apart), "gram").select("gram", "id", "n", "p", "comp"), "live-grams")
-    one, two = live.alias("a"), live.alias("b")
-    pairs = one.join(two, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") < F.col("b.comp")) & _passes(F.col("a.n"), F.col("a.p"), F.col("b.n"), F.col("b.p"), percent))
-    return pairs.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+    """u, v: all sets of different components that share prefix n-grams and pass the filters.
+
+    Of two prefixes, the one that ends with the rarer n-gram has all its n-grams compared; so sets share at
+    most the n-grams found and what lies behind that prefix.  N-grams of up to FEW sets are all counted for
+    each pair; of the others both sets may share as many as they have, and pairs that share only such
+    n-grams come from a join of their own, by position."""
+    many, few = rows.where("many"), rows.where("NOT many")
+    apart = stored(many.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gram"), "apart")
+    live = stored(many.join(sized(apart), "gram").select("gram", "id", "n", "p", "comp"), "live-grams")
+    hot = stored(many.groupBy("id").agg(F.count("*").alias("hot")), "hot-counts")
+
+    def met(some: DataFrame, passes) -> DataFrame:
+        one, two = some.alias("a"), some.alias("b")
+        return one.join(two, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") < F.col("b.comp")) & passes)
+
+    an, ap, bn, bp = (F.col(k) for k in ("a.n", "a.p", "b.n", "b.p"))
+    pair = F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")
+    needed = F.ceil(F.lit(percent) * (an + bn) / (100 + percent))
+    behind = F.ceil(F.lit(percent) * F.greatest(an, bn) / 100) - 1
+    counted = met(few.select("gram", "id", "n", "p", "comp"), 100 * F.least(an, bn) >= percent * F.greatest(an, bn)).groupBy(*pair).agg(
+        F.count("*").alias("c"), F.max(F.least(an - ap, bn - bp) - needed).alias("room"), F.first(needed - behind).alias("least")
+    )
+    for k in "uv":
+        counted = counted.join(sized(hot).select(F.col("id").alias(k), F.col("hot").alias(f"hot_{k}")), k, "left")
+    more = F.least(F.coalesce("hot_u", F.lit(0)), F.coalesce("hot_v", F.lit(0)))
+    pairs = counted.where((F.col("c") + more >= F.col("least")) & (F.col("room") + more >= 0)).select("u", "v")
+    return pairs.unionAll(met(live, _passes(an, ap, bn, bp, percent)).select(*pair)).distinct()
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = THRESHOLD) -> DataFrame:
@@ -344,13 +367,14 @@ def _components(df: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
     shared = stored(_shared_grams(prefixes, buckets).join(sized(extra), "id", "left_anti"), "shared-grams")
 
     links = tried = comps = None
-    for turn in range(STAR_ROUNDS + 1):
-        last = turn == STAR_ROUNDS
+    turn, last = 0, False
+    while not last:
+        last = turn == STAR_ROUNDS or (turn > 0 and found.isEmpty())
         rows = shared if last else shared.where("many")
         if comps is None:
             rows = rows.withColumn("comp", F.col("id")).withColumn("size", F.lit(1).cast("long"))
         else:
-            rows = rows.join(sized(comps), F.col("id") == F.col("node"), "left").select("id", "n", "p", "gram", F.coalesce("component", "id").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+            rows = rows.join(sized(comps), F.col("id") == F.col("node"), "left").select("id", "n", "p", "gram", "many", F.coalesce("component", "id").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
         pairs = _all_apart(rows, percent) if last else _chosen(_leaders(rows, turn), percent)
         if tried is not None:
             done = tried.unionAll(tried.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -362,6 +386,7 @@ def _components(df: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
         comps = stored(connected_components(links), "components")
         sizes = stored(comps.groupBy("component").agg(F.count("*").alias("size")), "component-sizes")
         comps = stored(comps.join(sized(sizes), "component"), "components")
+        turn += 1
     rows = table.select("id", "doc_id", "n_grams", "class").join(sized(classes), "class", "left").join(sized(comps), F.col("rep") == F.col("node"), "left")
     rows = stored(rows.select("doc_id", "n_grams", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep", "id").alias("comp")), "members")
     least = stored(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least-ids")

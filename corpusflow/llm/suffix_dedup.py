@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, text_buffers
-from .common import Bucketed, Stored, arrow_limits, distinct_texts, stored, text_key
+from .common import Bucketed, Stored, arrow_limits, distinct_texts, scratch, stored, text_key
 
 LENGTH = 400
 PICK = 128
@@ -176,7 +176,8 @@ def _picked(texts: Bucketed) -> DataFrame:
 
     rows = texts.read().select("tkey", "text", (F.col("copies") == 1).alias("asks"))
     every = Stored(rows.mapInArrow(pick, "tkey binary, first long, last long, at long, asks boolean, rank long"), "picks")
-    twice = every.read().groupBy("rank").count().where("count > 1").select("rank")
+    # Stored, so that Spark can split a rank that many rows hold.
+    twice = stored(every.read().groupBy("rank").count().where("count > 1").select("rank"), "repeated-ranks")
     kept = stored(every.read().join(twice, "rank", "left_semi").drop("rank"), "repeated-picks")
     every.drop()
     return kept
@@ -205,9 +206,9 @@ def _ranked(texts: Bucketed, runs: DataFrame, make) -> DataFrame:
 def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, Stored]:
     """(runs whose windows all occur twice, runs still open and the copies to hold them against)."""
     runs = Stored(rows, name)
-    spans = runs.read().groupBy("rank", "span").agg(F.count("*").alias("n"), F.max("asks").alias("asked"), F.min(F.struct("tkey", "first")).alias("copy"))
+    spans = stored(runs.read().groupBy("rank", "span").agg(F.count("*").alias("n"), F.max("asks").alias("asked"), F.min(F.struct("tkey", "first")).alias("copy")), f"{name}-spans")
     alone = F.col("n") == 1
-    kinds = spans.groupBy("rank").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.col("asked") & alone).alias("open")).where("total > 1")
+    kinds = stored(spans.groupBy("rank").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.col("asked") & alone).alias("open")).where("total > 1"), f"{name}-ranks")
     known = spans.join(kinds, "rank").where("open OR (asked AND n > 1)").select("rank", "span", "n", "copy", (F.col("open") & (F.col("kinds") > 1)).alias("goes_on"))
     held = stored(runs.read().join(known, ["rank", "span"]), f"{name}-held")
     runs.drop()
@@ -245,6 +246,13 @@ def _cut(texts: Bucketed, windows: DataFrame, with_text: bool) -> DataFrame:
     return marked.mapInArrow(cut, "_tkey binary, removed long, spans long, sha256 string, kept string")
 
 
+def _lost(texts: Bucketed, with_text: bool) -> DataFrame:
+    """_tkey, removed, spans, sha256, kept, whole of every text that loses bytes."""
+    cut = _cut(texts, repeated_windows(texts), with_text).withColumn("whole", F.lit(False))
+    none = F.lit(None).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(hashlib.sha256().hexdigest()).alias("sha256")
+    return cut.unionAll(texts.read().where("copies > 1").select(F.col("tkey").alias("_tkey"), *none, F.lit("").alias("kept"), F.lit(True).alias("whole")))
+
+
 def remove_repeats(df: DataFrame, text: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """The columns ``keep``, then n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept_text."""
     arrow_limits(df.sparkSession)
@@ -252,11 +260,8 @@ def remove_repeats(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()
     raw = F.coalesce(F.col(text), F.lit(""))
     keep = [F.col(k) for k in keep if k not in own]
     rows = df.select(F.struct(*(keep or [F.lit(0).alias("_")])).alias("_row"), raw.alias("_text"), text_key(raw).alias("_tkey"))
-    texts = distinct_texts(rows, "_text", LENGTH)
-    cut = _cut(texts, repeated_windows(texts), with_text).withColumn("whole", F.lit(False))
-    copies = texts.read().where("copies > 1").select(F.col("tkey").alias("_tkey"), F.lit(None).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(hashlib.sha256().hexdigest()).alias("sha256"), F.lit("").alias("kept"), F.lit(True).alias("whole"))
-    lost = stored(cut.unionAll(copies), "lost")
-    texts.drop()
+    with scratch():
+        lost = stored(_lost(distinct_texts(rows, "_text", LENGTH), with_text), "lost", lasting=True)
     rows = rows.select("_row", "_tkey", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.col("_text").cast("binary"), 256).alias("own_sha256"), *["_text"] * with_text)
     done = rows.join(lost, "_tkey", "left")
     done = done.withColumn("n_removed", F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0)).cast("long")))

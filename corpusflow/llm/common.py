@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; with MAX_BATCH_BYTES it bounds a worker's memory.
 MAX_BATCH_ROWS = 2000
-MAX_BATCH_BYTES = 16 << 20
+MAX_BATCH_BYTES = 4 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:

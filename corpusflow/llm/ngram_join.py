@@ -47,11 +47,11 @@ FEW = 16
 #: An n-gram that was counted so often is shared for certain.
 KNOWN = 1000
 #: N-grams a task collects before it counts them, and counts it holds before it hands them on.
-COLLECTED, COUNTED = 1_000_000, 500_000
+COLLECTED, COUNTED = 500_000, 300_000
 #: Sets whose name a task remembers, so that copies go on once; more only cost rows that are dropped later.
 REMEMBERED = 100_000
 #: N-grams in the blocks that a task writes at a time.
-BLOCK = 1_000_000
+BLOCK = 300_000
 #: Percent.
 THRESHOLD = 75
 _SHORT = U64(0xC2B2AE3D27D4EB4F)
@@ -254,46 +254,26 @@ def _passes(n1, p1, n2, p2, percent: int):
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= needed)
 
 
-def _sets(ids: DataFrame, docs: DataFrame, text: str, n: int) -> Stored:
-    """(id, grams) of rows (id, tkey, copies), made anew from their texts; once where texts are copies."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            fresh = []
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                if key not in seen:
-                    fresh.append(i)
-                    if len(seen) < REMEMBERED:
-                        seen.add(key)
-            some = batch.take(pa.array(fresh, pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([s.tobytes() for s in gram_sets(some.column(2), n)], pa.binary())], names=["id", "copies", "grams"])
-
-    texts = docs.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text")).join(sized(ids), "tkey")
-    made = Stored(texts.select("id", "copies", "text").mapInArrow(make, "id long, copies boolean, grams binary"), "gram-sets")
-    once = made.read().where("NOT copies").select("id", "grams").unionAll(made.read().where("copies").select("id", "grams").dropDuplicates(["id"]))
-    out = Stored(once, "gram-sets")
-    made.drop()
-    return out
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, text: str, n: int, percent: int) -> Stored:
-    """The pairs (u, v) that link. ``names``: id, tkey, copies of every row."""
+    """The pairs (u, v) that link. ``names``: id, tkey and copies (whether several rows have the text) of
+    every set.  Texts travel, as they are smaller than their sets; of copies a task sends one."""
     ids = stored(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct().join(names, "id"), "pair-ids")
-    sets = _sets(ids, docs, text, n)
+    found = docs.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text")).join(sized(ids), "tkey")
+    texts = found.where("NOT copies").select("id", "text").unionAll(found.where("copies").groupBy("id").agg(F.first("text").alias("text")))
+    texts = stored(texts, "pair-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [linked(np.frombuffer(a.as_py(), U64), np.frombuffer(b.as_py(), U64), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            _, first, place = np.unique(np.asarray(batch.column(1)), return_index=True, return_inverse=True)
+            leaders = gram_sets(batch.column(3).take(pa.array(first)), n)
+            good = [linked(own, leaders[i], percent) for own, i in zip(gram_sets(batch.column(2), n), place.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    # v is the leader where a round has leaders: its set is one of few, so only u's sets travel.
+    # v is the leader where a round has leaders: its text is one of few.
     leaders = pairs.select(F.col("v").alias("id")).distinct()
-    one = sets.read().select(F.col("id").alias("u"), F.col("grams").alias("a")).join(sized(pairs), "u")
-    two = sets.read().join(leaders, "id", "left_semi").select(F.col("id").alias("v"), F.col("grams").alias("b"))
-    links = Stored(one.join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "links")
-    sets.drop()
-    return links
+    one = texts.select(F.col("id").alias("u"), F.col("text").alias("a")).join(sized(pairs), "u")
+    two = texts.join(leaders, "id", "left_semi").select(F.col("id").alias("v"), F.col("text").alias("b"))
+    return Stored(one.join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "links")
 
 
 def _leaders(rows: DataFrame, turn: int) -> DataFrame:
@@ -328,6 +308,7 @@ def _all_apart(rows: DataFrame, percent: int) -> DataFrame:
     apart = stored(many.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gram"), "apart")
     live = stored(many.join(sized(apart), "gram").select("gram", "id", "n", "p", "comp"), "live-grams")
     hot = stored(many.groupBy("id").agg(F.count("*").alias("hot")), "hot-counts")
+    live = live.join(sized(hot), "id")
 
     def met(some: DataFrame, passes) -> DataFrame:
         one, two = some.alias("a"), some.alias("b")
@@ -344,7 +325,8 @@ def _all_apart(rows: DataFrame, percent: int) -> DataFrame:
         counted = counted.join(sized(hot).select(F.col("id").alias(k), F.col("hot").alias(f"hot_{k}")), k, "left")
     more = F.least(F.coalesce("hot_u", F.lit(0)), F.coalesce("hot_v", F.lit(0)))
     pairs = counted.where((F.col("c") + more >= F.col("least")) & (F.col("room") + more >= 0)).select("u", "v")
-    return pairs.unionAll(met(live, _passes(an, ap, bn, bp, percent)).select(*pair)).distinct()
+    by_place = _passes(an, ap, bn, bp, percent) & (F.least("a.hot", "b.hot") >= needed - behind)
+    return pairs.unionAll(met(live, by_place).select(*pair)).distinct()
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = THRESHOLD) -> DataFrame:
@@ -361,7 +343,7 @@ def _components(df: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
     table = prefixes.where("bucket IS NULL")
     classes = stored(table.where("n_grams > 0").groupBy("class").agg(F.min("id").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
     again = stored(table.groupBy("tkey").count().where("count > 1").select("tkey", F.lit(True).alias("_c")), "copied-texts")
-    names = stored(table.where("fresh").select("id", "tkey").join(again, "tkey", "left").select("id", "tkey", F.coalesce("_c", F.lit(False)).alias("copies")), "names")
+    names = stored(table.where("fresh").select("id", "tkey").join(sized(again), "tkey", "left").select("id", "tkey", F.coalesce("_c", F.lit(False)).alias("copies")), "names")
     # Of equal sets that several tasks met, one goes on.
     extra = stored(table.where("fresh").select("id", "class").join(classes, "class").where("id <> rep").select("id"), "equal-sets")
     shared = stored(_shared_grams(prefixes, buckets).join(sized(extra), "id", "left_anti"), "shared-grams")

@@ -3,9 +3,10 @@
 Rows are points of three metadata dimensions: text bytes, language and source (the latter two as
 places in a 2**20 range by hash).  A node that holds more than one leaf's bytes is split at the weighted
 median along its widest dimension; the weight is the size in bytes.  Along a dimension rows are in
-the order of (coordinate, name of the text, name of the row), so the cut can fall anywhere: equal
-texts share the first two and stay together unless a shard's share of bytes would be missed by more
-than TOLERANCE, when the row's own name decides.
+the order of (coordinate, name of the text, name of the row), so the cut can fall anywhere.  Rows of
+equal texts are one point: they get the least language and source among them, so they share all but the
+row's name and stay together unless a node's share of bytes would be missed by more than TOLERANCE, when
+the row's own name decides.
 
 The median is found on histograms: each pass sums the bytes of 2**BITS buckets of every node's open
 range and narrows it to one bucket.  What reaches the driver are these sums, nodes x 2**BITS rows at
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sized, stored
 
 BITS = 12
-#: Share of a node's bytes by which a cut may miss, so that equal texts stay together.
-TOLERANCE = 0.002
+#: Share of a node's bytes by which a cut may miss; and up to which it may miss so that equal texts stay together.
+NEAR, TOLERANCE = 0.002, 0.01
 #: Rows of a shard that are numbered in one task.
 SLICE_ROWS = 50_000
 _COORDINATE, _NAME = 20, 40
@@ -37,10 +38,17 @@ def _place(column: Column) -> Column:
 
 
 def metadata_points(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """doc_id, size, text_crc32, the three coordinates d0..d2, text_name and row_name."""
+    """doc_id, size, text_crc32, the three coordinates d0..d2, text_name and row_name.
+
+    Where rows of equal texts differ in language or source, all get the least of each."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(raw), 64 - _NAME).alias("text_name"), _place(F.col(lang)).alias("d1"), _place(F.col(source)).alias("d2"))
-    return base.withColumn("d0", F.least(F.floor(F.log2("size") * (1 << 14)), F.lit((1 << _COORDINATE) - 1)).cast("long")).withColumn("row_name", F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 4))
+    base = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(raw), 64 - _NAME).alias("text_name"), _place(F.col(lang)).alias("d1"), _place(F.col(source)).alias("d2"), F.unhex(F.md5(raw)).alias("text_md5"))
+    base = stored(base.withColumn("row_name", F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 4)), "metadata")
+    ends = [F.min("d1").alias("m1"), F.max("d1").alias("x1"), F.min("d2").alias("m2"), F.max("d2").alias("x2")]
+    spread = stored(base.groupBy("text_md5").agg(*ends).where("m1 < x1 OR m2 < x2").select("text_md5", "m1", "m2"), "spread-texts")
+    base = base.join(sized(spread), "text_md5", "left").drop("text_md5")
+    base = base.withColumn("d1", F.coalesce("m1", "d1")).withColumn("d2", F.coalesce("m2", "d2")).drop("m1", "m2")
+    return base.withColumn("d0", F.least(F.floor(F.log2("size") * (1 << 14)), F.lit((1 << _COORDINATE) - 1)).cast("long"))
 
 
 def _key(axis: Column) -> Column:
@@ -75,7 +83,7 @@ class _Cut:
             if run + weight >= self.goal:
                 break
             run += weight
-        slack = TOLERANCE * self.total
+        slack = (TOLERANCE if self.shift() == 0 else NEAR) * self.total
         below, above = self.goal - run, run + weight - self.goal
         width = 1 << self.shift()
         start = self.low + bucket * width

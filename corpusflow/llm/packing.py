@@ -7,7 +7,7 @@ a window give full windows, and only their rest is placed, so no other document
 
 Ids are those of the `tokenizers` library for the given file.  Words of Latin letters, digits and
 signs are merged here in bulk (see bpe.py) and remembered; any other word goes to the library.
-Special tokens' strings in a text are ordinary text.  Defined results: a null or empty text is its end
+The string of an added token in a text gives that token, as in the library.  Defined results: a null or empty text is its end
 id alone; every row is packed once, copies and null ids included; an empty table gives no rows.
 """
 
@@ -56,10 +56,11 @@ class WordVocabulary:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        #: Strings that the library takes for a token before it looks at words.
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
         steps = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.split = regex.compile(steps["pattern"]["Regex"])
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -85,7 +86,7 @@ class WordVocabulary:
                     pieces += (word[:-1].lower(), word[-1:])
                     continue
                 text = word.decode()
-                if _PLAIN.fullmatch(text):
+                if _PLAIN.fullmatch(text) and not any(a in word for a in self.added):
                     own = [p.encode() for p in self.split.findall(text.lower())]
                     plain.append((word, len(own)))
                     pieces += own

@@ -254,7 +254,6 @@ def test_packing_places_every_id_once(spark, rows):
 
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     more = [*[(i if i is not None else 900 + k, t) for k, (i, t) in enumerate(rows)], (500, prose(6, 9000)), (501, "É漢 İx y ²½ don't")]
     more = [(1000 + k, t) for k, (_, t) in enumerate(more)]
     pieces = packing.pack_documents(table(spark, more), path).collect()
@@ -313,6 +312,18 @@ def test_shards_are_near_equal_and_numbered(spark, rows):
     assert sum(len(h) > 1 for h in homes.values()) <= 7
 
 
+def test_equal_texts_share_a_shard_whatever_their_metadata(spark):
+    from corpusflow.llm import sharding
+
+    rows = [(k, prose(k, 30 + k % 50), f"l{k % 3}", f"s{k % 7}") for k in range(3000)]
+    rows += [(5000 + k, rows[k % 300][1], None if k % 4 == 0 else f"l{k % 5}", f"t{k % 11}") for k in range(600)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    text, homes = {r[0]: r[1] for r in rows}, {}
+    for x in got:
+        homes.setdefault(text[x.doc_id], set()).add(x.shard)
+    assert len(got) == 3600 and len(homes) < 3600 and all(len(h) == 1 for h in homes.values())
+
+
 @pytest.mark.parametrize("rows_", [[], [(1, None)], [(1, ""), (2, "")]])
 def test_tiny_tables(spark, rows_):
     import public_tokenizers as P

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import held_out, stored
+from corpusflow.llm.common import held_out, sized, stored, text_key
 from corpusflow.llm.langid import UNKNOWN, fit_language_model, predict_language
 from corpusflow.llm.ngram_join import jaccard_components
 from corpusflow.llm.packing import pack_documents
@@ -37,11 +37,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id stays.
 
-    Rows with a null id can't be told from one another and stay; rows that repeat an id count as one
-    document."""
-    stay = jaccard_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionAll(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    A document is its id and text, so rows that share an id but not their text are documents of their own;
+    of those with one id the smallest text name comes first, and a null id comes before all others.  Rows
+    that repeat both count as one document, the one with the least lang, source and n_chars."""
+    key = ["doc_id", "tkey"]
+    rows = docs.select(*COLUMNS).withColumn("tkey", text_key(F.col("text")))
+    members = jaccard_components(rows.withColumn("_key", F.struct(*key)), doc_id="_key")
+    members = members.groupBy("doc_id").agg(F.count("*").alias("copies"), F.min("component_id").alias("first"))
+    gone = stored(members.where(F.col("doc_id") != F.col("first")).select("doc_id.*"), "near-copies")
+    again = stored(members.where((F.col("doc_id") == F.col("first")) & (F.col("copies") > 1)).select("doc_id.*"), "repeated-documents")
+
+    def same(other: DataFrame):
+        return rows["doc_id"].eqNullSafe(other["doc_id"]) & rows["tkey"].eqNullSafe(other["tkey"])
+
+    if again.isEmpty():
+        return rows.join(sized(gone), same(gone), "left_anti").select(*COLUMNS)
+    every = gone.unionAll(again)
+    once = rows.join(sized(again), same(again), "left_semi").groupBy(*key).agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")).select("doc_id", "row.*")
+    return rows.join(sized(every), same(every), "left_anti").select(*COLUMNS).unionAll(once.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -174,3 +174,26 @@ def test_pipeline_stages(spark, planted):
     assert all(cut[i].text == texts[i] for i in cut if i < 100) and all(r.n_chars == len(r.text) for r in cut.values())
     pieces = stages["packing"](spark, single, "").collect()
     assert {r.doc_id for r in pieces} == cut.keys()
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+    from tests.llm.test_text_operators import prose
+
+    a, b, c = prose(1, 90), prose(2, 90), prose(3, 2000)
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (1, b, "en", "s"), (1, b, "de", "r"), (2, a + " more", "en", "s"), (None, c, None, None), (None, None, None, None), (None, None, None, None), (4, c + " end", "en", "s"), (5, "", "en", "s"), (6, "", "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_copies(spark, docs.withColumn("tkey", p.F.lit("x")).withColumn("id", p.F.lit(0)), "")
+    assert got.columns == p.COLUMNS
+    left = sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=repr)
+    assert left == sorted([(1, a, "en"), (1, b, "de"), (None, c, None), (None, None, None), (5, "", "en"), (6, "", "en")], key=repr)
+
+
+def test_pipeline_on_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in p.STAGES[:-1]:
+        left = stage(spark, docs, "")
+        assert left.columns == p.COLUMNS and left.count() == 0
+    assert p.STAGES[-1][1](spark, docs, "").count() == 0

@@ -1,8 +1,8 @@
 """Language identification, words first: a known word scores by its log frequency in each language;
 an unseen word falls back to its 4-, 3-, 2- and 1-character pieces, the longest that are known.
 
-Fitted on a bounded sample of labelled rows (SAMPLE_ROWS) into tables of bounded size (MAX_WORDS,
-MAX_PIECES); prediction reads whole texts.  Defined results: a null text or one without a letter is
+Fitted on a sample of labelled rows, SAMPLE_ROWS on average, of which all words and pieces are kept;
+prediction reads whole texts.  Defined results: a null text or one without a letter is
 ``und`` with score 0; rows without a language or id are scored like all others (rows without a
 language teach nothing); ties go to the first language in sorted order; with nothing to learn from,
 every row is ``und``.  Columns other than id, text and lang are not read.
@@ -18,13 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64
-from .common import arrow_limits, held_out, stored
+from .common import arrow_limits, held_out
 from .letters import LetterWords, text_blocks
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 8000
-MAX_WORDS = 40_000
-MAX_PIECES = 60_000
 PIECES = (4, 3, 2, 1)
 #: Added to every frequency, the same for languages with few examples and many.
 FLOOR = 1e-6
@@ -45,11 +43,9 @@ def pieces(words: LetterWords, chosen: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of the key, never more."""
-    total = df.count()
-    share = int(min(1.0, 1.1 * rows / max(total, 1)) * 2**20)
-    spread = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(29)), F.lit(2**20))
-    return df.where(spread < share).limit(rows)
+    """``rows`` rows on average, chosen by a hash of the key where they are; all, if there are no more."""
+    share = int(min(1.0, rows / max(df.count(), 1)) * 2**40)
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(29)), F.lit(2**40)) < share)
 
 
 class LanguageModel:
@@ -102,7 +98,7 @@ class LanguageModel:
 
 
 def fit_language_model(df: DataFrame, teaches: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Count words and pieces of the sample where the rows are; only bounded tables reach the driver."""
+    """Count words and pieces of the sample where the rows are; the sample bounds what reaches the driver."""
     arrow_limits(df.sparkSession)
     rows = df.where(teaches & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     sample = bounded_sample(rows, sample_rows, "doc_id").select("lang", "text")
@@ -122,20 +118,18 @@ def fit_language_model(df: DataFrame, teaches: Column, doc_id: str = "doc_id", t
                         yield pa.RecordBatch.from_arrays([pa.array([value] * len(found)), pa.array(np.full(len(found), n, np.int32)), pa.array(found.view(np.int64)), pa.array(counts)], names=["lang", "n", "name", "count"])
 
     counted = sample.mapInArrow(count, "lang string, n int, name long, count long").groupBy("n", "name", "lang").agg(F.sum("count").alias("count"))
-    by_name = counted.groupBy("n", "name").agg(F.collect_list(F.struct("lang", "count")).alias("by_lang"), F.sum("count").alias("total")).where("total > 1")
-    by_name = stored(by_name, "language-counts")
-    found: dict[int, list] = {}
-    for n, most in ((0, MAX_WORDS), *((n, MAX_PIECES) for n in PIECES)):
-        found[n] = by_name.where(F.col("n") == n).orderBy(F.desc("total"), "name").limit(most).collect()
-    languages = sorted({x.lang for rows_ in found.values() for row in rows_ for x in row.by_lang})
-    place = {x: i for i, x in enumerate(languages)}
+    found = counted.toArrow()
+    langs = found["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(langs.dictionary.to_pylist())
+    column = np.array([languages.index(x) for x in langs.dictionary.to_pylist()], np.int64)[np.asarray(langs.indices)] if len(found) else np.zeros(0, np.int64)
+    kinds, names, times = np.asarray(found["n"]), np.asarray(found["name"], np.int64), np.asarray(found["count"], np.int64)
     tables = {}
-    for n, rows_ in found.items():
-        counts = np.zeros((len(rows_), max(1, len(languages))))
-        for i, row in enumerate(rows_):
-            for x in row.by_lang:
-                counts[i, place[x.lang]] = x["count"]
-        tables[n] = LanguageModel.table(np.array([r.name for r in rows_], np.int64).view(U64), counts)
+    for n in (0, *PIECES):
+        mine = kinds == n
+        known, row = np.unique(names[mine], return_inverse=True)
+        counts = np.zeros((len(known), max(1, len(languages))))
+        counts[row, column[mine]] = times[mine]
+        tables[n] = LanguageModel.table(known.view(U64), counts)
     return LanguageModel(languages, tables.pop(0), tables)
 
 

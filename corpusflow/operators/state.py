@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,18 +90,23 @@ def progress_line(status: Column, done: Column, total: Column) -> Column:
     return F.when(total > 0, F.format_string("%s %d%%", status, F.floor(100 * done / total))).otherwise(status)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's shared folder; local mode with none set gets one of its own."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; local mode with none set gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
+    return folder
+
 
-        folder = tempfile.mkdtemp(prefix="corpusflow-")
-    spark.sparkContext.setCheckpointDir(folder)
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def replay_agent(requests: DataFrame, model: Callable[[DataFrame], DataFrame], tools: Callable[[Column, Column], Column], most: int) -> DataFrame:

@@ -112,7 +112,7 @@ query("split_heldout", f"WITH {_SPLIT} SELECT doc_id, chunk_idx, source, split F
 query("union_sources", f"WITH {_SPLIT} SELECT split, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM t GROUP BY split")(
     lambda spark, d: split(spark, d).where("split = 'train'").unionByName(split(spark, d).where("split = 'val'")).groupBy("split").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
 )
-query("global_order", f"WITH {_SPLIT} SELECT doc_id, chunk_idx, row_number() OVER (ORDER BY h, doc_id, chunk_idx) AS place FROM t WHERE split = 'val'")(
+query("global_order", f"WITH {_SPLIT} SELECT split, doc_id, chunk_idx, row_number() OVER (PARTITION BY split ORDER BY h, doc_id, chunk_idx) AS place FROM t")(
     lambda spark, d: C.seeded_place(split(spark, d), ["doc_id", "chunk_idx"], by=("split",)).select("split", "doc_id", "chunk_idx", "place")
 )
 _MANIFEST = f"""{_SPLIT}, m AS (SELECT source, count(*) AS chunks, count(*) FILTER (split = 'train') AS chunks_train, count(*) FILTER (split = 'val') AS chunks_val, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(coalesce(sum(length(text)) FILTER (split = 'val'), 0) AS BIGINT) AS characters_val FROM t GROUP BY ROLLUP (source)),
@@ -136,7 +136,7 @@ def split_digests(spark, d):
 
 
 _SEP = " || ".join(f"chr({ord(c)})" if ord(c) < 32 else f"'{c}'" for c in C.SEPARATOR)
-query("sink_split_text", f"WITH {_SPLIT}, b AS (SELECT string_agg(text, {_SEP} ORDER BY h, doc_id, chunk_idx) AS b FROM t WHERE split = 'val') SELECT length(b) AS characters, sha256(b) AS sha256 FROM b")(
+query("sink_split_text", f"WITH {_SPLIT}, b AS (SELECT split, string_agg(text, {_SEP} ORDER BY h, doc_id, chunk_idx) AS b FROM t GROUP BY split) SELECT split, length(b) AS characters, sha256(b) AS sha256 FROM b")(
     lambda spark, d: split_digests(spark, d)
 )
 query("sink_manifest", f"WITH {_MANIFEST} SELECT '{{\"chunks\":' || chunks || ',\"train\":' || chunks_train || ',\"val\":' || chunks_val || ',\"characters\":' || characters || '}}' AS manifest FROM m WHERE source IS NULL")(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import tools as T
@@ -28,8 +30,8 @@ def inline(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-# Checks of answers: whole documents stand in for answers. The SQL still reads these first lines and made-up sentences.
-_ANSWER = "CASE doc_id % 6 WHEN 0 THEN substring(text, 1, 90) WHEN 1 THEN 'I do not know.' WHEN 2 THEN 'It is ' || doc_id || ',000.50 today' WHEN 3 THEN 'אני לא יודע ' || doc_id WHEN 4 THEN 'so so so so so so it is so' ELSE 'yes I am yes I am yes I am here' END"
+# Checks of answers: whole documents stand in for answers.
+_ANSWER = "text"
 
 
 def answers(spark, d):
@@ -92,7 +94,7 @@ _PCT = ", ".join(f"CAST(coalesce(round(100.0 * count(*) FILTER ({c}) / nullif(co
 query("eval_summary", f"WITH {_JUDGED} SELECT count(*) AS cases, {_PCT} FROM j")(lambda spark, d: E.summary(E.judged(cases(spark, d))))
 
 # Training log, from events: an event is a step, purchases carry validation losses.
-_LOG = "SELECT event_id + 1 AS step, CASE WHEN event_id % 25 = 0 THEN value / 100 END AS val_loss, (event_id + 1) * 8192 AS tokens, (event_id + 1) * 1.5 + event_id % 7 AS elapsed_seconds FROM events WHERE event_id < 2000"
+_LOG = "SELECT event_id + 1 AS step, CASE WHEN event_id % 25 = 0 THEN value / 100 END AS val_loss, (event_id + 1) * 8192 AS tokens, (event_id + 1) * 1.5 + event_id % 7 AS elapsed_seconds FROM events"
 
 
 def log(spark, d):
@@ -168,7 +170,7 @@ _GIVEN = [(1, "expression"), (2, ""), (3, "expression,mode"), (4, "mode")]
 query("tool_validate", "SELECT id, CASE id WHEN 2 THEN 'missing: expression' WHEN 4 THEN 'missing: expression' WHEN 3 THEN 'unknown: mode' END AS fault FROM " + values(_GIVEN, "id", "names"))(
     lambda spark, d: inline(spark, _GIVEN, "id int, names string").select("id", T.argument_faults(F.array(F.lit("expression")), F.array(F.lit("expression")), F.filter(F.split("names", ","), lambda x: x != "")).alias("fault"))
 )
-query("tool_execute")(lambda spark, d: inline(spark, [(1, "calculate", '{"expression": "1/0"}'), (2, "nope", "{}"), (3, "days_between", '{"start_date": "2024-01-01", "end_date": "2024-02-01"}')], "id int, name string, arguments string").select("id", T.default_registry().column(F.col("name"), F.col("arguments")).alias("r")).select("id", "r.content", "r.is_error"))
+query("tool_execute", "SELECT * FROM (VALUES (1, 'tool ''calculate'' failed: division by zero', TRUE), (2, 'unknown tool ''nope''; there are ' || 'calculate, days_between', TRUE), (3, '31 day(s); 2024-02-01T00:00:00 is after 2024-01-01T00:00:00', FALSE)) AS v(id, content, is_error)")(lambda spark, d: inline(spark, [(1, "calculate", '{"expression": "1/0"}'), (2, "nope", "{}"), (3, "days_between", '{"start_date": "2024-01-01", "end_date": "2024-02-01"}')], "id int, name string, arguments string").select("id", T.default_registry().column(F.col("name"), F.col("arguments")).alias("r")).select("id", "r.content", "r.is_error"))
 query("tool_schema")(lambda spark, d: inline(spark, [(n, __import__("json").dumps(T.schema_of(f))) for n, f in T.default_registry().tools.items()], "name string, schema string"))
 
 
@@ -201,12 +203,35 @@ query("catalogue_order", "SELECT name, row_number() OVER (ORDER BY CASE tier WHE
 )
 _MINUTE = "(hour(ts) * 60 + minute(ts))"
 query("time_window", f"SELECT event_id, {_MINUTE} >= 1320 OR {_MINUTE} < 360 AS inside FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", S.in_window(F.hour("ts") * 60 + F.minute("ts"), 1320, 360).alias("inside")))
-query("hysteresis")(lambda spark, d: table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v")).select("user_id", S.hysteresis(F.transform("v", lambda x: x["value"]), 60.0, 40.0).alias("states")))
+_FLIPS = "SELECT user_id, ts, event_id, CASE WHEN value >= 60 THEN TRUE WHEN value < 40 THEN FALSE END AS flip FROM events"
+query("hysteresis", f"WITH f AS ({_FLIPS}), s AS (SELECT user_id, ts, event_id, coalesce(last_value(flip IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS state FROM f) SELECT user_id, string_agg(CASE WHEN state THEN '1' ELSE '0' END, '' ORDER BY ts, event_id) AS states FROM s GROUP BY user_id")(lambda spark, d: table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v")).select("user_id", F.array_join(F.transform(S.hysteresis(F.transform("v", lambda x: x["value"]), 60.0, 40.0), lambda on: F.when(on, "1").otherwise("0")), "").alias("states")))
 _PULLS = [(1, "pulling", 50, 200), (2, "verifying", None, None), (3, "pulling", 5, 0)]
 query("pull_progress", "SELECT id, CASE WHEN total > 0 THEN status || ' ' || (100 * done // total) || '%' ELSE status END AS line FROM " + values(_PULLS, "id", "status", "done", "total"))(lambda spark, d: inline(spark, _PULLS, "id int, status string, done long, total long").select("id", S.progress_line(F.col("status"), F.col("done"), F.col("total")).alias("line")))
 query("src_lockfile", "SELECT unnest([5, 7, 9]) AS book_id")(lambda spark, d: inline(spark, [('{"ids": [5, 7, 9]}',)], "value string").select(F.explode(F.from_json("value", "ids array<int>")["ids"]).alias("book_id")))
 _LINES = [(1, '{"step": 1, "train_loss": 2.5}'), (2, ""), (3, '{"step": 2, "val_loss": 2.0'), (4, '{"step": 3, "val_loss": 1.5}')]
 query("log_scan", "SELECT CAST(step AS BIGINT) AS step, CAST(train_loss AS DOUBLE) AS train_loss, CAST(val_loss AS DOUBLE) AS val_loss FROM (VALUES (1, 2.5, NULL), (3, NULL, 1.5)) AS v(step, train_loss, val_loss)")(lambda spark, d: S_FILES.parse_log(inline(spark, _LINES, "id int, value string"), E.LOG_SCHEMA).select("step", "train_loss", "val_loss"))
+
+
+@query("sink_log", "SELECT event_id + 1 AS step, value / 100 AS train_loss, CASE WHEN event_id % 25 = 0 THEN value / 50 END AS val_loss FROM events")
+def sink_log(spark, d):
+    """Every event appended to a log of JSON lines in two goes, and the log read again."""
+    path = f"{S.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    entries = table(spark, d, "events").selectExpr("event_id + 1 AS step", "value / 100 AS train_loss", "CASE WHEN event_id % 25 = 0 THEN value / 50 END AS val_loss")
+    for part in ("step % 2 = 0", "step % 2 = 1"):
+        S_FILES.append_log(entries.where(part), path)
+    return S_FILES.read_log(spark, path, E.LOG_SCHEMA).select("step", "train_loss", "val_loss")
+
+
+@query("sink_reports", "SELECT event_type, count(*) AS events, max(event_id) AS last FROM events GROUP BY event_type")
+def sink_reports(spark, d):
+    """A report, one JSON object a line, replaced as a whole and read again."""
+    path = f"{S.shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    report = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.max("event_id").alias("last"))
+    for _ in range(2):
+        S_FILES.replace_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 _FRAMES = [(1, '{"message": {"thinking": "hm"}, "done": false}'), (2, '{"message": {"content": "4"}, "done": false}'), (3, '{"done": true, "eval_count": 12, "total_duration": 2000000000}')]
 query("ndjson_frames", "SELECT seq, kind, text, CAST(tokens AS BIGINT) AS tokens, CAST(seconds AS DOUBLE) AS seconds FROM (VALUES (1, 'thinking', 'hm', NULL, NULL), (2, 'content', '4', NULL, NULL), (3, 'done', '', 12, 2.0)) AS v(seq, kind, text, tokens, seconds)")(lambda spark, d: S_FILES.chat_frames(inline(spark, _FRAMES, "seq int, value string")))
 

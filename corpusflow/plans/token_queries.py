@@ -26,11 +26,11 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-# SQL's regular expressions have no look-ahead, so it leaves out pieces of white space; the queries keep them.
-_PIECE = K.PATTERN.replace(rf"|[{SPACE}]+(?![^{SPACE}])", "").replace("'", "''")
-_SPLIT = f"regexp_extract_all(regexp_replace(text, '[{SPACE}]+([{SPACE}][^{SPACE}])', '\\1', 'g'), '{_PIECE}')"
+# SQL's regular expressions have no look-ahead; a mark is set before the last blank of a run that a word follows.
+_PIECE = K.PATTERN.replace(rf"|[{SPACE}]+(?![^{SPACE}])", "").replace(rf"[^{SPACE}", rf"[^\x{{E000}}{SPACE}").replace("'", "''")
+_SPLIT = f"regexp_extract_all(regexp_replace(text, '([{SPACE}]+)([{SPACE}][^{SPACE}])', '\\1' || chr(57344) || '\\2', 'g'), '{_PIECE}')"
 _PIECES = f"""q AS (SELECT doc_id, lang, unnest({_SPLIT}) AS p FROM documents),
-r AS (SELECT doc_id, lang, unnest(CASE WHEN regexp_matches(p, '\\p{{Nd}}') THEN regexp_extract_all(p, '(?s).') ELSE [p] END) AS piece FROM q), s AS (SELECT * FROM r WHERE regexp_matches(piece, '[^{SPACE}]'))"""
+s AS (SELECT doc_id, lang, unnest(CASE WHEN regexp_matches(p, '\\p{{Nd}}') THEN regexp_extract_all(p, '(?s).') ELSE [p] END) AS piece FROM q)"""
 
 
 def pieces(spark, d):
@@ -96,18 +96,18 @@ query("n_windows", f"WITH {_POINTS} SELECT doc_id, CAST(len(ids) // 64 AS BIGINT
 query("windows_sequential", f"WITH {_POINTS}, w AS (SELECT doc_id, ids, unnest(range(0, (len(ids) - 1) // 512)) AS window_id FROM i) SELECT doc_id, CAST(window_id AS BIGINT) AS window_id, CAST(list_sum(ids[window_id * 512 + 1 : window_id * 512 + 512]) AS BIGINT) AS input_sum, ids[window_id * 512 + 513] AS last_target FROM w")(
     lambda spark, d: W.array_windows(id_rows(spark, d), 512).select("doc_id", "window_id", F.aggregate("input", F.lit(0).cast("long"), lambda a, x: a + x).alias("input_sum"), F.element_at("target", -1).alias("last_target"))
 )
-_STREAM = f"{_POINTS}, t AS (SELECT unnest(ids) AS token, generate_subscripts(ids, 1) - 1 AS pos FROM i WHERE doc_id = 7)"
+_STREAM = f"{_POINTS}, t AS (SELECT unnest(ids) AS token, generate_subscripts(ids, 1) - 1 AS pos, doc_id FROM i)"
 
 
 def stream(spark, d):
     return id_rows(spark, d).select("doc_id", F.posexplode("ids").alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 
 
-query("bin_scan", f"WITH {_STREAM}, w AS (SELECT pos // 32 AS window_id, pos, token, lead(token) OVER (ORDER BY pos) AS target FROM t) SELECT CAST(window_id AS BIGINT) AS window_id, string_agg(token, ' ' ORDER BY pos) AS input, string_agg(target, ' ' ORDER BY pos) AS target FROM w GROUP BY 1 HAVING count(target) = 32")(
+query("bin_scan", f"WITH {_STREAM}, w AS (SELECT doc_id, pos // 32 AS window_id, pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS target FROM t) SELECT doc_id, CAST(window_id AS BIGINT) AS window_id, string_agg(token, ' ' ORDER BY pos) AS input, string_agg(target, ' ' ORDER BY pos) AS target FROM w GROUP BY 1, 2 HAVING count(target) = 32")(
     lambda spark, d: W.stream_windows(stream(spark, d), 32, keys=("doc_id",)).select("doc_id", "window_id", F.array_join("input", " ").alias("input"), F.array_join("target", " ").alias("target"))
 )
-query("shift_target", f"WITH {_STREAM} SELECT CAST(pos AS BIGINT) AS pos, token, lead(token) OVER (ORDER BY pos) AS target FROM t")(lambda spark, d: W.shifted(stream(spark, d), "doc_id").select("doc_id", "pos", "token", "target"))
+query("shift_target", f"WITH {_STREAM} SELECT doc_id, CAST(pos AS BIGINT) AS pos, token, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS target FROM t")(lambda spark, d: W.shifted(stream(spark, d), "doc_id").select("doc_id", "pos", "token", "target"))
 query("windows_random")(lambda spark, d: W.random_offsets(spark, 1000, 100_000, 512, 1729))
-query("collate", f"WITH {_POINTS}, e AS (SELECT doc_id AS example_id, ids[1:doc_id % 37 + 3] AS ids FROM i), w AS (SELECT *, example_id // 8 AS batch_id, max(len(ids)) OVER (PARTITION BY example_id // 8) AS width FROM e) SELECT batch_id, example_id, CAST(list_sum(ids) AS BIGINT) AS ids_sum, CAST(width AS INTEGER) AS width, CAST(width - len(ids) AS INTEGER) AS padded FROM w")(
+query("collate", f"WITH {_POINTS}, e AS (SELECT doc_id AS example_id, ids FROM i), w AS (SELECT *, example_id // 8 AS batch_id, max(len(ids)) OVER (PARTITION BY example_id // 8) AS width FROM e) SELECT batch_id, example_id, CAST(list_sum(ids) AS BIGINT) AS ids_sum, CAST(width AS INTEGER) AS width, CAST(width - len(ids) AS INTEGER) AS padded FROM w")(
     lambda spark, d: W.collate(id_rows(spark, d).select(F.col("doc_id").alias("example_id"), "ids").withColumn("labels", F.col("ids")), 8, 0).select("batch_id", "example_id", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"), F.size("ids").alias("width"), F.size(F.filter("labels", lambda x: x == -100)).alias("padded"))
 )

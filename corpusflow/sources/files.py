@@ -72,6 +72,16 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def append_log(entries: DataFrame, path: str) -> None:
+    """Add entries to a log of JSON lines; each append adds part files and leaves the others as they are."""
+    entries.write.mode("append").json(path)
+
+
+def replace_report(report: DataFrame, path: str) -> None:
+    """Write a small report as JSON lines in one file; Spark commits it whole or not at all."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def parse_log(lines: DataFrame, schema: str, column: str = "value", required: str = "step") -> DataFrame:
     """The same for lines that are read already, of a stream as well."""
     return lines.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*").where(F.col(required).isNotNull())

@@ -196,6 +196,11 @@ def inject_system(df: DataFrame, prompt: str) -> DataFrame:
 
 
 def leaks(training: DataFrame, prompts: DataFrame, text: str = "text") -> DataFrame:
-    """Prompts that training texts contain, both stripped and lower-cased."""
+    """Prompts that equal a training text, both stripped and lower-cased.
+
+    The texts are filtered by the prompts first, where Spark can send the smaller side: what goes on are
+    keys of texts that are prompts."""
     norm = lambda c: F.lower(strip(F.col(c)))
-    return prompts.withColumn("_k", norm(text)).join(training.select(norm(text).alias("_k")), "_k", "left_semi").drop("_k")
+    asked = prompts.withColumn("_k", norm(text))
+    met = training.select(norm(text).alias("_k")).join(asked.select("_k"), "_k", "left_semi").distinct()
+    return asked.join(met, "_k", "left_semi").drop("_k")

@@ -1,4 +1,4 @@
-"""Byte-level BPE of the reference data flow: pre-tokens, pair counts, training, encoding, decoding.
+"""Byte-level BPE: pre-tokens, pair counts, training, encoding, decoding.
 
 Pre-tokenizing, counting and pair statistics are DataFrame operations over distinct pre-tokens.
 Training collects that table only behind a size check and merges on the driver, since merges follow
@@ -11,11 +11,14 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import SPACE
+from .windows import MAX_VOCAB, check_vocab
 
 _LETTERS = r"\p{L}\p{Nl}\p{No}"
 # Fixed value: contractions, letters, digits, signs, blanks; together they cover every character.
@@ -47,10 +50,14 @@ def count_pieces(df: DataFrame, text: str = "text", specials: tuple[str, ...] =
     return parts.select(F.explode(pretokenize(F.col("t"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("freq"))
 
 
-def byte_ids(piece: Column) -> Column:
-    """UTF-8 bytes as an array of integers."""
-    hexes = F.regexp_extract_all(F.hex(F.encode(piece, "UTF-8")), F.lit(".."), F.lit(0))
-    return F.transform(hexes, lambda h: F.conv(h, 16, 10).cast("int"))
+@F.arrow_udf(ArrayType(IntegerType()))
+def byte_ids(piece: pa.Array) -> pa.Array:
+    """UTF-8 bytes as an array of integers; whole batches at a time."""
+    raw = piece.cast(pa.large_binary()).fill_null(b"")
+    edges = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = raw.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(values.astype(np.int32)), mask=piece.is_null())
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
@@ -236,12 +243,19 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", out: str = "
 
 
 def decode(df: DataFrame, vocabulary: DataFrame, keys: list[str], ids: str = "ids", out: str = "text") -> DataFrame:
-    """Text from ids by a join with the vocabulary; rows with no ids give the empty text."""
-    long = df.select(*keys, F.posexplode(ids).alias("pos", "token_id")).join(vocabulary, "token_id")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex("token").alias("h")))), lambda x: x["h"]), "")
-    text = F.try_to_binary(body, F.lit("hex")).cast("string")
-    joined = long.groupBy(*keys).agg(text.alias(out))
-    return df.select(*keys).join(joined, keys, "left").withColumn(out, F.coalesce(F.make_valid_utf8(F.col(out)), F.lit("")))
+    """Text from ids, row by row; unknown ids give nothing, rows with no ids the empty text.
+
+    The vocabulary goes to the workers: a file of ids of 16 bits bounds it to MAX_VOCAB tokens."""
+    known = vocabulary.limit(MAX_VOCAB + 1).collect()
+    check_vocab(len(known))
+    tokens = df.sparkSession.sparkContext.broadcast({r.token_id: bytes(r.token) for r in known})
+
+    @F.arrow_udf("binary")
+    def joined(rows: pa.Array) -> pa.Array:
+        named = tokens.value
+        return pa.array([b"".join([named.get(i, b"") for i in row or ()]) for row in rows.to_pylist()], pa.binary())
+
+    return df.select(*keys, F.make_valid_utf8(joined(F.col(ids)).cast("string")).alias(out))
 
 
 def compression(df: DataFrame, text: str = "text", ids: str = "ids", by: str = "lang") -> DataFrame:

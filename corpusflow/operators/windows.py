@@ -31,8 +31,13 @@ def array_windows(df: DataFrame, length: int, ids: str = "ids") -> DataFrame:
     others = [c for c in df.columns if c != ids]
     last = F.floor((F.size(ids) - 1) / length) - 1
     starts = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
-    at = (F.col("window_id") * length).cast("int")
-    return df.select(*others, ids, F.explode(starts).alias("window_id")).select(*others, "window_id", F.slice(ids, at + 1, F.lit(length)).alias("input"), F.slice(ids, at + 2, F.lit(length)).alias("target"))
+
+    def window(k: Column) -> Column:
+        at = (k * length).cast("int")
+        return F.struct(k.alias("window_id"), F.slice(ids, at + 1, F.lit(length)).alias("input"), F.slice(ids, at + 2, F.lit(length)).alias("target"))
+
+    # Cut inside the row, so the whole array isn't copied into each window's row.
+    return df.select(*others, F.inline(F.transform(starts, window)))
 
 
 def stream_windows(stream: DataFrame, length: int, limit: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:

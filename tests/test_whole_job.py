@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,18 +180,3 @@ def test_counts_pairs_and_merges_hold_blank_pieces(spark, brute_pieces):
 def test_agent_loop_replays_every_request(spark):
     assert spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id >= 100").count() > 0
     same_as(spark, "agent_loop", registry.SQL["agent_loop"].replace(" WHERE doc_id < 100", ""), SMALL)
-
-
-def test_every_round_of_the_language_model_sees_every_text(spark):
-    from corpusflow.llm import hmm_lm as h
-
-    r = np.random.default_rng(3)
-    texts = [r.integers(0, 40 + 400 * (k % 3), 12).astype(np.uint16) for k in range(4000)]
-    encoded = spark.createDataFrame([(k, k % 7 != 2, bytearray(t.tobytes())) for k, t in enumerate(texts)], "id long, learns boolean, classes binary")
-    rows = [t for k, t in enumerate(texts) if k % 7 != 2]
-    usual = np.bincount(np.concatenate(rows), minlength=h.CLASSES) + 0.1
-    p = h.Parameters.first(usual / usual.sum())
-    for _ in range(14):
-        p = h.Parameters.of(h.expected_counts(p, *h.segments(rows)))
-    got = h.train(encoded)
-    assert np.allclose(got.start, p.start) and np.allclose(got.moves, p.moves) and np.allclose(got.emits, p.emits)

@@ -19,13 +19,37 @@ def _session():
 
 
 def build(spark, tables: str, out: str) -> dict:
-    """Clean, filter, chunk and split ``documents``; Parquet by split, and the manifest as JSON."""
-    from .plans.corpus_queries import corpus_manifest, split
-
-    split(spark, tables).write.mode("overwrite").partitionBy("split").parquet(f"{out}/chunks")
-    manifest = corpus_manifest(spark, tables)
-    manifest.write.mode("overwrite").json(f"{out}/manifest")
-    return {r["source"] or "*": r["chunks"] for r in manifest.collect()}
+    """Clean, filter, chunk and split ``documents`` (by their column ``cleaner``, if there is one).
+
+    ``chunks`` holds Parquet by split, ``text/train`` and ``text/val`` the split texts in seeded order with
+    the separator behind each chunk, ``manifest`` one JSON object: counts by source and in all, and how the
+    split was made."""
+    from pyspark.sql import functions as F
+
+    from .functions.text import clean_by
+    from .operators import corpus as C
+    from .sources.files import replace_report
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    if "cleaner" not in docs.columns:
+        docs = docs.withColumn("cleaner", F.lit("generic"))
+    cleaned = clean_by(docs.select("doc_id", "source", "text", "cleaner"), "cleaner", "text").drop("cleaner")
+    keys = ["doc_id", "chunk_idx"]
+    parts = C.held_out_split(C.chunks(cleaned.where(C.long_enough(F.col("text")))), keys, per_mille=round(1000 * C.HELD_OUT))
+    parts.write.mode("overwrite").partitionBy("split").parquet(f"{out}/chunks")
+    spark.catalog.clearCache()
+    made = spark.read.parquet(f"{out}/chunks")
+    for split in ("train", "val"):
+        ordered = made.where(F.col("split") == split).orderBy(C.seeded(C.SEED, *keys), *keys).select("text")
+        ordered.write.mode("overwrite").option("lineSep", C.SEPARATOR).text(f"{out}/text/{split}")
+    counts = C.manifest(made, cleaned.where(~C.long_enough(F.col("text"))))
+    fields = [c for c in counts.columns if c != "source"]
+    every = [F.max(F.when(F.col("source").isNull(), F.col(c))).alias(c) for c in fields]
+    settings = F.struct(F.lit(C.HELD_OUT).alias("val_fraction"), F.lit(C.SEED).alias("seed"), F.lit("characters").alias("unit"))
+    report = counts.agg(F.sort_array(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", *fields)))).alias("sources"), *every, F.first(settings).alias("split"))
+    replace_report(report, f"{out}/manifest")
+    row = spark.read.schema(report.schema).json(f"{out}/manifest").first()
+    return {r["source"]: r["chunks"] for r in row.sources} | {"*": row.chunks}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -180,3 +180,24 @@ def test_counts_pairs_and_merges_hold_blank_pieces(spark, brute_pieces):
 def test_agent_loop_replays_every_request(spark):
     assert spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id >= 100").count() > 0
     same_as(spark, "agent_loop", registry.SQL["agent_loop"].replace(" WHERE doc_id < 100", ""), SMALL)
+
+
+def test_build_writes_chunks_texts_and_manifest(spark, tmp_path):
+    import json
+
+    from corpusflow.cli import build
+
+    got = build(spark, SMALL, str(tmp_path))
+    chunks = spark.read.parquet(f"{tmp_path}/chunks").collect()
+    assert got["*"] == len(chunks) == sum(n for name, n in got.items() if name != "*")
+    assert Counter(r.source for r in chunks) == {name: n for name, n in got.items() if name != "*"}
+    for split in ("train", "val"):
+        files = sorted((tmp_path / "text" / split).glob("part-*"))
+        texts = "".join(f.read_text(encoding="utf-8") for f in files).split(C.SEPARATOR)[:-1]
+        key = lambda r: (hashlib.md5(f"{C.SEED}|{r.doc_id}|{r.chunk_idx}".encode()).hexdigest(), r.doc_id, r.chunk_idx)
+        assert texts == [r.text for r in sorted((r for r in chunks if r.split == split), key=key)]
+    (line,) = [x for f in (tmp_path / "manifest").glob("part-*") for x in f.read_text().splitlines()]
+    manifest = json.loads(line)
+    assert manifest["split"] == {"val_fraction": C.HELD_OUT, "seed": C.SEED, "unit": "characters"}
+    assert manifest["chunks"] == manifest["chunks_train"] + manifest["chunks_val"] and manifest["characters"] == sum(len(r.text) for r in chunks)
+    assert manifest["skipped_too_short"] > 0

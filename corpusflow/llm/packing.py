@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ FAN_IN = 16
 END_ID = 2
 #: Words a worker remembers, first come.
 MEMORY = 500_000
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 #: Words whose ids are found here: no controls, no spaces, nothing that normalisation recombines.
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-įı-ɏ]+")
 #: Signs that are a piece of their own behind a word.
@@ -61,6 +62,7 @@ class WordVocabulary:
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         #: Strings that the library takes for a token before it looks at words.
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.added_start = commonprefix(self.added)
         steps = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.split = regex.compile(steps["pattern"]["Regex"])
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
@@ -86,7 +88,7 @@ class WordVocabulary:
                     pieces += (word[:-1].lower(), word[-1:])
                     continue
                 text = word.decode()
-                if _PLAIN.fullmatch(text) and not any(a in word for a in self.added):
+                if _PLAIN.fullmatch(text) and not (self.added_start in word and any(a in word for a in self.added)):
                     own = [p.encode() for p in self.split.findall(text.lower())]
                     plain.append((word, len(own)))
                     pieces += own

@@ -33,7 +33,9 @@ from .common import Stored, arrow_limits, held_out, stored
 STATES, OWN, TAIL, HOT = 8, 2048, 1024, 200_000
 CLASSES = OWN + TAIL + 1
 END = CLASSES - 1
-SEGMENT, SEGMENTS = 64, 2048
+SEGMENT, SEGMENTS = 64, 1024
+#: Steps between two scalings of Baum-Welch's forward rows.
+RESCALE = 8
 ROUNDS = 14
 #: Distinct words a task holds before it hands their counts on.
 COUNTED = 2_000_000
@@ -155,7 +157,7 @@ class Parameters:
 
     def __init__(self, start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> None:
         self.start, self.moves, self.emits = start, moves, emits
-        self.by_class = np.ascontiguousarray(np.vstack([emits.T, np.ones(emits.shape[0])]))
+        self.by_class = np.ascontiguousarray(emits.T)
 
     @classmethod
     def first(cls, usual: np.ndarray, seed: int = 7) -> Parameters:
@@ -186,41 +188,62 @@ def segments(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """(classes padded with CLASSES, lengths, 0 for a text's first segment and 1 for later ones)."""
     lengths = np.array([len(r) for r in rows], np.int64)
     each = -(-lengths // SEGMENT)
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    segment = np.repeat(np.cumsum(each) - each, lengths) + place // SEGMENT
+    first = np.cumsum(each) - each
     out = np.full((int(each.sum()), SEGMENT), CLASSES, np.int64)
-    out[segment, place % SEGMENT] = np.concatenate(rows)
+    # A text's segments lie one after the other, so its tokens stay in one run.
+    shift = first * SEGMENT - (np.cumsum(lengths) - lengths)
+    out.ravel()[np.repeat(shift, lengths) + np.arange(lengths.sum())] = np.concatenate(rows)
     later = np.ones(len(out), np.int64)
-    later[(np.cumsum(each) - each)[each > 0]] = 0
-    return out, (out < CLASSES).sum(1), later
+    later[first[each > 0]] = 0
+    sizes = np.full(len(out), SEGMENT)
+    sizes[(first + each - 1)[each > 0]] = (lengths - (each - 1) * SEGMENT)[each > 0]
+    return out, sizes, later
 
 
 def expected_counts(p: Parameters, classes: np.ndarray, lengths: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Baum-Welch counts of a block of segments."""
-    n, steps = classes.shape
-    alpha, scale = np.empty((steps, n, STATES)), np.empty((steps, n, 1))
-    now = p.start[later] * p.by_class[classes[:, 0]]
+    """Baum-Welch counts of a block of segments.
+
+    Longest segments lie first, so step t works on the first ``active[t]`` of them only.  Rows of states
+    are contiguous over segments; posteriors don't depend on a factor of a class's emissions, so each class
+    is scaled to at most 1 and forward rows need scaling at every RESCALE-th step only.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    lengths, later = lengths[order], later[order]
+    n, steps = len(lengths), int(lengths[0])
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+    at = np.concatenate(([0], np.cumsum(active)))
+    by_step = classes[order, :steps].T
+    flat = by_step[np.arange(n) < active[:, None]]
+    seen = np.take(p.emits / p.emits.max(0), flat, axis=1, mode="clip")
+    alpha, back, scales = np.empty_like(seen), np.ascontiguousarray(p.moves.T), {}
     for t in range(steps):
-        if t:
-            now = (alpha[t - 1] @ p.moves) * p.by_class[classes[:, t]]
-        scale[t, :, 0] = now.sum(1)
-        alpha[t] = now / scale[t]
+        a, m = at[t], active[t]
+        here = alpha[:, a : a + m]
+        before = p.start.T[:, later] if t == 0 else back @ alpha[:, at[t - 1] : at[t - 1] + m]
+        np.multiply(before, seen[:, a : a + m], out=here)
+        if t % RESCALE == RESCALE - 1:
+            scales[t] = here.sum(0)
+            here /= scales[t]
     total = np.zeros(sum(_SIZES))
     start, moves, emits = unpack(total)
-    beta = np.ones((n, STATES))
+    beta = np.empty((STATES, n))
     for t in range(steps - 1, -1, -1):
-        gamma = alpha[t] * beta
-        alpha_t = alpha[t]
+        a, m = at[t], active[t]
+        here, open_ = alpha[:, a : a + m], active[t + 1] if t + 1 < steps else 0
+        beta[:, open_:m] = 1 / here[:, open_:].sum(0)
+        now = beta[:, :m]
+        ahead = seen[:, a : a + m]
+        ahead *= now
+        here *= now
         if t:
-            ahead = p.by_class[classes[:, t]] * beta / scale[t]
-            moves += alpha[t - 1].T @ (ahead * (t < lengths)[:, None])
-            beta = ahead @ p.moves.T
-        alpha_t[:] = gamma
+            if t in scales:
+                ahead /= scales[t]
+            moves += alpha[:, at[t - 1] : at[t - 1] + m] @ ahead.T
+            np.matmul(p.moves, ahead, out=now)
     moves *= p.moves
-    flat = classes.T.ravel()
     for k in range(STATES):
-        emits[k] = np.bincount(flat, alpha[:, :, k].ravel(), CLASSES + 1)[:CLASSES]
-        start[:, k] = np.bincount(later, alpha[0, :, k], 2)
+        emits[k] = np.bincount(flat, alpha[k], CLASSES)
+        start[:, k] = np.bincount(later, alpha[k, :n], 2)
     return total
 
 

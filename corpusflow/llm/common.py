@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +122,33 @@ def distinct_texts(df: DataFrame, text: str, least_bytes: int = 0) -> Bucketed:
     return Bucketed(rows.groupBy("tkey").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "tkey", "texts")
 
 
+#: Vectors that one step of a sum adds, and their bytes.
+FAN_IN, FAN_IN_BYTES = 64, 64 << 20
+
+
+def summed(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int, parts: int | None = None) -> np.ndarray:
+    """The sum of ``count`` over all batches of ``df``, a vector of ``size``: by task, then in a tree whose
+    steps, the driver's last one among them, add a bounded number of vectors.  ``parts``: partitions, if known."""
+    fan_in = max(2, min(FAN_IN, FAN_IN_BYTES // (8 * size)))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += count(batch)
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "counts": [total.tobytes()]})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py()) for c in table["counts"])
+        return pa.table({"part": pa.array([table["part"][0].as_py() // fan_in], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts, sums = parts or df.rdd.getNumPartitions(), df.mapInArrow(local, "part long, counts binary")
+    while parts > fan_in:
+        sums = sums.groupBy(F.floor(F.col("part") / fan_in)).applyInArrow(add, "part long, counts binary")
+        parts = -(-parts // fan_in)
+    return sum((np.frombuffer(r.counts) for r in sums.collect()), np.zeros(size))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

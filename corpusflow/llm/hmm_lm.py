@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, SPACE, U64, mix, text_buffers, word_spans
-from .common import Stored, arrow_limits, held_out, stored
+from .common import Stored, arrow_limits, held_out, stored, summed
 
 STATES, OWN, TAIL, HOT = 8, 2048, 1024, 200_000
 CLASSES = OWN + TAIL + 1
@@ -39,7 +39,6 @@ RESCALE = 8
 ROUNDS = 14
 #: Distinct words a task holds before it hands their counts on.
 COUNTED = 2_000_000
-FAN_IN = 64
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,26 +247,8 @@ def expected_counts(p: Parameters, classes: np.ndarray, lengths: np.ndarray, lat
 
 
 def _summed(encoded: DataFrame, count: Callable[[list[np.ndarray]], np.ndarray], size: int) -> np.ndarray:
-    """Counts over all training rows: summed in each task, then in a tree."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for batch in batches:
-            rows = [np.frombuffer(r.as_py(), np.uint16) for r in batch.column(0)]
-            if rows:
-                total += count(rows)
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "counts": [total.tobytes()]})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py()) for c in table["counts"])
-        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN_IN], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    training = encoded.where("learns").select("classes")
-    parts, sums = training.rdd.getNumPartitions(), training.mapInArrow(local, "part long, counts binary")
-    while parts > FAN_IN:
-        sums = sums.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(add, "part long, counts binary")
-        parts = -(-parts // FAN_IN)
-    return sum((np.frombuffer(r.counts) for r in sums.toLocalIterator()), np.zeros(size))
+    """Counts over all training rows."""
+    return summed(encoded.where("learns").select("classes"), lambda batch: count([np.frombuffer(r.as_py(), np.uint16) for r in batch.column(0)]), size)
 
 
 def _round(encoded: DataFrame, p: Parameters) -> np.ndarray:

@@ -67,7 +67,7 @@ class Rows:
         return sums[self.pointers[1:]] - sums[self.pointers[:-1]]
 
     def transposed_dot(self, values: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.columns, np.repeat(values, np.diff(self.pointers)), size)
+        return np.bincount(self.columns, np.repeat(values, np.diff(self.pointers)), size).astype(float)  # of no rows it is whole numbers
 
     def restrict(self, place: np.ndarray) -> Rows:
         """Renumber columns by ``place``; those at -1 go."""

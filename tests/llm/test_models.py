@@ -82,6 +82,27 @@ def test_non_negative_risk_does_not_overfit_unlabelled_positives():
     assert sigmoid(w[0] + w[1] + b) > 0.8 and sigmoid(w[2] + b) < 0.1
 
 
+def test_toxicity_sums_cover_every_text(spark, monkeypatch):
+    """Counts and gradients from Spark, in a tree of two at a step, against one pass over all texts."""
+    from corpusflow.llm import common
+    from corpusflow.llm import toxicity as t
+
+    monkeypatch.setattr(common, "FAN_IN", 2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts = [" ".join(words[(k * j) % 6] for j in range(k % 4 + 1)) for k in range(300)] + ["", ""]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(7)
+    pointers, found = t.features(texts)
+    held = np.unique(found)[::2]
+    counts, n = t._text_counts(df, held)
+    assert n == 302 and np.array_equal(counts, np.bincount(found, minlength=t.DIMENSIONS)[held])
+    place = np.full(t.DIMENSIONS, -1)
+    place[held] = np.arange(len(held))
+    rows = t.Rows([found[a:b] for a, b in zip(pointers[:-1], pointers[1:], strict=True)]).restrict(place)
+    w = np.random.default_rng(0).normal(size=len(held) + 1)
+    got = t._sums_of(t._patterns(df, held).read().repartition(5))(w)
+    assert np.allclose(got, t.negative_sums(rows, np.ones(302), w))
+
+
 def hmm_brute(p, seq):
     a = p.start[0] * p.emits[:, seq[0]]
     total = math.log10(a.sum())

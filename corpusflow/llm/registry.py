@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hmm_lm, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk, toxicity
+from . import bpe, fim, hmm_lm, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_exact_top_k": topk.SQL,
+    "op11_fill_in_middle": fim.SQL,
 }

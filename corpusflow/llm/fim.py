@@ -74,7 +74,7 @@ def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", un
     def draw(k: int) -> Column:
         return F.conv(F.substring("_name", 8 * k + 1, 8), 16, 10).cast("long")
 
-    rows = df.select(*keep, F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), name.alias("_name"))
+    rows = df.select(F.struct(*keep, F.lit(0).alias("")).alias("_kept"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), name.alias("_name"))
     rows = rows.withColumn("_marked", F.regexp_replace(escaped(F.col("text")), unit, "$0" + CUT))
     rows = rows.withColumn("n_units", (F.octet_length("_marked") - F.octet_length(F.replace("_marked", F.lit(CUT), F.lit("")))).cast("long"))
     places = F.col("n_units") + 1
@@ -91,7 +91,7 @@ def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", un
     rows = rows.withColumns({k: F.when(F.col("form") != PLAIN, unescaped(v)) for k, v in parts.items()})
     p, s, m = (F.concat(F.lit(getattr(markers, k)), F.col(k)) for k in ("prefix", "suffix", "middle"))
     output = F.when(F.col("form") == PLAIN, F.col("text")).when(F.col("form") == PSM, F.concat(p, s, m)).otherwise(F.concat(s, p, m))
-    return rows.withColumn("output", output).select(*keep, *OWN)
+    return rows.withColumn("output", output).select(*(F.col("_kept")[k].alias(k) for k in keep), *OWN)
 
 
 def restored(output: Column, form: Column, markers: Markers = Markers()) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fim, hmm_lm, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk, toxicity
+from . import bpe, chat_windows, fim, hmm_lm, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_chat_formatting": chat_windows.op12_chat_formatting,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_exact_top_k": topk.SQL,
     "op11_fill_in_middle": fim.SQL,
+    "op12_chat_formatting": chat_windows.SQL,
 }

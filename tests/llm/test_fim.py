@@ -59,7 +59,8 @@ def test_other_units_and_markers(spark):
 
 def test_kept_and_clashing_columns(spark):
     rows = table(spark, [(1, "a\nb")]).withColumnRenamed("id", "_marked").withColumnRenamed("tkey", "form")
-    assert fim.fill_in_middle(rows, keep=("lang", "source")).columns[:3] == ["lang", "source", "doc_id"]
+    made = fim.fill_in_middle(rows, keep=("lang", "source", "_marked"))
+    assert made.columns[:4] == ["lang", "source", "_marked", "doc_id"] and made.first()._marked == "y"
     with pytest.raises(ValueError):
         fim.fill_in_middle(rows, keep=("form",))
 

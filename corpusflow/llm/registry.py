@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_windows, fim, hmm_lm, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk, toxicity
+from . import alignment, bpe, chat_windows, fim, hmm_lm, langid, ngram_join, packing, quality, sharding, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_chat_formatting": chat_windows.op12_chat_formatting,
+    "op13_cross_tokenizer_alignment": alignment.op13_cross_tokenizer_alignment,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.SQL,

@@ -27,18 +27,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Bucketed, arrow_limits, scratch, sized, stored
+from .common import Bucketed, arrow_limits, by_fewer_keys, scratch, sized, stored
 
 #: Where a text is parted: single spaces between characters that aren't white space.
 EDGE = re.compile(r" (?<=\S )(?=\S)")
+#: A space beside white space, which is no edge.
+_BESIDE = re.compile(r" \s|[^\S ] ")
 #: Bytes of text whose pieces are listed together, characters parted at a time, and rows sent at a time.
 BLOCK_BYTES, STEP_CHARS, ROWS = 32 << 20, 1 << 20, 20_000
 TOKENS = "array<struct<id:int,bytes:int>>"
@@ -73,22 +76,38 @@ class Pair:
 
     def whole(self, pieces: list[str]) -> list[str]:
         """Those whose text the second tokenizer's pieces hold as it is."""
+        said = " ".join(pieces)
+        if "▁" not in said and self.b.normalize(said).replace("▁", " ") == " " + said:
+            return pieces
         return [p for p, n in zip(pieces, self.b.normalize(pieces), strict=True) if "▁" not in p and n.replace("▁", " ") == " " + p]
 
-    def tokens_a(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+    def tokens_a(self, pieces: list[str]) -> list[int]:
+        """Ids of all pieces in a row; those between which all joints are edges are encoded as one text."""
+        out: list[int] = []
+        start = 0
+        for k in range(1, len(pieces) + 1):
+            if k == len(pieces) or pieces[k - 1][-1].isspace() or pieces[k][0].isspace():
+                out += self.a.encode_batch_fast([" " + " ".join(pieces[start:k])], add_special_tokens=False)[0].ids
+                start = k
+        return out
 
-    def tokens_b(self, pieces: list[str]) -> list[list[int]]:
-        return self.b.encode(pieces, num_threads=1)
+    def tokens_b(self, pieces: list[str]) -> list[int]:
+        return list(chain.from_iterable(self.b.encode(pieces, num_threads=1)))
+
+
+def _split(text: str) -> list[str]:
+    if text[0] == " " or text[-1] == " " or _BESIDE.search(text):
+        return EDGE.split(text)
+    return text.split(" ")
 
 
 def parted(text: str) -> Iterator[list[str]]:
     """A text's pieces, some at a time."""
     at = 0
     while len(text) - at > STEP_CHARS and (edge := EDGE.search(text, at + STEP_CHARS)):
-        yield EDGE.split(text[at : edge.start()])
+        yield _split(text[at : edge.start()])
         at = edge.end()
-    yield EDGE.split(text[at:])
+    yield _split(text[at:])
 
 
 def _listed(df: DataFrame, doc_id: str, text: str, files) -> DataFrame:
@@ -155,12 +174,11 @@ def _encoded(pieces: DataFrame, files) -> DataFrame:
     """piece, n, a, b: every distinct piece with its weight and both sides' tokens."""
 
     def tokens(pieces: pa.Array, encode, sizes) -> pa.Array:
-        said = pieces.to_pylist()
-        ids = encode(said)
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        edges = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        taken = np.concatenate([[0], np.cumsum(sizes[flat], dtype=np.int64)])
-        if not np.array_equal(np.diff(taken[edges]), [len(p.encode()) + 1 for p in said]):
+        flat = np.array(encode(pieces.to_pylist()), np.int32)
+        ends = np.cumsum(pc.binary_length(pieces.cast(pa.large_binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        taken = np.cumsum(sizes[flat], dtype=np.int64)
+        edges = np.concatenate([[0], np.searchsorted(taken, ends) + 1]).astype(np.int32)
+        if len(ends) and (len(flat) != edges[-1] or not np.array_equal(taken[edges[1:] - 1], ends)):
             raise ValueError("a tokenizer's bytes are not the text's")
         return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], names=["id", "bytes"]))
 
@@ -310,8 +328,10 @@ def align_documents(df: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_
         listed = stored(_listed(df, doc_id, text, files), "listed")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         pieces = Bucketed(listed.where(F.col("piece").isNotNull()).select("piece", "block", "place", "n").repartition(parts, "piece"), "piece", "pieces").read()
-        encoded = Bucketed(_encoded(pieces, files), "piece", "encoded").read()
-        aligned = Bucketed(_aligned(encoded), "piece", "aligned").read()
+        encoded = Bucketed(_encoded(pieces, files), "piece", "encoded")
+        # Both sides lie by piece, so their join by piece and end needs no shuffle.
+        made = Bucketed(_aligned(by_fewer_keys(spark).table(encoded.table)), "piece", "aligned")
+        aligned = spark.table(made.table)
         weighed = _weighed(aligned, stored(pair_counts(aligned), "pairs"))
         lists = _packed(pieces.select("piece", "block", "place").join(weighed, "piece").select("block", "place", *LISTS[1:], "groups"))
         lists = lists.select("block", F.lit(0).alias("kind"), F.lit(None).cast(id_type).alias("doc_id"), "groups", *LISTS)

@@ -113,6 +113,17 @@ class Bucketed(Stored):
         super().drop()
 
 
+def by_fewer_keys(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings in which tables that lie by some of a join's keys aren't shuffled
+    for it; the caller's own session stays as it is."""
+    other = spark.newSession()
+    for row in spark.sql("SET").collect():
+        if row.key.startswith("spark.sql.") and spark.conf.isModifiable(row.key):
+            other.conf.set(row.key, row.value)
+    other.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return other
+
+
 def distinct_texts(df: DataFrame, text: str, least_bytes: int = 0) -> Bucketed:
     """tkey, text, copies: every text of ``least_bytes`` or more once, in buckets of its 16-byte name.
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .shared import shared_folder
 
 # The seven levels, and the spellings of each.
 LEVELS = [(0, "do", False, None, 0, False, 4), (1, "re", True, "low", 256, False, 4), (2, "mi", True, "low", 1024, False, 6), (3, "fa", True, "medium", 4096, False, 8), (4, "sol", True, "medium", 8192, False, 10), (5, "la", True, "high", 16384, True, 12), (6, "si", True, "high", 32768, True, 16)]
@@ -90,19 +88,6 @@ def progress_line(status: Column, done: Column, total: Column) -> Column:
     return F.when(total > 0, F.format_string("%s %d%%", status, F.floor(100 * done / total))).otherwise(status)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; local mode with none set gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
-    return folder
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to the shared folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

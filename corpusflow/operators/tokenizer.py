@@ -1,8 +1,7 @@
 """Byte-level BPE: pre-tokens, pair counts, training, encoding, decoding.
 
-Pre-tokenizing, counting and pair statistics are DataFrame operations over distinct pre-tokens.
-Training collects that table only behind a size check and merges on the driver, since merges follow
-one another; above the bound it goes on in ``train_distributed``, which keeps every step in DataFrames.
+Pre-tokenizing, counting and pair statistics are DataFrame operations over distinct pre-tokens; training
+runs over them in ``bpe_training``, many merges to a job.
 """
 
 from __future__ import annotations
@@ -18,14 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import SPACE
+from .bpe_training import learn_merges
 from .windows import MAX_VOCAB, check_vocab
 
 _LETTERS = r"\p{L}\p{Nl}\p{No}"
 # Fixed value: contractions, letters, digits, signs, blanks; together they cover every character.
 PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?\p{{Nd}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 END_OF_TEXT = "<|endoftext|>"
-#: Most distinct pre-tokens that training holds on the driver; with more, Spark makes every count.
-DRIVER_PIECES = 1_000_000
 
 
 def split_digits(pieces: Column) -> Column:
@@ -83,65 +81,6 @@ def apply_merge(ids: Column, left: int, right: int, new: int) -> Column:
     return F.aggregate(ids, empty, step)
 
 
-def train_distributed(words: DataFrame, merges: int, keep_every: int = 8) -> list[tuple[int, int]]:
-    """The first merges with every count made by Spark; checkpoints cut the lineage."""
-    from .state import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(words.sparkSession)
-    words, out = words.select("ids", "freq"), []
-    for k in range(merges):
-        best = best_pair(pair_counts(words)).first()
-        if best is None or best.n < 2:
-            break
-        out.append((best.left, best.right))
-        words = words.withColumn("ids", apply_merge(F.col("ids"), best.left, best.right, 256 + k))
-        if (k + 1) % keep_every == 0:
-            words = words.checkpoint()
-    return out
-
-
-def _merge_word(ids: list[int], left: int, right: int, new: int) -> list[int]:
-    out, k = [], 0
-    while k < len(ids):
-        if k + 1 < len(ids) and ids[k] == left and ids[k + 1] == right:
-            out.append(new)
-            k += 2
-        else:
-            out.append(ids[k])
-            k += 1
-    return out
-
-
-def merge_pieces(pieces: dict[bytes, int], merges: int) -> list[tuple[int, int]]:
-    """Merges in order. A pair's count and the words that hold it are kept up to date by word."""
-    words = [(list(p), f) for p, f in sorted(pieces.items())]
-    count: dict[tuple[int, int], int] = {}
-    held: dict[tuple[int, int], set[int]] = {}
-
-    def note(index: int, sign: int) -> None:
-        ids, freq = words[index]
-        for pair in zip(ids, ids[1:], strict=False):
-            count[pair] = count.get(pair, 0) + sign * freq
-            if sign > 0:
-                held.setdefault(pair, set()).add(index)
-
-    for index in range(len(words)):
-        note(index, 1)
-    out: list[tuple[int, int]] = []
-    while len(out) < merges and count:
-        pair = max(count, key=lambda p: (count[p], p))
-        if count[pair] < 2:
-            break
-        new = 256 + len(out)
-        out.append(pair)
-        for index in held.pop(pair):
-            note(index, -1)
-            words[index] = _merge_word(words[index][0], *pair, new), words[index][1]
-            note(index, 1)
-        count.pop(pair, None)
-    return out
-
-
 class Tokenizer:
     """Vocabulary and merges, with special tokens behind the last merge."""
 
@@ -197,19 +136,11 @@ class Tokenizer:
 
 
 def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", specials: tuple[str, ...] = (END_OF_TEXT,)) -> Tokenizer:
-    """Spark counts the distinct pre-tokens; merging them is one loop, on the driver or, if they are too
-    many for it, with a job for each merge. A vocabulary with no room for a merge is an error."""
+    """Spark counts the distinct pre-tokens and merges them. A vocabulary with no room for a merge is an error."""
     merges = vocab_size - 256 - len(specials)
     if merges <= 0:
         raise ValueError(f"vocab_size must exceed {256 + len(specials)}")
-    counted = count_pieces(df, text, specials).persist()
-    try:
-        if counted.count() > DRIVER_PIECES:
-            return Tokenizer(train_distributed(counted.select(byte_ids(F.col("piece")).alias("ids"), "freq"), merges), specials)
-        pieces = {r.piece.encode(): r.freq for r in counted.toLocalIterator()}
-    finally:
-        counted.unpersist()
-    return Tokenizer(merge_pieces(pieces, merges), specials)
+    return Tokenizer(learn_merges(count_pieces(df, text, specials).select(byte_ids(F.col("piece")).alias("ids"), "freq"), merges), specials)
 
 
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", out: str = "ids", allow_special: bool = True) -> DataFrame:

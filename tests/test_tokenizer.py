@@ -1,8 +1,12 @@
 """Pre-tokens, training, encoding, windows and chat on small inputs."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.operators import bpe_training as T
 from corpusflow.operators import chat as H
 from corpusflow.operators import tokenizer as K
 from corpusflow.operators import windows as W
@@ -31,10 +35,49 @@ def test_training_is_deterministic_stops_and_refuses(spark, corpus):
         K.train_bpe(tiny, 100)
 
 
-def test_distributed_training_finds_the_same_merges(spark, corpus):
-    spark.sparkContext.setCheckpointDir("/tmp/corpusflow-test")
-    words = K.count_pieces(corpus).select(K.byte_ids(F.col("piece")).alias("ids"), "freq")
-    assert K.train_distributed(words, 6, 3) == K.train_bpe(corpus, 256 + 1 + 6).merges
+def plain_merges(pieces, merges):
+    """One merge after another over every piece, with all counts made anew."""
+    words, out = [(list(p), f) for p, f in pieces.items()], []
+    while len(out) < merges:
+        counts = Counter()
+        for ids, f in words:
+            for pair in zip(ids, ids[1:], strict=False):
+                counts[pair] += f
+        if not counts or max(counts.values()) < 2:
+            break
+        best = max(counts, key=lambda p: (counts[p], p))
+        out.append(best)
+        words = [(merged(ids, *best, 255 + len(out)), f) for ids, f in words]
+    return out
+
+
+def merged(ids, left, right, new):
+    out, k = [], 0
+    while k < len(ids):
+        hit = ids[k : k + 2] == [left, right]
+        out.append(new if hit else ids[k])
+        k += 1 + hit
+    return out
+
+
+def weighted(spark, pieces):
+    return spark.createDataFrame([(list(p), f) for p, f in pieces.items()], "ids array<int>, freq long").repartition(3)
+
+
+@pytest.mark.parametrize("head", [0, 1, 7, 10_000])
+@pytest.mark.parametrize("letters, longest, seed", [("ab", 12, 1), ("abcde", 9, 2), ("abcdefghijklmnop", 14, 3), ("a", 40, 4)])
+def test_training_is_the_plain_loop_whatever_the_driver_foretells(spark, head, letters, longest, seed, monkeypatch):
+    """Runs of one letter, ties, and prophecies from nothing, few and all pre-tokens."""
+    r = random.Random(seed)
+    pieces = {"".join(r.choice(letters) for _ in range(r.randint(1, longest))).encode(): r.choice([1, 1, 2, 3, 50]) for _ in range(120)}
+    monkeypatch.setattr(T, "REWRITE", 20)
+    monkeypatch.setattr(T, "LEAST_BYTES", 200)
+    assert T.learn_merges(weighted(spark, pieces), 60, head) == plain_merges(pieces, 60)
+
+
+def test_training_on_nothing_and_on_nulls(spark):
+    words = spark.createDataFrame([(None, 3), ([], 2), ([97], 5), ([97, 98], 1)], "ids array<int>, freq long")
+    assert T.learn_merges(words, 5) == [] and T.learn_merges(words.limit(0), 5) == []
 
 
 def test_round_trip_and_save(spark, corpus, tmp_path):

@@ -88,13 +88,10 @@ def test_collate_pads_whole_texts(spark):
     assert {(r.batch_id, r.example_id, r.ids_sum, r.width, r.padded) for r in got} == want
 
 
-def test_training_goes_on_above_the_drivers_bound(spark, monkeypatch):
-    spark.sparkContext.setCheckpointDir("/tmp/corpusflow-test")
-    df = spark.createDataFrame([("the cat and the hat, then 1987\n\n\n  that bat <|endoftext|> at the mat",), ("naïve שלום שלום the",)], "text string")
-    want = K.train_bpe(df, 275)
-    monkeypatch.setattr(K, "DRIVER_PIECES", 3)
-    got = K.train_bpe(df, 275)
-    assert got.merges == want.merges and got.specials == want.specials and len(got.merges) > 8
+def test_training_over_a_whole_table(spark):
+    """Every pre-token of the documents, against a loop that counts all pairs anew for each merge."""
+    freq = Counter({r.piece.encode(): r.freq for r in K.count_pieces(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()})
+    assert K.train_bpe(spark.read.parquet(f"{SMALL}/documents.parquet"), 256 + 1 + 12).merges == plain_merges(freq, 12)
 
 
 @pytest.fixture(scope="module")
@@ -172,7 +169,7 @@ def test_counts_pairs_and_merges_hold_blank_pieces(spark, brute_pieces):
     assert {(a, b): n for a, b, n in run("pair_count")} == pairs
     best = max(pairs, key=lambda p: (pairs[p], p))
     assert run("best_pair") == [(*best, pairs[best])]
-    assert Counter((tuple(i), n) for i, n in run("apply_merge")) == Counter((tuple(K._merge_word(list(p.encode()), 116, 104, 256)), n) for p, n in freq.items())
+    assert Counter((tuple(i), n) for i, n in run("apply_merge")) == Counter((tuple(merged(list(p.encode()), 116, 104, 256)), n) for p, n in freq.items())
     encoded = registry.QUERIES["encode_piece"](spark, SMALL).collect()
     assert {r.piece for r in encoded} == set(freq) and len(encoded) == len(freq)
 

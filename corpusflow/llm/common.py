@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,6 +26,10 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MAX_BATCH_BYTES))
 
 
+#: Folders of our own, by application: Spark's setting can't be changed while it runs.
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only in local mode with none set."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,16 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return set_dir
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    atexit.register(_delete_local, own)
-    return own
-
-
-def _delete_local(uri: str) -> None:
-    import shutil
-
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='corpusflow-')}"
+        atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), True)
+    return _OWN[app]
 
 
 _SCRATCH: list[list[Stored]] = []

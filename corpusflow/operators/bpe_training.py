@@ -82,8 +82,9 @@ class Words:
         following = self.next[at]
         return at[(following >= 0) & (self.ids[following] == right)]
 
-    def merge(self, value: int, new: int, counted: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
-        """Replace the pair from left to right without overlaps; the codes whose counts change, and by how much."""
+    def merge(self, value: int, new: int, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Replace the pair from left to right without overlaps; the codes whose counts change and by how much,
+        or, if not counted, the codes that may be new."""
         at = self._places(value)
         left, right = pair(value)
         if left == right and len(at) > 1:
@@ -91,7 +92,7 @@ class Words:
             starts = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
             at = at[(np.arange(len(at)) - starts) % 2 == 0]
         if not len(at):
-            return (np.zeros(0, np.int64), np.zeros(0, np.int64)) if counted else None
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         gone = self.next[at]
         before = self._touching(np.concatenate([self.prev[at], at, gone])) if counted else None
         after = self.next[gone]
@@ -108,7 +109,7 @@ class Words:
         for start, end in zip(edges.tolist(), [*edges[1:].tolist(), len(codes)]):
             self.later.setdefault(int(codes[start]), []).append(np.sort(touched[start:end]))
         if not counted:
-            return None
+            return codes[edges], edges
         return _summed(np.concatenate([before[0], codes]), np.concatenate([-before[1], self._weight(touched)]))
 
     def _touching(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +131,31 @@ def _summed(codes: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[edges][sums != 0], sums[sums != 0]
 
 
+def encode_lists(words: Words, pairs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All lists merged by rank, lowest first; ``pairs``: codes in order, with the rank of each.
+
+    A merge makes only pairs of higher ranks, so one pass over the ranks that occur does for all lists."""
+
+    def ranked(codes: np.ndarray) -> list[int]:
+        at = np.searchsorted(pairs, codes)
+        at[at == len(pairs)] = 0
+        return ranks[at[pairs[at] == codes]].tolist() if len(pairs) else []
+
+    by_rank = np.empty(len(pairs), np.int64)
+    by_rank[ranks] = pairs
+    queue = ranked(np.unique(words.first_codes))
+    heapq.heapify(queue)
+    done = -1
+    while queue:
+        rank = heapq.heappop(queue)
+        if rank == done:
+            continue
+        done = rank
+        for r in ranked(words.merge(int(by_rank[rank]), 256 + rank, counted=False)[0]):
+            heapq.heappush(queue, r)
+    return words.packed()
+
+
 class Counts:
     """Exact pair counts, the best pair first; the heap's old entries are passed over."""
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import SPACE
-from .bpe_training import learn_merges
+from .bpe_training import Words, code, encode_lists, learn_merges
 from .windows import MAX_VOCAB, check_vocab
 
 _LETTERS = r"\p{L}\p{Nl}\p{No}"
 # Fixed value: contractions, letters, digits, signs, blanks; together they cover every character.
 PATTERN = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?\p{{Nd}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+# The same with every digit, and a blank before one, as a piece of its own.
+_SINGLE_DIGITS = PATTERN.replace(r" ?\p{Nd}+", r"\p{Nd}| (?=\p{Nd})")
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -33,7 +37,7 @@ def split_digits(pieces: Column) -> Column:
 
 def pretokenize(text: Column) -> Column:
     """A text's pieces; joined they are the text."""
-    return split_digits(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.regexp_extract_all(text, F.lit(_SINGLE_DIGITS), F.lit(0))
 
 
 def without_specials(text: Column, specials: tuple[str, ...] = (END_OF_TEXT,)) -> Column:
@@ -102,15 +106,19 @@ class Tokenizer:
             self.specials.setdefault(name, max([len(self.tokens) - 1, *self.specials.values()]) + 1)
         return [self.specials[n] for n in names]
 
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has: in every piece the pair of lowest rank is
+        merged, the leftmost of equals, until none is left. Time grows with n log n, for one long piece too."""
+        if not hasattr(self, "_pairs"):
+            codes = np.array([code(a, b) for a, b in self.merges], np.int64)
+            self._ranks = np.argsort(codes, kind="stable")
+            self._pairs = codes[self._ranks]
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        words = Words(np.frombuffer(b"".join(pieces), np.uint8), lengths, np.ones(len(pieces), np.int64))
+        return encode_lists(words, self._pairs, self._ranks)
+
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
-        ids = list(piece)
-        while len(ids) > 1:
-            rank, at = min((self.rank.get(pair, len(self.rank)), k) for k, pair in enumerate(zip(ids, ids[1:], strict=False)))
-            if rank == len(self.rank):
-                break
-            ids[at : at + 2] = [256 + rank]
-        return ids
+        return self.encode_pieces([piece])[0].tolist()
 
     def decode(self, ids) -> str:
         """Tokens' bytes as text; unknown ids give nothing, broken UTF-8 gives U+FFFD."""
@@ -135,6 +143,24 @@ class Tokenizer:
         return made
 
 
+def published_tokenizer(path, merges: int | None = None, specials: tuple[str, ...] = (END_OF_TEXT,)) -> Tokenizer:
+    """A byte-level vocabulary's JSON file as a tokenizer, with its first ``merges`` merges or all of them.
+
+    A letter of such a file stands for a byte: printable bytes for themselves, the others, in order, for the
+    characters from U+0100 on."""
+    with open(path, encoding="utf-8") as f:
+        listed = json.load(f)["model"]["merges"]
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    ids = {c: b for b, c in letter.items()}
+    out = []
+    for entry in listed[:merges]:
+        left, right = entry.split(" ") if isinstance(entry, str) else entry
+        out.append((ids[left], ids[right]))
+        ids.setdefault(left + right, 256 + len(out) - 1)
+    return Tokenizer(out, specials)
+
+
 def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", specials: tuple[str, ...] = (END_OF_TEXT,)) -> Tokenizer:
     """Spark counts the distinct pre-tokens and merges them. A vocabulary with no room for a merge is an error."""
     merges = vocab_size - 256 - len(specials)
@@ -143,31 +169,64 @@ def train_bpe(df: DataFrame, vocab_size: int, text: str = "text", specials: tupl
     return Tokenizer(learn_merges(count_pieces(df, text, specials).select(byte_ids(F.col("piece")).alias("ids"), "freq"), merges), specials)
 
 
+#: Bytes of pieces that a worker remembers.
+REMEMBERED = 32 << 20
+
+
+class _Dictionary:
+    """Pieces that a worker has met, with their ids; forgotten when they pass REMEMBERED bytes."""
+
+    def __init__(self, tokenizer: Tokenizer, whole: list[str]) -> None:
+        self.tokenizer, self.whole = tokenizer, {s: np.array([tokenizer.specials[s]], np.int32) for s in whole}
+        self.known: dict[str, np.ndarray] = dict(self.whole)
+        self.bytes = 0
+
+    def ids(self, pieces: list[str]) -> list[np.ndarray]:
+        if new := [p for p in pieces if p not in self.known]:
+            raw = [p.encode() for p in new]
+            flat, lengths = self.tokenizer.encode_pieces(raw)
+            size = sum(map(len, raw))
+            if self.bytes + size > REMEMBERED:
+                self.known, self.bytes = dict(self.whole), 0
+            met = dict(zip(new, np.split(flat.astype(np.int32), np.cumsum(lengths)[:-1]), strict=True))
+            if size <= REMEMBERED:
+                self.known.update(met)
+                self.bytes += size
+                if all(p in self.known for p in pieces):
+                    return [self.known[p] for p in pieces]
+            return [met[p] if p in met else self.known[p] if p in self.known else self.ids([p])[0] for p in pieces]
+        return [self.known[p] for p in pieces]
+
+
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", out: str = "ids", allow_special: bool = True) -> DataFrame:
-    """Adds the array of token ids. Workers remember pieces they have met."""
+    """Adds the array of token ids; null for a null text.
+
+    A batch's distinct pieces are looked up or encoded together, then put in place by their numbers, so the
+    work on a piece is done once for each batch and worker, and no row of pieces is shuffled."""
     sent = df.sparkSession.sparkContext.broadcast(tokenizer)
     specials = sorted(tokenizer.specials, key=len, reverse=True) if allow_special else []
     parts = F.regexp_extract_all(F.col(text), F.lit("(?s)" + "|".join([*map(re.escape, specials), rf"(?:(?!{'|'.join(map(re.escape, specials))}).)+" if specials else ".+"])), F.lit(0))
-    pieces = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p)).otherwise(pretokenize(p)))) if specials else pretokenize(F.col(text))
+    # Only a text with a special token has more than one part.
+    held = [F.contains(F.col(text), F.lit(s)) for s in specials]
+    apart = F.flatten(F.transform(parts, lambda p: F.when(p.isin(specials), F.array(p)).otherwise(pretokenize(p)))) if specials else None
+    pieces = F.when(reduce(or_, held), apart).otherwise(pretokenize(F.col(text))) if specials else pretokenize(F.col(text))
 
     names = [*df.columns, out]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known = sent.value, {}
-        for s in specials:
-            known[s] = [tok.specials[s]]
+        known = _Dictionary(sent.value, specials)
         for batch in batches:
-            rows = []
-            for row in batch.column(batch.num_columns - 1).to_pylist():
-                ids: list[int] = []
-                for p in row or ():
-                    if p not in known:
-                        if len(known) > 500_000:
-                            known = {s: [tok.specials[s]] for s in specials}
-                        known[p] = tok.encode_piece(p.encode())
-                    ids += known[p]
-                rows.append(None if row is None else ids)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.int32()))], names=names)
+            rows = batch.column(batch.num_columns - 1)
+            coded = rows.flatten().dictionary_encode()
+            found = known.ids(coded.dictionary.to_pylist())
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+            each = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat, pa.int32()))
+            put = each.take(coded.indices)
+            ends = np.concatenate([[0], np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            taken = np.concatenate([[0], np.cumsum(np.diff(edges)[coded.indices.to_numpy()])]).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(taken[ends]), put.flatten(), mask=rows.is_null() if rows.null_count else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.withColumn("_pieces", pieces).mapInArrow(work, f"{fields}, {out} array<int>")

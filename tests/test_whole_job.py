@@ -16,6 +16,7 @@ from corpusflow.functions.text import SPACE
 from corpusflow.plans import corpus_queries, eval_queries, registry
 
 from .test_queries import rows
+from .test_tokenizer import merged, plain_merges
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 

@@ -75,14 +75,11 @@ def best_pair(pairs: DataFrame) -> DataFrame:
 
 
 def apply_merge(ids: Column, left: int, right: int, new: int) -> Column:
-    """Replace the pair from left to right, without overlaps."""
-    empty = F.array().cast("array<int>")
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = (F.size(acc) > 0) & (F.element_at(acc, -1) == left) & (x == right)
-        return F.when(hit, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.lit(new)))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(ids, empty, step)
+    """Replace the pair from left to right, without overlaps: in the ids as text, each with its own marks, in
+    one pass."""
+    marked = F.concat(F.lit(" "), F.array_join(ids.cast("array<string>"), "; "), F.lit(";"))
+    done = F.replace(marked, F.lit(f" {left}; {right};"), F.lit(f" {new};"))
+    return F.when(F.size(ids) > 1, F.split(F.btrim(done, F.lit(" ;")), "; ").cast("array<int>")).otherwise(ids)
 
 
 class Tokenizer:

@@ -40,27 +40,18 @@ def array_windows(df: DataFrame, length: int, ids: str = "ids") -> DataFrame:
     return df.select(*others, F.inline(F.transform(starts, window)))
 
 
-def stream_windows(stream: DataFrame, length: int, limit: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The same over rows (keys, pos, token), one stream for each key: a tumbling group by position."""
-    group = F.floor(F.col("pos") / length)
-    # Only the first token of the next group is needed besides a group's own.
-    own = stream.select(*keys, group.alias("window_id"), "pos", "token")
-    following = stream.where((F.col("pos") % length == 0) & (F.col("pos") > 0)).select(*keys, (group - 1).alias("window_id"), "pos", "token")
-    rows = own.unionByName(following).groupBy(*keys, "window_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("r"))
-    tokens = F.transform("r", lambda x: x["token"])
-    out = rows.where(F.size("r") == length + 1).select(*keys, "window_id", F.slice(tokens, 1, length).alias("input"), F.slice(tokens, 2, length).alias("target"))
-    return out.where(F.col("window_id") < limit) if limit is not None else out
-
-
 def random_offsets(spark, windows: int, tokens: int, length: int, seed: int) -> DataFrame:
     """Offsets drawn with replacement from [0, tokens - length - 1), the same for the same seed."""
     check_length(tokens, length + 1)
-    return spark.range(windows).select(F.col("id").alias("window_id"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(tokens - length - 1)).alias("offset"))
+    name = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")).cast("binary"))
+    return spark.range(windows).select(F.col("id").alias("window_id"), (F.conv(F.substring(name, 1, 15), 16, 10).cast("long") % F.lit(tokens - length - 1)).alias("offset"))
 
 
-def shifted(stream: DataFrame, key: str) -> DataFrame:
-    """Each token with the one that follows it in its row; the last has none."""
-    return stream.withColumn("target", F.lead("token").over(Window.partitionBy(key).orderBy("pos")))
+def shifted_rows(df: DataFrame, ids: str = "ids") -> DataFrame:
+    """pos, token and target, the token that follows it in its row's array; the last has none."""
+    others = [c for c in df.columns if c != ids]
+    pairs = F.arrays_zip(F.col(ids).alias("token"), F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))).alias("target"))
+    return df.select(*others, F.posexplode(pairs).alias("pos", "p")).select(*others, "pos", "p.token", "p.target")
 
 
 def collate(df: DataFrame, batch: int, pad: int, ignore: int = -100) -> DataFrame:

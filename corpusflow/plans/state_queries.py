@@ -79,4 +79,3 @@ QUERIES["agent_loop"] = agent_loop
 SQL["agent_loop"] = "SELECT doc_id AS conv_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS rounds, FALSE AS exhausted, CASE WHEN doc_id % 2 = 0 THEN 'It is ' || (doc_id + 1) || '.' ELSE 'Hello.' END AS answer FROM documents"
 QUERIES["bpe_stop"] = lambda spark, d: spark.createDataFrame([(K.train_bpe(spark.createDataFrame([("ab ab ab",)], "text string"), 400).size,)], "size int")
 SQL["bpe_stop"] = "SELECT 259 AS size"
-QUERIES["bytes_per_token"] = lambda spark, d: K.compression(K.encode(table(spark, d, "documents").select("doc_id", "lang", "text"), K.train_bpe(table(spark, d, "documents"), 400))).select("lang", "bytes_per_token")

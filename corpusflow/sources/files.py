@@ -87,40 +87,6 @@ def parse_log(lines: DataFrame, schema: str, column: str = "value", required: st
     return lines.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*").where(F.col(required).isNotNull())
 
 
-def read_tokens(spark: SparkSession, path: str, length: int) -> DataFrame:
-    """pos, token of a file of little-endian 16-bit ids; too short for a window is an error."""
-    import numpy as np
-
-    size = spark.read.format("binaryFile").load(path).select("length").first()[0] // 2
-    if size < length + 1:
-        raise ValueError(f"{size} tokens are fewer than one window of {length} and its target")
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column(0).to_pylist():
-                ids = np.frombuffer(body, "<u2").astype(np.int32)
-                for at in range(0, len(ids), 1 << 16):
-                    part = ids[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["pos", "token"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "pos long, token int")
-
-
-def write_tokens(df: DataFrame, path: str, order: list[str], ids: str = "ids") -> int:
-    """Append rows' ids in order as 16-bit integers; the number of ids. Larger ids are an error."""
-    import numpy as np
-
-    total = 0
-    with open(path, "wb") as out:
-        for row in df.orderBy(*order).select(ids).toLocalIterator():
-            part = np.asarray(row[0], np.int64)
-            if len(part) and part.max() > 65_535:
-                raise ValueError("an id does not fit 16 bits")
-            out.write(part.astype("<u2").tobytes())
-            total += len(part)
-    return total
-
-
 def load_settings(defaults: dict, toml_path: str | None = None, environment: dict | None = None, prefix: str = "CORPUSFLOW_") -> dict:
     """Defaults, then a TOML file (flat or under [corpusflow]), then environment variables; values take
     the default's type and unknown keys are ignored."""

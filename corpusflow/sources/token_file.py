@@ -128,3 +128,18 @@ def write_token_file(rows: DataFrame, path: str) -> None:
 def read_token_windows(spark: SparkSession, path: str, length: int, **options) -> DataFrame:
     spark.dataSource.register(TokenFile)
     return spark.read.format("token_file").option("length", length).options(**options).load(path)
+
+
+def windows_at(offsets: DataFrame, path: str, length: int) -> DataFrame:
+    """window_id, offset, input, target for rows (window_id, offset): windows anywhere in the file."""
+    where = shared_path(path)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = np.memmap(where, "<u2", "r")
+        for batch in batches:
+            at = batch.column(1).to_numpy()[:, None] + np.arange(length + 1)
+            ids = np.asarray(tokens[at], np.int32)
+            edges = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * length)
+            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(edges, pa.array(ids[:, :-1].ravel())), pa.ListArray.from_arrays(edges, pa.array(ids[:, 1:].ravel()))], names=["window_id", "offset", "input", "target"])
+
+    return offsets.select("window_id", "offset").mapInArrow(cut, "window_id long, offset long, input array<int>, target array<int>")

@@ -63,16 +63,6 @@ def test_mirrors_and_staging(tmp_path):
     assert X.stage("u", path, read=lambda u: b"two") == path and (tmp_path / "f").read_bytes() == b"one"
 
 
-def test_token_file(spark, tmp_path):
-    df = spark.createDataFrame([(1, [1, 2, 3]), (0, [65535])], "k long, ids array<int>")
-    assert X.write_tokens(df, str(tmp_path / "t.bin"), ["k"]) == 4
-    assert [r.token for r in X.read_tokens(spark, str(tmp_path / "t.bin"), 2).orderBy("pos").collect()] == [65535, 1, 2, 3]
-    with pytest.raises(ValueError):
-        X.read_tokens(spark, str(tmp_path / "t.bin"), 4)
-    with pytest.raises(ValueError):
-        X.write_tokens(spark.createDataFrame([(0, [70000])], "k long, ids array<int>"), str(tmp_path / "u.bin"), ["k"])
-
-
 def test_settings(tmp_path):
     (tmp_path / "c.toml").write_text('[corpusflow]\nport = "81"\nunknown = 1\n')
     got = X.load_settings({"port": 80, "debug": False, "name": "x"}, str(tmp_path / "c.toml"), {"CORPUSFLOW_DEBUG": "yes"})

@@ -16,6 +16,7 @@ from corpusflow.functions.text import SPACE
 from corpusflow.plans import corpus_queries, eval_queries, registry
 
 from .test_queries import rows
+from .test_streams_of_tokens import by_rank
 from .test_tokenizer import merged, plain_merges
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -66,27 +67,47 @@ def points(spark):
     return {r.doc_id: [ord(c) for c in r.text] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
 
 
-def test_bin_scan_cuts_every_document(spark):
-    want = {(i, k, " ".join(map(str, p[32 * k : 32 * k + 32])), " ".join(map(str, p[32 * k + 1 : 32 * k + 33]))) for i, p in points(spark).items() for k in range((len(p) - 1) // 32)}
-    got = registry.QUERIES["bin_scan"](spark, SMALL).select("doc_id", "window_id", "input", "target").collect()
-    assert len({w[0] for w in want}) > 100 and len(got) == len(want) and set(map(tuple, got)) == want
+@pytest.fixture(scope="module")
+def real_ids(spark):
+    """Every document's ids by a loop over ranks, and the stream with its end tokens."""
+    from corpusflow.plans.token_queries import _tokenizer
+
+    tokenizer, known = _tokenizer(), {}
+
+    def encoded(pieces):
+        for p in pieces:
+            if p not in known:
+                known[p] = by_rank(tokenizer, p.encode())
+        return [i for p in pieces for i in known[p]]
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", K.pretokenize(F.col("text")).alias("p")).orderBy("doc_id").collect()
+    ids = {r.doc_id: encoded(r.p) for r in rows}
+    return ids, [i for own in ids.values() for i in [*own, 256 + len(tokenizer.merges)]]
+
+
+def test_windows_of_the_stream_run_over_documents(spark, real_ids):
+    _, flat = real_ids
+    got = registry.QUERIES["bin_scan"](spark, SMALL).collect()
+    assert {(r.window_id, r.input, r.target) for r in got} == {(w, " ".join(map(str, flat[32 * w : 32 * w + 32])), " ".join(map(str, flat[32 * w + 1 : 32 * w + 33]))) for w in range((len(flat) - 1) // 32)}
+    got = registry.QUERIES["windows_sequential"](spark, SMALL).collect()
+    assert {tuple(r) for r in got} == {(w, sum(flat[512 * w : 512 * w + 512]), flat[512 * w + 512]) for w in range((len(flat) - 1) // 512)}
+    for r in registry.QUERIES["windows_random"](spark, SMALL).collect():
+        assert r.input_sum == sum(flat[r.offset : r.offset + 512]) and r.last_target == flat[r.offset + 512]
 
 
-def test_shift_target_covers_every_document(spark):
-    want = {(i, k, t, p[k + 1] if k + 1 < len(p) else None) for i, p in points(spark).items() for k, t in enumerate(p)}
+def test_shift_target_covers_every_document(spark, real_ids):
+    ids, _ = real_ids
     got = registry.QUERIES["shift_target"](spark, SMALL).select("doc_id", "pos", "token", "target").collect()
-    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert Counter(map(tuple, got)) == Counter((i, k, t, own[k + 1] if k + 1 < len(own) else None) for i, own in ids.items() for k, t in enumerate(own))
 
 
-def test_collate_pads_whole_texts(spark):
-    ids = points(spark)
+def test_collate_pads_whole_texts(spark, real_ids):
+    ids, _ = real_ids
     width = {}
-    for i, p in ids.items():
-        width[i // 8] = max(width.get(i // 8, 0), len(p))
+    for i, own in ids.items():
+        width[i // 8] = max(width.get(i // 8, 0), len(own))
     got = registry.QUERIES["collate"](spark, SMALL).collect()
-    want = {(i // 8, i, sum(p), width[i // 8], width[i // 8] - len(p)) for i, p in ids.items()}
-    assert max(width.values()) > 39 and len(got) == len(ids)
-    assert {(r.batch_id, r.example_id, r.ids_sum, r.width, r.padded) for r in got} == want
+    assert {tuple(r[c] for c in ("batch_id", "example_id", "ids_sum", "width", "padded")) for r in got} == {(i // 8, i, sum(own), width[i // 8], width[i // 8] - len(own)) for i, own in ids.items()}
 
 
 def test_training_over_a_whole_table(spark):
@@ -170,7 +191,7 @@ def test_counts_pairs_and_merges_hold_blank_pieces(spark, brute_pieces):
     assert {(a, b): n for a, b, n in run("pair_count")} == pairs
     best = max(pairs, key=lambda p: (pairs[p], p))
     assert run("best_pair") == [(*best, pairs[best])]
-    assert Counter((tuple(i), n) for i, n in run("apply_merge")) == Counter((tuple(merged(list(p.encode()), 116, 104, 256)), n) for p, n in freq.items())
+    assert Counter((tuple(map(int, i.split())), n) for i, n in run("apply_merge")) == Counter((tuple(merged(list(p.encode()), 116, 104, 256)), n) for p, n in freq.items())
     encoded = registry.QUERIES["encode_piece"](spark, SMALL).collect()
     assert {r.piece for r in encoded} == set(freq) and len(encoded) == len(freq)
 

@@ -125,12 +125,6 @@ def write_split(df: DataFrame, order: list[str], path, text: str = "text", separ
         return digest_split(df, order, text, separator, out.write)
 
 
-def systematic_sample(df: DataFrame, order: list[str], every: int) -> DataFrame:
-    """Every n-th row in order, in each source."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(*order))
-    return df.withColumn("_r", rank).where((F.col("_r") - 1) % every == 0).drop("_r")
-
-
 def block_sample(df: DataFrame, size: Column, keys: list[str], target: int, block: int = 200, least: int = 30_000, seed: int = SEED) -> DataFrame:
     """Seeded order, whole blocks until the target bytes are reached (looked at between blocks); rows
     under ``least`` bytes are left out at the end and don't count."""

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.text import Sql
 from ..operators import corpus as C
+from ..operators.sampling import stream_sample
+from ..operators.shared import drop_place, new_place
+from ..operators.state import ensure_checkpoint_dir
 from ..sources import catalogue as S
+from ..sources.archives import archive_members, write_archives
+from ..sources.files import decode_fallback
 from .common import table, values
 
 QUERIES, SQL = {}, {}
@@ -124,11 +129,28 @@ def corpus_manifest(spark, d):
 
 
 query("manifest", f"WITH {_MANIFEST} SELECT m.*, coalesce(x.n, 0) AS skipped_too_short FROM m LEFT JOIN x ON m.source IS NOT DISTINCT FROM x.source")(corpus_manifest)
-query("tok_sample", f"WITH {_CHUNKS}, s AS (SELECT k.doc_id, chunk_idx, row_number() OVER (PARTITION BY source ORDER BY k.doc_id, chunk_idx) AS r FROM k JOIN c USING (doc_id)) SELECT doc_id, chunk_idx FROM s WHERE (r - 1) % 40 = 0")(
-    lambda spark, d: C.systematic_sample(chunked(spark, d), ["doc_id", "chunk_idx"], 40).select("doc_id", "chunk_idx")
+_FULL = f"""{_CHUNKS}, flat AS (SELECT string_agg(k.text, chr(10) || chr(10) || '<|endoftext|>' || chr(10) || chr(10) ORDER BY k.doc_id, chunk_idx) AS t FROM k),
+spots AS (SELECT t, length(t) AS total, unnest(range(0, 40)) AS w FROM flat), places AS (SELECT w, t, total, total * w // 40 AS place FROM spots), begins AS (SELECT w, t, CASE WHEN strpos(substring(t, place + 1), chr(10)) > 0 THEN place + strpos(substring(t, place + 1), chr(10)) ELSE total END AS begin FROM places)"""
+query("tok_sample", f"WITH {_FULL} SELECT CAST(w AS INTEGER) AS window, CAST(length(substring(t, begin + 1, 3000)) AS BIGINT) AS characters, md5(substring(t, begin + 1, 3000)) AS text_md5 FROM begins WHERE substring(t, begin + 1, 3000) <> ''")(
+    lambda spark, d: stream_sample(chunked(spark, d), ["doc_id", "chunk_idx"], 120_000).groupBy("window").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("p")).select("window", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("t")).select("window", F.length("t").cast("long").alias("characters"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 )
 
 
+def zip_scan(spark, d):
+    """The documents as members of archives in the shared folder, read back by many tasks to an archive."""
+    ensure_checkpoint_dir(spark)
+    folder = new_place(spark, "archives")
+    members = docs(spark, d).select(F.format_string("%s/%d.txt", "source", "doc_id").alias("name"), F.col("text").cast("binary").alias("content"))
+    write_archives(members.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name"), folder)
+    try:
+        return archive_members(spark, f"{folder}/*.zip", ["*/*.txt"], task_bytes=1 << 20).select("name", F.length(decode_fallback(F.col("content"))).cast("long").alias("characters"), F.md5("content").alias("content_md5")).checkpoint()
+    finally:
+        drop_place(spark, folder)
+
+
+query("src_zip_scan", "SELECT source || '/' || doc_id || '.txt' AS name, length(text) AS characters, md5(text) AS content_md5 FROM documents")(zip_scan)
+
+
 def split_digests(spark, d):
     ordered = split(spark, d).withColumn("h", C.seeded(C.SEED, "doc_id", "chunk_idx"))
     made = [(name, C.digest_split(ordered.where(F.col("split") == name), ["h", "doc_id", "chunk_idx"])) for name in ("train", "val")]

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import tools as T
 from corpusflow.operators import state as S
+from corpusflow.operators.corpus import SEPARATOR
+from corpusflow.operators.sampling import stream_sample
 from corpusflow.sources import files as X
+from corpusflow.sources.archives import archive_members, write_archives
 from corpusflow.streaming import monitor as M
 
 
@@ -41,12 +44,50 @@ def test_archive_scan(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for name, body in (("c/b.txt", b"H\xe9"), ("c/a.txt", "é".encode()), ("c/README", b"no"), ("d/x.txt", b"x"), ("c/", b"")):
             z.writestr(name, body)
-    got = X.archive_members(spark, str(tmp_path / "a.zip"), ["c/*", "*.txt"], ["README"]).orderBy("position").collect()
+    got = archive_members(spark, str(tmp_path / "a.zip"), ["c/*", "*.txt"], ["README"]).orderBy("position").collect()
     assert [r.name for r in got] == ["c/a.txt", "c/b.txt", "c/a.txt", "c/b.txt", "d/x.txt"]
     rows = spark.createDataFrame([(r.content,) for r in got[:2]], "b binary").select(X.decode_fallback(F.col("b"))).collect()
     assert [r[0] for r in rows] == ["é", "Hé"]
 
 
+def test_one_archive_is_read_by_many_tasks_and_only_where_it_is_wanted(spark, tmp_path):
+    import random
+
+    body = {f"d{k % 3}/{k}.txt": random.Random(k).randbytes(5000) for k in range(60)}
+    rows = spark.createDataFrame([(n, bytearray(b)) for n, b in body.items()], "name string, content binary")
+    assert write_archives(rows.coalesce(1), str(tmp_path / "z")) == 60
+    path = str(tmp_path / "z" / "*.zip")
+    got = archive_members(spark, path, task_bytes=20_000)
+    assert got.rdd.getNumPartitions() > 10 and {r.name: bytes(r.content) for r in got.collect()} == body
+    assert [r.position for r in got.orderBy("position").collect()] == list(range(60))
+    few = got.where(F.col("name").startswith("d1/") & F.col("name").endswith("0.txt"))
+    assert {r.name for r in few.collect()} == {n for n in body if n.startswith("d1/") and n.endswith("0.txt")}
+    assert few.rdd.getNumPartitions() < 3  # the others' bytes were never planned
+    assert got.where("name = 'd0/3.txt' AND position >= 0").count() == 1 and got.where("name IN ('d0/3.txt', 'd0/6.txt', 'x')").count() == 2
+    assert archive_members(spark, path, ["no/*"]).count() == 0
+
+
+@pytest.mark.parametrize("budget", [10, 400, 4000, 10**6])
+def test_sample_at_places_is_that_of_the_joined_text(spark, budget):
+    rows = [(k % 17, k, None if k == 5 else "".join("ab c\nd é"[(k * j) % 8] for j in range(k * 3 % 90))) for k in range(60)] + [(None, 1, "no\nid"), (3, 3, "same"), (3, 3, "same")]
+    df = spark.createDataFrame(rows, "a long, b long, text string").repartition(4)
+    got = stream_sample(df, ["a", "b"], budget, windows=7)
+    h = {(r.a, r.b, r.text): r.h for r in df.select("a", "b", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    whole = SEPARATOR.join(r[2] or "" for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], h[r])))
+    if len(whole) <= budget:
+        want = {0: whole}
+    else:
+        want = {}
+        for k in range(7):
+            place = len(whole) * k // 7
+            cut = whole.find("\n", place)
+            want[k] = whole[cut + 1 :][: budget // 7] if cut >= 0 else ""
+    made = {}
+    for r in sorted(got.collect()):
+        made[r.window] = made.get(r.window, "") + r.text
+    assert made == {k: t for k, t in want.items() if t}
+
+
 def test_mirrors_and_staging(tmp_path):
     tries = []
 

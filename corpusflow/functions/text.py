@@ -109,27 +109,31 @@ def footnote_arrows(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, FOOTNOTE_ARROW, ""), F.lit("\xa0"), F.lit(" "))
 
 
+#: What each cleaner does before what all of them end in; a second part follows decoded entities.
 CLEANERS = {
-    "generic": generic,
-    "gutenberg": lambda t: generic(book_markers(bracket_titles(t))),
-    "gutenberg_extended": lambda t: generic(credit_paragraphs(book_markers(t))),
-    "brown": lambda t: generic(untag_words(t)),
-    "europarl": lambda t: generic(tag_lines(t)),
-    "benyehuda": lambda t: generic(footnote_arrows(html_unescape(credit_footer(t)))),
+    "generic": (lambda t: t, None),
+    "gutenberg": (lambda t: book_markers(bracket_titles(t)), None),
+    "gutenberg_extended": (lambda t: credit_paragraphs(book_markers(t)), None),
+    "brown": (lambda t: untag_words(t), None),
+    "europarl": (lambda t: tag_lines(t), None),
+    "benyehuda": (lambda t: credit_footer(t), footnote_arrows),
 }
 
 
 def clean_by(df: DataFrame, cleaner: str, text: str) -> DataFrame:
     """Clean ``text`` by the cleaner that column ``cleaner`` names; unknown or null names take generic.
 
-    One branch for each cleaner: inside a single ``when`` every UDF would run for every row.
-    """
-    named = F.when(F.col(cleaner).isin(list(CLEANERS)), F.col(cleaner)).otherwise("generic")
-    parts = [df.where(named == name).withColumn(text, make(F.col(text))) for name, make in CLEANERS.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    One scan: a row takes its cleaner's branch in the JVM, and each Python step stands outside the branches
+    and gets null for the rows that don't need it."""
+    name, begun = F.col(cleaner), F.col(text)
+    for known, (first, _) in CLEANERS.items():
+        begun = F.when(name == known, first(F.col(text))).otherwise(begun)
+    df = df.withColumn(text, begun)
+    for known, (_, second) in CLEANERS.items():
+        if second is not None:
+            df = df.withColumn("_decoded", html_unescape(F.when(name == known, F.col(text))))
+            df = df.withColumn(text, F.when(name == known, second(F.col("_decoded"))).otherwise(F.col(text))).drop("_decoded")
+    return df.withColumn(text, generic(F.col(text)))
 
 
 class Sql:

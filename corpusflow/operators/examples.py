@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tools import Registry, default_registry
@@ -47,3 +47,37 @@ def answer_faults(turns: DataFrame) -> DataFrame:
     value = F.replace("value", F.lit(","), F.lit("")).cast("double")
     agrees = mentions_number(value.cast("string"), F.col("answer")) | mentions_number(F.round(value, 2).cast("string"), F.col("answer"))
     return tools.join(last, "conv_id").where(~agrees).select("conv_id")
+
+
+#: Turn numbers of a conversation whose hashes are chained in one task.
+SLICE_TURNS = 256
+
+
+def prompt_copies(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, turn, history_turns, copies: how many user turns of the table say the same after the same turns.
+
+    A history is one key without being collected: each turn's 128-bit hash is taken with its place in the
+    conversation, and a prefix is the exclusive-or of those before it.  The chain runs over slices of turn numbers
+    and then inside them, on rows of hashes alone, so a conversation may be of any length.  Null texts and roles
+    differ from empty ones; turns that share a number are in the order of their hashes."""
+    said = [F.coalesce(F.col(c), F.lit("\0null")) for c in (role, text)]
+    rows = turns.select(F.col(conv_id).alias("conv"), F.col(turn).alias("turn"), (F.col(role) == "user").alias("asks"), F.xxhash64(*said).alias("h"), F.xxhash64(F.lit(1), *said[::-1]).alias("g"))
+    rows = rows.withColumn("no", F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / SLICE_TURNS))
+    inside = Window.partitionBy("conv", "no").orderBy("turn", "h", "g")
+    earlier = Window.partitionBy("_conv").orderBy("_no").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(slices: DataFrame, *sums) -> DataFrame:
+        """For each slice what all earlier ones of its conversation come to."""
+        return slices.groupBy(F.col("conv").alias("_conv"), F.col("no").alias("_no")).agg(*sums)
+
+    same = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("no") == F.col("_no"))
+    counts = before(rows, F.count("*").alias("n")).select("_conv", "_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = rows.join(counts, same).drop("_conv", "_no").withColumn("place", F.col("base") + F.row_number().over(inside) - 1)
+    placed = placed.withColumns({"hp": F.xxhash64("place", "h", "g"), "gp": F.xxhash64("g", "h", "place")})
+    xors = before(placed, F.bit_xor("hp").alias("x"), F.bit_xor("gp").alias("y")).select("_conv", "_no", *(F.coalesce(F.bit_xor(k).over(earlier), F.lit(0)).alias(k) for k in "xy"))
+    chained = placed.join(xors, same)
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
+    chained = chained.withColumns({k: F.col(k).bitwiseXOR(F.coalesce(F.bit_xor(p).over(past), F.lit(0))) for k, p in (("x", "hp"), ("y", "gp"))})
+    asked = chained.where("asks").select(F.col("conv").alias(conv_id), F.col("turn").alias(turn), F.col("place").cast("long").alias("history_turns"), "h", "g", "x", "y")
+    key = ["history_turns", "h", "g", "x", "y"]
+    return asked.join(asked.groupBy(*key).agg(F.count("*").alias("copies")), key).select(conv_id, turn, "history_turns", "copies")

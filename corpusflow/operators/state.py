@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import strip
 from .shared import shared_folder
@@ -72,15 +73,11 @@ def in_window(minute: Column, start: int, end: int) -> Column:
     return (minute >= start) & (minute < end) if start <= end else (minute >= start) | (minute < end)
 
 
-def hysteresis(free: Column, start_at: float, stop_at: float) -> Column:
-    """States over an array in order: on at ``start_at`` or more, off below ``stop_at``, else as before."""
-    begin = F.array().cast("array<boolean>")
-
-    def step(acc: Column, x: Column) -> Column:
-        now = F.when(x >= start_at, F.lit(True)).when(x < stop_at, F.lit(False)).otherwise(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(False)))
-        return F.concat(acc, F.array(now))
-
-    return F.aggregate(free, begin, step)
+def hysteresis(free: Column, start_at: float, stop_at: float, rows: WindowSpec) -> Column:
+    """On at ``start_at`` or more, off below ``stop_at``, else as the last row before that said, at first off;
+    ``rows``: a window in order. A null value changes nothing."""
+    flip = F.when(free >= start_at, True).when(free < stop_at, False)
+    return F.coalesce(F.last(flip, ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False))
 
 
 def progress_line(status: Column, done: Column, total: Column) -> Column:

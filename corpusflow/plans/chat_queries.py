@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Sql
 from ..operators import chat as H
+from ..operators.examples import prompt_copies
 from .common import table, values
 
 QUERIES, SQL = {}, {}
@@ -126,7 +127,9 @@ query("routing_label", f"WITH {_SEGMENTS} SELECT conv_id, unicode(arg_min(text,
 query("eval_leakage", f"SELECT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM conversations c WHERE lower({Sql.strip('c.text')}) = lower({Sql.strip('b.text')})) OR EXISTS (SELECT 1 FROM documents c WHERE lower({Sql.strip('c.text')}) = lower({Sql.strip('b.text')}))")(
     lambda spark, d: H.leaks(table(spark, d, "conversations").select("text").unionByName(table(spark, d, "documents").select("text")), table(spark, d, "benchmark")).select("item_id")
 )
-query("dq_duplicates", "SELECT role, text, count(*) AS n FROM conversations GROUP BY role, text HAVING count(*) > 1")(lambda spark, d: table(spark, d, "conversations").groupBy("role", "text").agg(F.count("*").alias("n")).where("n > 1"))
+query("dq_duplicates", """WITH h AS (SELECT conv_id, turn, role, text, coalesce(string_agg(role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS history_turns FROM conversations),
+u AS (SELECT * FROM h WHERE role = 'user'), k AS (SELECT text, history, count(*) AS copies FROM u GROUP BY 1, 2)
+SELECT conv_id, turn, history_turns, copies FROM u JOIN k USING (text, history)""")(lambda spark, d: prompt_copies(table(spark, d, "conversations")))
 query("dq_balance", "SELECT count(*) FILTER (toxic = 1) AS a, count(*) FILTER (toxic = 0) AS b, CAST(count(*) FILTER (toxic = 1) AS DOUBLE) / nullif(count(*) FILTER (toxic = 0), 0) BETWEEN 0.7 AND 1.4 AS balanced FROM labels")(
     lambda spark, d: table(spark, d, "labels").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).withColumn("balanced", F.try_divide("a", "b").between(0.7, 1.4))
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import tools as T
@@ -204,7 +205,9 @@ query("catalogue_order", "SELECT name, row_number() OVER (ORDER BY CASE tier WHE
 _MINUTE = "(hour(ts) * 60 + minute(ts))"
 query("time_window", f"SELECT event_id, {_MINUTE} >= 1320 OR {_MINUTE} < 360 AS inside FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", S.in_window(F.hour("ts") * 60 + F.minute("ts"), 1320, 360).alias("inside")))
 _FLIPS = "SELECT user_id, ts, event_id, CASE WHEN value >= 60 THEN TRUE WHEN value < 40 THEN FALSE END AS flip FROM events"
-query("hysteresis", f"WITH f AS ({_FLIPS}), s AS (SELECT user_id, ts, event_id, coalesce(last_value(flip IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS state FROM f) SELECT user_id, string_agg(CASE WHEN state THEN '1' ELSE '0' END, '' ORDER BY ts, event_id) AS states FROM s GROUP BY user_id")(lambda spark, d: table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v")).select("user_id", F.array_join(F.transform(S.hysteresis(F.transform("v", lambda x: x["value"]), 60.0, 40.0), lambda on: F.when(on, "1").otherwise("0")), "").alias("states")))
+query("hysteresis", f"WITH f AS ({_FLIPS}) SELECT user_id, event_id, coalesce(last_value(flip IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS running FROM f")(
+    lambda spark, d: table(spark, d, "events").select("user_id", "event_id", S.hysteresis(F.col("value"), 60.0, 40.0, Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("running"))
+)
 _PULLS = [(1, "pulling", 50, 200), (2, "verifying", None, None), (3, "pulling", 5, 0)]
 query("pull_progress", "SELECT id, CASE WHEN total > 0 THEN status || ' ' || (100 * done // total) || '%' ELSE status END AS line FROM " + values(_PULLS, "id", "status", "done", "total"))(lambda spark, d: inline(spark, _PULLS, "id int, status string, done long, total long").select("id", S.progress_line(F.col("status"), F.col("done"), F.col("total")).alias("line")))
 query("src_lockfile", "SELECT unnest([5, 7, 9]) AS book_id")(lambda spark, d: inline(spark, [('{"ids": [5, 7, 9]}',)], "value string").select(F.explode(F.from_json("value", "ids array<int>")["ids"]).alias("book_id")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import SharedTable
 
 #: Pre-tokens that the driver foretells with, at most; of up to so many bytes each, and together.
-HEAD_WORDS, HEAD_LONGEST, HEAD_BYTES = 1_000_000, 64, 8 << 20
+HEAD_WORDS, HEAD_LONGEST, HEAD_BYTES = 500_000, 64, 4 << 20
 #: Merges foretold at once: at first and at most; merges after which pre-tokens are written anew.
 FIRST, MOST, REWRITE = 32, 1024, 1536
 #: Bytes of pre-tokens in a partition, at most and (unless there are fewer cores) at least.
@@ -296,6 +296,19 @@ def _replayed(exact: Counts, foretold: list[int], changes: pa.Table, new: int) -
     return taken
 
 
+def _head(words: DataFrame, most: int) -> DataFrame:
+    """The most frequent pre-tokens, whole sixteenths of an octave of frequency, within the bounds."""
+    short = words.where(F.size("ids") <= HEAD_LONGEST).withColumn("level", F.floor(F.log2("freq") * 16))
+    levels = short.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("bytes")).collect()
+    lowest, n, size = None, 0, 0
+    for row in sorted(levels, reverse=True):
+        n, size = n + row.n, size + row.bytes
+        if n > most or size > HEAD_BYTES:
+            break
+        lowest = row.level
+    return short.where(F.lit(False) if lowest is None else F.col("level") >= lowest).select("ids", "freq")
+
+
 def learn_merges(words: DataFrame, merges: int, head_words: int = HEAD_WORDS) -> list[tuple[int, int]]:
     """The first ``merges`` merges over rows (ids, freq) of distinct pre-tokens, or as many as there are while a
     pair occurs twice.
@@ -310,10 +323,7 @@ def learn_merges(words: DataFrame, merges: int, head_words: int = HEAD_WORDS) ->
     pairs = F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids") - 1).alias("b"))
     byte_pairs = table.read().select("freq", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"))
     exact = Counts({code(r.a, r.b): r.n for r in byte_pairs.collect()})
-    most = table.read().where(F.size("ids") <= HEAD_LONGEST).orderBy(F.desc("freq"), "ids").limit(head_words)
-    ids, lengths, weights = _lists(iter(most.toArrow().to_batches()))
-    kept = int(np.searchsorted(np.cumsum(lengths), HEAD_BYTES, "right"))
-    head = ids[: lengths[:kept].sum()], lengths[:kept], weights[:kept]
+    head = _lists(iter(_head(table.read(), head_words).toArrow().to_batches()))
     out: list[int] = []
     base, ahead = 0, FIRST
     while len(out) < merges:

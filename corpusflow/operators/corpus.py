@@ -68,10 +68,11 @@ def held_out_split(df: DataFrame, keys: list[str], text: str = "text", per_mille
 
     Characters are summed by source and the order's first three hex digits; that names the one bucket
     in which a source's cut lies.  Only this bucket's rows, a 4096th, are sorted; no other row moves.
-    The input is read three times, so Spark keeps it (in memory, then on disk, with its lineage).
+    Nothing is kept in between: the sums come from a scan of their own, and the cuts, a row for each source,
+    are joined to the other.
     """
     n = F.length(text).cast("long")
-    marked = df.persist().withColumn("_h", seeded(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
+    marked = df.withColumn("_h", seeded(seed, *keys)).withColumn("_b", F.substring("_h", 1, 3))
     sums = marked.groupBy(F.col(source).alias("_s"), "_b").agg(F.sum(n).alias("_n"))
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("_s")))

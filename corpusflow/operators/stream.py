@@ -17,22 +17,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .state import ensure_checkpoint_dir
+from .tokenizer import Tokenizer, encode
 from .windows import check_length
 
 
 class TokenStream:
-    """All rows' ids in the order of ``order`` (then of the ids' hash), each followed by the ids ``after``.
+    """All rows' ids in the order of ``order`` (then of a hash of what the row holds), each followed by the ids
+    ``after``.  With a tokenizer, texts are ordered first and encoded where they lie, so ids aren't shuffled
+    and nothing is encoded twice.
 
-    A null array is empty; rows that repeat are in the stream as often."""
+    A null array or text is empty; rows that repeat are in the stream as often."""
 
-    def __init__(self, df: DataFrame, order: list[str], ids: str = "ids", after: tuple[int, ...] = ()) -> None:
+    def __init__(self, df: DataFrame, order: list[str], ids: str = "ids", after: tuple[int, ...] = (), tokenizer: Tokenizer | None = None, text: str = "text") -> None:
         spark = df.sparkSession
         ensure_checkpoint_dir(spark)
-        own = F.concat(F.coalesce(F.col(ids), F.array().cast("array<int>")).cast("array<int>"), F.array(*map(F.lit, after)).cast("array<int>"))
         keys = [f"_k{k}" for k in range(len(order))]
-        rows = df.select(*(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)), own.alias("ids")).withColumn("_h", F.xxhash64("ids"))
+        held = F.coalesce(F.col(text), F.lit("")).alias("text") if tokenizer is not None else F.coalesce(F.col(ids), F.array().cast("array<int>")).cast("array<int>").alias("ids")
+        rows = df.select(*(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)), held)
+        rows = rows.withColumn("_h", F.xxhash64("text" if tokenizer is not None else "ids"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = rows.repartitionByRange(parts, *keys, "_h").sortWithinPartitions(*keys, "_h").select("ids")
+        ordered = rows.repartitionByRange(parts, *keys, "_h").sortWithinPartitions(*keys, "_h")
+        if tokenizer is not None:
+            ordered = encode(ordered.select("text"), tokenizer)
+        ordered = ordered.select(F.concat("ids", F.array(*map(F.lit, after)).cast("array<int>")).alias("ids"))
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, at = TaskContext.get().partitionId(), 0

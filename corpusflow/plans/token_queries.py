@@ -100,7 +100,7 @@ _FLAT = f"""{_IDS}, t AS (SELECT row_number() OVER (ORDER BY doc_id, j) - 1 AS p
 
 def _stream(spark, d) -> TokenStream:
     """All documents by id, each closed by the end-of-text token."""
-    return TokenStream(_encoded(spark, d), ["doc_id"], after=(_tokenizer().specials[K.END_OF_TEXT],))
+    return TokenStream(docs(spark, d), ["doc_id"], after=(_tokenizer().specials[K.END_OF_TEXT],), tokenizer=_tokenizer())
 
 
 def _from_file(spark, d, read):

@@ -84,6 +84,16 @@ def test_places_and_windows_are_those_of_the_concatenation(spark, length, tmp_pa
     assert sorted(map(tuple, read_token_windows(spark, f"file://{path}", length, readBytes=4 * length).collect())) == want
 
 
+def test_texts_are_encoded_where_they_lie(spark):
+    tokenizer = K.published_tokenizer(PATH, 300)
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)] + [(None, "none"), (3, "other")], "doc_id long, text string").repartition(3)
+    one = S.TokenStream(rows, ["doc_id"], after=(999,), tokenizer=tokenizer)
+    ids = {tuple(r.ids): r.text or "" for r in K.encode(rows, tokenizer).select("text", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).collect()}
+    got = [tuple(r.ids) for r in sorted(one.rows().collect(), key=lambda r: r.start)]
+    assert [ids[g[:-1]] for g in got][:3] == ["none", TEXTS[0], TEXTS[1]] and sorted(ids[g[:-1]] for g in got) == sorted([t or "" for t in TEXTS] + ["none", "other"])
+    assert all(g[-1] == 999 for g in got)
+
+
 def test_short_streams_and_broken_writes(spark, tmp_path):
     _, df = ids_table(spark, 1)
     with pytest.raises(ValueError):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.text import Sql
 from ..operators import corpus as C
+from ..operators import leakage as L
 from ..operators.sampling import stream_sample
 from ..operators.shared import drop_place, new_place
 from ..operators.state import ensure_checkpoint_dir
@@ -65,6 +66,20 @@ _LEAKS = {"licence_lines": "(?i)licen[sc]ed? under", "entities": "&[a-z]+;", "ma
 query("leak_scan", "SELECT source, " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, {Sql.quoted(p)}))) AS BIGINT) AS {n}" for n, p in _LEAKS.items()) + " FROM documents GROUP BY source")(
     lambda spark, d: docs(spark, d).groupBy("source").agg(*(F.sum(F.regexp_count("text", F.lit(p))).alias(n) for n, p in _LEAKS.items()))
 )
+_DISPATCHED = SQL["clean_dispatch"]
+_LITERALS = " || chr(0) || ".join("'" + w.replace("'", "''") + "'" for w in L.boilerplate())
+
+
+def literal_scan(spark, d):
+    """Every phrase and entity of the list, by source, before cleaning and after it."""
+    marked = docs(spark, d).select("source", F.expr(_MARKS).alias("raw"), F.expr(_MARKS).alias("cleaned"), F.expr(_DISPATCH).alias("cleaner"))
+    return L.literal_counts(T.clean_by(marked, "cleaner", "cleaned"), L.boilerplate(), ["raw", "cleaned"], ["source"])
+
+
+_HITS = "CAST(sum((length({t}) - length(replace({t}, literal, ''))) // length(literal)) AS BIGINT) AS n_{t}"
+query("leak_scan_literals", f"""WITH k AS ({_DISPATCHED}), b AS (SELECT source, raw, k.text AS cleaned FROM (SELECT doc_id, source, {_MARKS} AS raw FROM documents) JOIN k USING (doc_id)),
+w AS (SELECT unnest(string_split({_LITERALS}, chr(0))) AS literal)
+SELECT source, literal, {_HITS.format(t='raw')}, {_HITS.format(t='cleaned')} FROM b JOIN w ON contains(raw, literal) OR contains(cleaned, literal) GROUP BY source, literal""")(literal_scan)
 
 # Building the corpus.
 _CLEAN = f"c AS (SELECT doc_id, source, {Sql.generic('text')} AS text FROM documents)"

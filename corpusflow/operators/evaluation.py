@@ -137,11 +137,12 @@ def status(log: DataFrame, goal_steps: int, tokens_per_step: int = 8192) -> Data
 def throughput(log: DataFrame, goal_tokens: int, window: int = 10, block: int = 10_000) -> DataFrame:
     """Tokens a second of each window of steps, and the seconds left at that speed.
 
-    Windows are looked up side by side in blocks; a block's first one follows the last of the block before."""
+    Windows are looked up side by side in blocks; a block's first one follows the last of the block before.
+    The blocks' rows go out as a broadcast only where Spark finds them small."""
     rows = log.groupBy(F.floor((F.col("step") - 1) / window).alias("window")).agg(F.max("step").alias("step"), F.max("tokens").alias("tokens"), F.max("elapsed_seconds").alias("elapsed"))
     rows = rows.withColumn("_b", F.floor(F.col("window") / block)).withColumn("_now", F.struct("tokens", "elapsed"))
     lasts = rows.groupBy("_b").agg(F.max_by("_now", "window").alias("_last")).select("_b", F.lag("_last").over(Window.orderBy("_b")).alias("_last"))
-    rows = rows.join(F.broadcast(lasts), "_b").withColumn("_last", F.coalesce(F.lag("_now").over(Window.partitionBy("_b").orderBy("window")), "_last"))
+    rows = rows.join(lasts, "_b").withColumn("_last", F.coalesce(F.lag("_now").over(Window.partitionBy("_b").orderBy("window")), "_last"))
     speed = F.try_divide(F.col("tokens") - F.coalesce("_last.tokens", F.lit(0)), F.col("elapsed") - F.coalesce("_last.elapsed", F.lit(0.0)))
     return rows.withColumn("tokens_per_second", speed).withColumn("eta_seconds", F.try_divide(F.lit(goal_tokens) - F.col("tokens"), "tokens_per_second")).drop("_b", "_now", "_last")
 
@@ -149,12 +150,13 @@ def throughput(log: DataFrame, goal_tokens: int, window: int = 10, block: int =
 def best_checkpoints(log: DataFrame, block: int = 100_000) -> DataFrame:
     """Steps at which the validation loss fell below all before.
 
-    Blocks of steps are looked at side by side, each with the least loss of all blocks before it."""
+    Blocks of steps are looked at side by side, each with the least loss of all blocks before it.
+    The blocks' rows go out as a broadcast only where Spark finds them small."""
     points = curve_points(log).withColumn("_k", F.floor(F.col("step") / block))
     past = Window.rowsBetween(Window.unboundedPreceding, -1)
     least = points.groupBy("_k").agg(F.min("val_loss").alias("_m")).select("_k", F.min("_m").over(past.orderBy("_k")).alias("_m"))
     before = F.least("_m", F.min("val_loss").over(past.partitionBy("_k").orderBy("step")))
-    return points.join(F.broadcast(least), "_k").withColumn("_b", before).where(F.col("_b").isNull() | (F.col("val_loss") < F.col("_b"))).select("step", "val_loss")
+    return points.join(least, "_k").withColumn("_b", before).where(F.col("_b").isNull() | (F.col("val_loss") < F.col("_b"))).select("step", "val_loss")
 
 
 def best_finetune(rows: DataFrame) -> DataFrame:

@@ -197,6 +197,19 @@ def test_pipeline_stages(spark, planted):
     assert {r.doc_id for r in pieces} == cut.keys()
 
 
+def test_pipeline_cuts_repeated_passages_of_over_fifty_words(spark):
+    """They are shorter than the 400 bytes of op5."""
+    import corpus_pipeline as p
+    from tests.llm.test_text_operators import prose
+
+    shared = " ".join(prose(991, 90).split()[:52])
+    assert 200 < len(shared.encode()) < 400
+    rows = [(k, f"Q{k} {prose(600 + k, 70)} {shared} {prose(700 + k, 30)}") for k in range(3)] + [(9, prose(800, 120))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in p.repeated_passages(spark, docs, "").collect()}
+    assert all(shared not in got[k] and len(got[k]) <= len(rows[k][1]) - len(shared) for k in range(3)) and got[9] == rows[3][1]
+
+
 def test_near_copies_with_repeated_and_null_ids(spark):
     import corpus_pipeline as p
     from tests.llm.test_text_operators import prose

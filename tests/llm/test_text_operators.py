@@ -101,6 +101,25 @@ def test_repeats_against_brute_force(spark, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("length", [128, 200])
+def test_shorter_repeats_against_brute_force(spark, rows, length):
+    from corpusflow.llm import suffix_dedup
+
+    shared = prose(902, 60)
+    more = [*rows, (200, shared[:300] + prose(1, 3)), (201, "x" + shared[5 : 5 + length] + " tail"), (202, prose(2, 5) + shared[40 : 39 + length] + "zz"), (203, "xy" * 150), (204, "y" + "xy" * 110), (205, prose(3, 4) + "é" + shared[30:260])]
+    got = Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(table(spark, more), keep=("doc_id",), length=length).collect())
+    bodies = [(t or "").encode() for _, t in more]
+    grams = Counter(b[k : k + length] for b in bodies for k in range(len(b) - length + 1))
+    want = Counter()
+    for (i, _), b in zip(more, bodies, strict=True):
+        gone = np.zeros(len(b) + 1, np.int8)
+        for k in range(len(b) - length + 1):
+            if grams[b[k : k + length]] > 1:
+                gone[k : k + length] = 1
+        want[(i, int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()))] += 1
+    assert got == want
+
+
 def test_repeats_among_many_edited_copies(spark):
     """Copies with their own edits, copies of copies, and a passage that many texts share."""
     from corpusflow.llm import suffix_dedup

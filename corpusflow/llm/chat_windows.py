@@ -14,8 +14,10 @@ holds the span's target texts only, so a repeated target is masked and each targ
 Long conversations: turns are dealt by (conversation, slice of SLICE_TURNS turn numbers), spans end with their
 slice, and a slice's last turns go to the next one as well, as history; the system turn goes to every slice.
 So no task holds a whole conversation, and texts are shuffled once.  A slice with more than CROWD rows (turn
-numbers that repeat, as those of null conversations may) is dealt by turn number and hash; a crowd's spans
-have the history of their own part only.  Rows that are equal in all four columns stay together.
+numbers that repeat, as those of null conversations may) is dealt in blocks of cells: its rows are counted by turn
+number and hash, each gets its place in the slice from these sums, and a block's last turns go to the next one as
+history.  So CROWD decides who computes a window and not what is in it.  Rows that are equal in all four columns
+are counted in one task.
 
 Defined results: a null text or role is empty; null conversation ids form one conversation; a null turn comes
 before all others; rows that share a turn are turns of their own, the system's first, then by hash, role and
@@ -36,8 +38,8 @@ from .common import sized, stored
 
 #: Turn numbers of a conversation that are dealt together, and rows from which such a slice is a crowd.
 SLICE_TURNS, CROWD = 256, 8192
-#: Parts by hash of a crowd's turn number.
-CROWD_PARTS = 4096
+#: Bits of the hash by which a crowd's turn number is counted, and cells in a block of a crowd.
+CROWD_BITS, CROWD_CELLS = 12, 64
 SYSTEM = "system"
 _NO_TURN = -(1 << 62)
 _CONTEXT, _CARRIED, _OWN = 0, 1, 2
@@ -84,33 +86,98 @@ def turn_tokens(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.ceil(F.octet_length(text) / 4)).cast("long") + 2
 
 
-def _sliced(rows: DataFrame) -> DataFrame:
-    """Adds ``slice``, a struct that orders the slices of a conversation."""
-    plain = F.struct("no", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("int").alias("part"))
+def _stride(budget: int, history: int, system_tokens: Column) -> Column:
+    return F.greatest(F.lit(budget - history) - system_tokens, F.lit(max(1, budget // 4)))
+
+
+def _chars(template: Template) -> Column:
+    return F.length("head") + F.length("body") + len(template.close)
+
+
+def _crowds(rows: DataFrame) -> DataFrame | None:
+    """_conv, _no of the slices with more than CROWD rows."""
     crowds = stored(rows.groupBy("conv", "no").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(F.col("conv").alias("_conv"), F.col("no").alias("_no")), "crowds")
-    if crowds.isEmpty():
-        return rows.withColumn("slice", plain).withColumn("crowded", F.lit(False))
-    part = F.when(F.col("role") == SYSTEM, 0).otherwise(F.pmod(F.shiftrightunsigned("hash", 40), F.lit(CROWD_PARTS))).cast("int")
-    rows = rows.join(sized(crowds), F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("no") == F.col("_no")), "left")
-    rows = rows.withColumn("crowded", F.col("_no").isNotNull())
-    return rows.withColumn("slice", F.when(F.col("crowded"), F.struct("no", "turn", part.alias("part"))).otherwise(plain)).drop("_conv", "_no")
-
-
-def _contexts(rows: DataFrame) -> DataFrame:
-    """conv, slice, first, tokens, head, body for every slice of the conversations that have several: whether
-    it is the first, and the system turn, null if there is none."""
-    slices = rows.groupBy("conv", "slice").agg(F.min("turn").alias("least"))
-    several = slices.groupBy(F.col("conv").alias("_conv")).agg(F.count("*").alias("n"), F.min(F.struct("slice", "least")).alias("start")).where("n > 1").drop("n")
+    return None if crowds.isEmpty() else crowds
+
+
+def _contexts(rows: DataFrame, crowds: DataFrame | None) -> DataFrame:
+    """conv, no, first, several, tokens, head, body for every slice of the conversations that have several, or a
+    crowd: whether it is the first, whether there are more, and the system turn, null if there is none."""
+    slices = rows.groupBy("conv", "no").agg(F.min("turn").alias("least"))
+    every = slices.groupBy(F.col("conv").alias("_conv")).agg((F.count("*") > 1).alias("several"), F.min(F.struct("no", "least")).alias("start"))
+    if crowds is None:
+        every = every.where("several")
+    else:
+        crowded = sized(crowds.select(F.col("_conv").alias("_with")).distinct())
+        every = every.where("several").unionAll(every.where("NOT several").join(crowded, F.col("_conv").eqNullSafe(F.col("_with")), "left_semi"))
     same = F.col("conv").eqNullSafe(F.col("_conv"))
-    at_start = same & (F.col("slice") == F.col("start.slice")) & (F.col("turn") == F.col("start.least"))
-    systems = rows.where(F.col("role") == SYSTEM).join(several, at_start).groupBy("_conv").agg(F.min(F.struct("turn", "hash", "head", "body", "tokens")).alias("system"))
+    at_start = same & (F.col("no") == F.col("start.no")) & (F.col("turn") == F.col("start.least"))
+    systems = rows.where(F.col("role") == SYSTEM).join(every, at_start).groupBy("_conv").agg(F.min(F.struct("turn", "hash", "head", "body", "tokens")).alias("system"))
     systems = systems.withColumnRenamed("_conv", "_of")
-    found = slices.join(several, same).join(systems, F.col("conv").eqNullSafe(F.col("_of")), "left")
-    return found.select("conv", "slice", (F.col("slice") == F.col("start.slice")).alias("first"), "system.tokens", "system.head", "system.body")
+    found = slices.join(every, same).join(systems, F.col("conv").eqNullSafe(F.col("_of")), "left")
+    return found.select("conv", "no", (F.col("no") == F.col("start.no")).alias("first"), "several", "system.tokens", "system.head", "system.body")
+
+
+def _placed(rows: DataFrame, template: Template) -> DataFrame:
+    """Adds start, chars_start and place, sums over the rows before it in its slice (place counts the row
+    itself), and total, the slice's tokens: counted by turn number and hash first, then inside these bins."""
+    rows = rows.withColumns({"chars": _chars(template), "late": F.col("role") != SYSTEM, "bin": F.shiftright("hash", 64 - CROWD_BITS)})
+    key = ["conv", "no", "turn", "late", "bin"]
+    slice_ = Window.partitionBy("conv", "no")
+    before = slice_.orderBy("turn", "late", "bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("hash", "head", "body").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*key).agg(F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"), F.count("*").alias("n"))
+    past = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in key), *(past(c, before).alias(f"_before_{c}") for c in ("tokens", "chars", "n")), F.sum("tokens").over(slice_).alias("total"))
+    rows = rows.withColumns({"start": past("tokens", inside), "chars_start": past("chars", inside), "place": past(F.lit(1), inside) + 1})
+    joined = rows.join(sums, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    joined = joined.withColumns({"start": F.col("start") + F.col("_before_tokens"), "chars_start": F.col("chars_start") + F.col("_before_chars"), "place": F.col("place") + F.col("_before_n")})
+    return joined.drop("chars", "late", "bin", *(f"_{k}" for k in key), "_before_tokens", "_before_chars", "_before_n")
+
+
+def _dealt(no: Column, part: Column, kind: int, start: Column) -> Column:
+    """One place that a row goes to: a slice, or a crowd's block of one."""
+    return F.struct(F.struct(no.cast("long").alias("no"), part.cast("long").alias("part")).alias("slice"), F.lit(kind).alias("kind"), start.cast("long").alias("start"))
+
+
+def _deal(rows: DataFrame, budget: int, history: int, history_turns: int, template: Template) -> tuple[DataFrame, DataFrame]:
+    """(rows where they are needed: their own slice or block, and the next one, for whose history they may
+    count; contexts of slices and blocks).  A crowd's rows know their places, all others' are null."""
+    crowds, unknown = _crowds(rows), F.lit(None).cast("long")
+    contexts = _contexts(rows, crowds)
+    edge = F.pmod("turn", F.lit(SLICE_TURNS)) >= SLICE_TURNS - history_turns
+    following = F.lit(None)
+    if crowds is not None:
+        crowds = sized(crowds)
+        behind = crowds.select(F.col("_conv").alias("_conv2"), (F.col("_no") - 1).alias("_no2"))
+        rows = rows.join(crowds, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("no") == F.col("_no")), "left")
+        rows = rows.join(behind, F.col("conv").eqNullSafe(F.col("_conv2")) & (F.col("no") == F.col("_no2")), "left")
+        rows = rows.withColumns({"crowded": F.col("_no").isNotNull(), "following": F.when(F.col("_no2").isNotNull(), F.lit(0))}).drop("_conv", "_no", "_conv2", "_no2")
+        following = F.col("following")
+    own = _dealt(F.col("no"), F.lit(None), _OWN, unknown)
+    places = F.when(edge, F.array(own, _dealt(F.col("no") + 1, following, _CARRIED, unknown))).otherwise(F.array(own))
+    plain = rows if crowds is None else rows.where("NOT crowded").drop("crowded")
+    plain = plain.withColumns({"chars_start": unknown, "place": unknown}).select("*", F.inline(places))
+    here = contexts.withColumn("slice", _dealt(F.col("no"), F.lit(None), _CONTEXT, unknown)["slice"])
+    if crowds is None:
+        return plain, here
+    own_stride = contexts.select(F.col("conv").alias("_conv"), F.col("no").alias("_no"), _stride(budget, history, F.coalesce("tokens", F.lit(0))).alias("stride"))
+    of = F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("no") == F.col("_no"))
+    crowd = _placed(rows.where("crowded").drop("crowded"), template).join(own_stride, of).drop("_conv", "_no")
+    crowd = stored(crowd.withColumn("part", F.floor(F.floor(F.col("start") / F.col("stride")) / CROWD_CELLS)), "crowd-places")
+    ends = (F.col("part") + 1) * CROWD_CELLS * F.col("stride")
+    to_next = F.when(F.col("start") >= ends - history, _dealt(F.col("no"), F.col("part") + 1, _CARRIED, F.col("start")))
+    left = F.col("start") - F.col("total")
+    beyond = F.when(edge & (left >= -history), _dealt(F.col("no") + 1, following, _CARRIED, left))
+    crowd = crowd.withColumn("places", F.array_compact(F.array(_dealt(F.col("no"), F.col("part"), _OWN, F.col("start")), to_next, beyond)))
+    blocks = crowd.select(F.col("conv").alias("_conv"), F.col("no").alias("_no"), "part").distinct()
+    parted = contexts.join(blocks, of).withColumn("slice", _dealt(F.col("no"), F.col("part"), _CONTEXT, unknown)["slice"])
+    crowd = crowd.select(*(c for c in plain.columns if c not in ("slice", "kind", "start")), F.inline("places"))
+    return plain.unionByName(crowd), here.unionByName(parted.select(*here.columns))
 
 
 def formatted_windows(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 1024, history: int = 256, history_turns: int = 4, targets: tuple[str, ...] = ("assistant",), template: Template = Template()) -> DataFrame:
-    """One row for each window: conv_id, slice and start (their order), several (the conversation has more
+    """One row for each window: conv_id, slice (of turn numbers) and start (their order), several (the conversation has more
     slices), first_turn, last_turn, n_turns, repeated (turns in front that were there before), tokens,
     over_budget, formatted, and loss: start and length of every target, in code points of ``formatted``."""
     if not 0 <= history < budget or not 0 <= history_turns < SLICE_TURNS:
@@ -118,32 +185,30 @@ def formatted_windows(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     said = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(conv_id).alias("conv"), F.coalesce(F.col(turn).cast("long"), F.lit(_NO_TURN)).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), said.alias("said"))
     rows = rows.select("conv", "turn", "role", F.floor(F.col("turn") / SLICE_TURNS).alias("no"), F.xxhash64("role", "said").alias("hash"), turn_tokens(F.col("said")).alias("tokens"), template.head(F.col("role")).alias("head"), template.escaped(F.col("said")).alias("body"))
-    rows = _sliced(rows)
-
-    own = F.struct("slice", F.lit(_OWN).alias("kind"))
-    following = F.struct(F.struct((F.col("no") + 1).alias("no"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("int").alias("part")).alias("slice"), F.lit(_CARRIED).alias("kind"))
-    edge = ~F.col("crowded") & (F.pmod("turn", F.lit(SLICE_TURNS)) >= SLICE_TURNS - history_turns)
-    shared = ["turn", "hash", "tokens", "head", "body"]
+    rows, contexts = _deal(rows, budget, history, history_turns, template)
     named = [F.col("role").isin(*targets).alias("target"), (F.col("role") == SYSTEM).alias("system")]
-    dealt = rows.select("conv", *shared, *named, F.inline(F.when(edge, F.array(own, following)).otherwise(F.array(own)))).withColumn("first", F.lit(None).cast("boolean"))
-    contexts = _contexts(rows).withColumns({"kind": F.lit(_CONTEXT), "turn": F.lit(None).cast("long"), "hash": F.lit(0).cast("long"), "target": F.lit(False), "system": F.lit(False)})
-    return _windows(dealt.unionByName(contexts), budget, history, history_turns, template).withColumnRenamed("conv", conv_id)
+    unknown = F.lit(None).cast("long")
+    rows = rows.select("conv", "slice", "kind", "turn", "hash", "tokens", "head", "body", *named, "start", "chars_start", "place").withColumns({"first": F.lit(None).cast("boolean"), "several": F.lit(None).cast("boolean")})
+    contexts = contexts.select("conv", "slice", "first", "several", "tokens", "head", "body").withColumns({"kind": F.lit(_CONTEXT), "turn": unknown, "hash": F.lit(0).cast("long"), "target": F.lit(False), "system": F.lit(False), "start": unknown, "chars_start": unknown, "place": unknown})
+    return _windows(rows.unionByName(contexts), budget, history, history_turns, template).withColumnRenamed("conv", conv_id)
 
 
 def _windows(dealt: DataFrame, budget: int, history: int, history_turns: int, template: Template) -> DataFrame:
-    """Everything here is by (conv, slice): one shuffle, however many windows and sums."""
+    """Everything here is by (conv, slice or block): one shuffle, however many windows and sums."""
     group = Window.partitionBy("conv", "slice")
     ordered = group.orderBy("kind", "turn", F.col("system").desc(), "hash", "head", "body")
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own, turns = F.col("kind") == _OWN, F.col("kind") >= _CARRIED
-    chars = F.length("head") + F.length("body") + len(template.close)
-    t = dealt.withColumns({"end": F.sum(F.when(turns, F.col("tokens"))).over(running), "chars_end": F.sum(F.when(own, chars)).over(running), "place": F.sum(F.when(own, 1)).over(running)})
-    t = t.withColumns({"start": F.col("end") - F.col("tokens"), "chars_start": F.col("chars_end") - chars})
-    t = t.withColumns({"carried": F.coalesce(F.sum(F.when(F.col("kind") == _CARRIED, F.col("tokens"))).over(group), F.lit(0)), "several": F.max(F.when(F.col("kind") == _CONTEXT, True).otherwise(False)).over(group), "first": F.coalesce(F.max("first").over(group), F.lit(True))})
+    chars = _chars(template)
+    t = dealt.withColumns({"run": F.sum(F.when(turns, F.col("tokens"))).over(running), "chars_run": F.sum(F.when(own, chars)).over(running), "place": F.coalesce("place", F.sum(F.when(own, 1)).over(running))})
+    t = t.withColumns({"carried": F.coalesce(F.sum(F.when(F.col("kind") == _CARRIED, F.col("tokens"))).over(group), F.lit(0)), "several": F.coalesce(F.max("several").over(group), F.lit(False)), "first": F.coalesce(F.max("first").over(group), F.lit(True))})
+    # Places count from the slice's first own turn; what is carried lies before it.
+    t = t.withColumns({"start": F.coalesce("start", F.col("run") - F.col("tokens") - F.col("carried")), "chars_start": F.coalesce("chars_start", F.col("chars_run") - chars)})
+    t = t.withColumn("end", F.col("start") + F.col("tokens"))
     t = t.withColumn("is_system", own & F.col("system") & (F.col("place") == 1) & F.col("first"))
     t = t.withColumn("system_tokens", F.coalesce(F.max(F.when(F.col("is_system") | (F.col("kind") == _CONTEXT), F.col("tokens"))).over(group), F.lit(0)))
-    t = t.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(max(1, budget // 4))))
-    t = t.withColumn("cell", F.when(own, F.floor((F.col("start") - F.col("carried")) / F.col("stride"))))
+    t = t.withColumn("stride", _stride(budget, history, F.col("system_tokens")))
+    t = t.withColumn("cell", F.when(own, F.floor(F.col("start") / F.col("stride"))))
     cell = Window.partitionBy("conv", "slice", "cell")
     t = t.withColumns({"cell_start": F.min("start").over(cell), "cell_end": F.max("end").over(cell)})
     alone = (F.col("cell_end") - F.col("cell_start") > F.col("stride")) & (F.col("end") == F.col("cell_end"))
@@ -167,7 +232,7 @@ def _windows(dealt: DataFrame, budget: int, history: int, history_turns: int, te
     loss = F.transform(F.filter("own", lambda x: x["target"]), lambda x: F.struct((shift + x["chars_start"] + F.length(x["head"])).cast("long").alias("start"), F.length(x["body"]).cast("long").alias("length")))
     tokens = F.col("own_tokens") + F.aggregate("context", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
     known = lambda c: F.when(F.col(c) != _NO_TURN, F.col(c)).alias(c)
-    return spans.select("conv", "slice", F.col("span").alias("start"), "several", known("first_turn"), known("last_turn"), F.size("own").alias("n_turns"), F.size("context").alias("repeated"), tokens.alias("tokens"), (tokens > budget).alias("over_budget"), F.concat("front", whole(F.col("own"))).alias("formatted"), loss.alias("loss"))
+    return spans.select("conv", F.col("slice.no").alias("slice"), F.col("span").alias("start"), "several", known("first_turn"), known("last_turn"), F.size("own").alias("n_turns"), F.size("context").alias("repeated"), tokens.alias("tokens"), (tokens > budget).alias("over_budget"), F.concat("front", whole(F.col("own"))).alias("formatted"), loss.alias("loss"))
 
 
 def conversations_read_back(windows: DataFrame, conv_id: str = "conv_id", template: Template = Template()) -> DataFrame:

@@ -117,6 +117,26 @@ def test_crowded_and_repeated_turns(spark, monkeypatch):
     assert crowded[12] == plain[12] and plain[12][0] == 3 and plain[12][1] == hashlib.sha256(b"system\nsys\nassistant\nsame\nassistant\nsame\n").hexdigest()
 
 
+@pytest.mark.parametrize("budget, history, history_turns", [(1024, 256, 4), (64, 40, 2), (20, 15, 4)])
+def test_windows_of_a_crowd_are_those_of_its_slice(spark, monkeypatch, budget, history, history_turns):
+    """How many rows make a crowd decides nothing: spans, history and masks are the same."""
+    r = random.Random(5)
+    many = [(None, r.choice([None, 0, 254, 255, 256, 257, 600]), r.choice(["user", "assistant", "system"]), prose(k % 300, 9)) for k in range(900)]
+    rows = ROWS + REPEATED + many + [(30, 253 + k // 60, "assistant" if k % 3 else "user", prose(k, 5)) for k in range(400)]
+    names = ["conv_id", "slice", "start", "several", "first_turn", "last_turn", "n_turns", "repeated", "tokens", "over_budget", "formatted", "loss"]
+
+    def made():
+        got = C.formatted_windows(table(spark, rows), budget=budget, history=history, history_turns=history_turns)
+        assert got.columns == names
+        return sorted(map(repr, got.collect()))
+
+    plain = made()
+    for crowd in (30, 0):
+        monkeypatch.setattr(C, "CROWD", crowd)
+        monkeypatch.setattr(C, "CROWD_CELLS", 64 if crowd else 8)
+        assert made() == plain
+
+
 def test_templates(spark):
     other = C.Template("[T]", "|:>", "[/T]", "^")
     got = C.conversations_read_back(C.formatted_windows(table(spark, ROWS + [(20, 0, "[T]", "^|:>^^[/T]")]), template=other), template=other).collect()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import SEPARATOR
+from .shared import SharedTable
 from .state import ensure_checkpoint_dir
 
 #: Windows are found among so many bytes of keys by broadcast; beyond it by a shuffled join.
@@ -52,13 +53,16 @@ def stream_sample(df: DataFrame, order: list[str], budget: int, windows: int = 4
 
     From each of ``windows`` evenly spaced places the rest of the line is dropped, and budget / windows
     characters are read on, over rows and to the stream's end at most.  A stream within the budget is one window
-    that holds all of it.  Null texts are empty; rows that share an order are ordered by the text's hash."""
+    that holds all of it.  Null texts are empty; rows that share an order are ordered by the text's hash.
+
+    The rows are written to the shared folder once: their places and two looks at the texts read them."""
     if not separator.endswith("\n"):
         raise ValueError("the separator must end a line")
     gap = len(separator)
     names = [f"_k{k}" for k in range(len(order))]
     keys = [*names, "_h"]
     rows = df.select(*(F.col(c).alias(k) for c, k in zip(order, names, strict=True)), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    rows = SharedTable(rows, "sampled").read()
     placed, total = _placed(rows.select(*keys, (F.length("_text").cast("long") + gap).alias("_size")), keys)
     total = max(0, total - gap)  # nothing stands behind the last text
     each = budget // windows

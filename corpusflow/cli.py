@@ -35,7 +35,7 @@ def build(spark, tables: str, out: str) -> dict:
         docs = docs.withColumn("cleaner", F.lit("generic"))
     cleaned = clean_by(docs.select("doc_id", "source", "text", "cleaner"), "cleaner", "text").drop("cleaner")
     keys = ["doc_id", "chunk_idx"]
-    parts = C.held_out_split(C.chunks(cleaned.where(C.long_enough(F.col("text")))), keys, per_mille=round(1000 * C.HELD_OUT))
+    parts = C.held_out_split(C.chunks(cleaned, shortest=C.MIN_CHARS), keys, per_mille=round(1000 * C.HELD_OUT))
     parts.write.mode("overwrite").partitionBy("split").parquet(f"{out}/chunks")
     spark.catalog.clearCache()
     made = spark.read.parquet(f"{out}/chunks")

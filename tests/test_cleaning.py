@@ -68,6 +68,47 @@ def test_held_out_split_is_a_prefix_of_the_seeded_order(spark):
             before += n
 
 
+def test_split_digests_keep_texts_off_the_driver(spark, monkeypatch, tmp_path):
+    """Texts go from task to files to the one task that hashes them; rows of many partitions, a null, a split of one."""
+    import hashlib
+
+    from pyspark.sql import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    for way in (DataFrame, type(spark.range(1))):
+        monkeypatch.setattr(way, "toLocalIterator", refuse)
+    rows = [(i * 7919 % 1000, ("train", "val")[i % 10 == 3], None if i == 5 else f"é{i}\n" * (i % 17)) for i in range(1000)] + [(0, "one", "😀")]
+    df = spark.createDataFrame(rows, "o long, split string, text string").repartition(5)
+    want = {}
+    for split in ("train", "val", "one"):
+        body = C.SEPARATOR.join(t for _, s, t in sorted((r for r in rows if r[2] is not None)) if s == split)
+        want[split] = {"characters": len(body), "sha256": hashlib.sha256(body.encode()).hexdigest()}
+    assert C.digest_splits(df, ["o"]) == want
+    assert C.write_split(df.where("split = 'val'"), ["o"], tmp_path / "v.txt") == want["val"]
+    assert hashlib.sha256((tmp_path / "v.txt").read_bytes()).hexdigest() == want["val"]["sha256"]
+    assert C.write_split(df.where("split = 'no'"), ["o"], tmp_path / "e.txt")["characters"] == 0 and (tmp_path / "e.txt").read_bytes() == b""
+
+
+def test_texts_are_computed_once_for_a_split_and_a_sample(spark):
+    """Chunks are written once and read again; before, every use of them cleaned and cut the texts anew."""
+    from corpusflow.operators.sampling import stream_sample
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        calls.add(1)
+        return text
+
+    df = spark.createDataFrame([(i, "s", f"line {i}\n" * 40) for i in range(50)], "doc_id long, source string, text string")
+    made = C.chunks(df.withColumn("text", seen("text")), shortest=10, most=200, least=10, separator="\n")
+    split = C.held_out_split(made, ["doc_id", "chunk_idx"], per_mille=50)
+    assert {r.split for r in split.unionByName(split).select("split").distinct().collect()} == {"train", "val"} and calls.value == 50
+    assert stream_sample(made, ["doc_id", "chunk_idx"], 4000).count() >= 40 and calls.value == 100
+
+
 def test_written_split_agrees_with_its_hash(spark, tmp_path):
     import hashlib
 

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .state import ensure_checkpoint_dir
 from .tokenizer import Tokenizer, encode
 from .windows import check_length
@@ -31,6 +32,7 @@ class TokenStream:
     def __init__(self, df: DataFrame, order: list[str], ids: str = "ids", after: tuple[int, ...] = (), tokenizer: Tokenizer | None = None, text: str = "text") -> None:
         spark = df.sparkSession
         ensure_checkpoint_dir(spark)
+        bounded_batches(spark)
         keys = [f"_k{k}" for k in range(len(order))]
         held = F.coalesce(F.col(text), F.lit("")).alias("text") if tokenizer is not None else F.coalesce(F.col(ids), F.array().cast("array<int>")).cast("array<int>").alias("ids")
         rows = df.select(*(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)), held)

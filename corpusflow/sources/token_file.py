@@ -25,6 +25,8 @@ from ..operators.windows import check_length
 BYTES = 2
 #: Bytes of the file that a task reads at least, and windows in a batch.
 READ_BYTES, BATCH_WINDOWS = 16 << 20, 1024
+#: Ids of windows anywhere in a file that are cut at a time.
+CUT_IDS = 1 << 19
 
 
 class TokenFile(DataSource):
@@ -136,7 +138,8 @@ def windows_at(offsets: DataFrame, path: str, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.memmap(where, "<u2", "r")
-        for batch in batches:
+        each = max(1, CUT_IDS // (length + 1))
+        for batch in (b.slice(k, each) for b in batches for k in range(0, len(b), each)):
             at = batch.column(1).to_numpy()[:, None] + np.arange(length + 1)
             ids = np.asarray(tokens[at], np.int32)
             edges = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * length)

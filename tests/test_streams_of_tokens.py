@@ -53,6 +53,37 @@ def test_a_forgetful_worker_encodes_the_same(spark, monkeypatch):
     assert sorted(map(tuple, K.encode(rows, tokenizer).collect())) == want
 
 
+def test_remembered_pieces_are_bounded_with_what_python_needs(monkeypatch):
+    """Short pieces cost far more than their bytes; before, 32 MB of them took over a GB of a worker."""
+    import sys
+
+    monkeypatch.setattr(K, "REMEMBERED", 1 << 20)
+    tokenizer = K.published_tokenizer(PATH, 500)
+    known = K._Dictionary(tokenizer, [])
+    for k in range(40):
+        pieces = [f"{k}{n}é" for n in range(500)]
+        assert [x.tolist() for x in known.ids(pieces)] == [tokenizer.encode_piece(p.encode()) for p in pieces]
+        assert sum(sys.getsizeof(p) + sys.getsizeof(x) + 100 for p, x in known.known.items()) < 1.2 * (1 << 20) and all(x.base is None for x in known.known.values())
+
+
+def test_workers_get_bounded_batches(spark):
+    """Long rows can't fill a worker: 10,000 of them were a batch before."""
+    sizes = spark.sparkContext.accumulator(0)
+    tokenizer = K.published_tokenizer(PATH, 50)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = K.encode(spark.range(6000).selectExpr("id", "concat('text ', id) AS text").coalesce(1), tokenizer)
+
+    def count(batches):
+        for batch in batches:
+            sizes.add(int(len(batch) > 2000))
+            yield batch
+
+    assert ids.select("id").mapInArrow(count, "id long").count() == 6000 and sizes.value == 0
+    back = K.decode(ids.unionByName(spark.createDataFrame([(-1, "", None), (-2, "", []), (-3, "", [None, 104, 99_999, 105, -5])], "id long, text string, ids array<int>")), tokenizer.vocabulary(spark), ["id"])
+    got = {r.id: r.text for r in back.collect()}
+    assert all(got[k] == f"text {k}" for k in range(6000)) and (got[-1], got[-2], got[-3]) == ("", "", "hi")
+
+
 def test_a_long_piece_takes_no_quadratic_time():
     tokenizer = K.published_tokenizer(PATH)
     piece = bytes(random.Random(1).choices(b"etaoin shrdlu", k=400_000))

@@ -125,3 +125,18 @@ def test_chat_segments_join_to_the_rendering_and_parse_back(spark):
     assert (reply.thinking, reply.content, [tuple(c) for c in reply.tool_calls]) == ("sum it", "", [("calculate", '{"expression": "2+2"}')])
     started = spark.createDataFrame([("still thinking",)], "t string").select(H.parse_response(F.col("t"), True).alias("p")).first().p
     assert (started.thinking, started.content) == ("still thinking", "")
+
+
+def test_piece_totals_shuffle_no_pieces_of_single_keys(spark):
+    from collections import defaultdict
+
+    rows = [(1, "a b a b"), (2, ""), (3, None), (4, "x 12 12"), (4, "x y"), (None, "one two"), (None, "two"), (5, "\n  é é")]
+    df = spark.createDataFrame(rows, "k long, text string")
+    each = defaultdict(list)
+    for r in df.select("k", F.explode(K.pretokenize(F.col("text"))).alias("p")).collect():
+        each[r.k].append(r.p)
+    got = K.piece_totals(df, "k")
+    assert {r.k: (r.pieces, r.characters, r.kinds) for r in got.collect()} == {k: (len(p), sum(map(len, p)), len(set(p))) for k, p in each.items()}
+    single = K.piece_totals(df.where("k = 1"), "k")
+    metrics = single._jdf.queryExecution().optimizedPlan().toString()
+    assert single.count() == 1 and "array_distinct" in metrics

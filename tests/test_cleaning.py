@@ -117,3 +117,31 @@ def test_written_split_agrees_with_its_hash(spark, tmp_path):
     body = "é" + C.SEPARATOR + "b\r"
     assert (tmp_path / "x.txt").read_bytes() == body.encode()
     assert made == {"characters": len(body), "sha256": hashlib.sha256(body.encode()).hexdigest()} == C.ordered_text(df, "o").first().asDict()
+
+
+def test_untagged_words_by_hand(spark):
+    """Every word's last tag, quotes that are words, blanks and lines, over odd marks; no function runs for each word."""
+    import random
+    import re
+
+    from corpusflow.functions import text as T
+
+    blanks = [" ", "  ", "\t", "\n", "\n\n", " \n ", "\r\n", "\u2028", "\xa0", "\x85", ""]
+    words = ["a", "``", "''", "``/``", "''/''", "/x", "//x", "a/b/c", "a/", "/", ".", "./.", "(/(", ")/)", "``x", "x''", 3 * chr(39), "\x01", "é/nn", "[", "{ }", "%", "😀/😀"]
+    space = T.SPACE.replace("\\x{", "\\u").replace("}", "")
+    r = random.Random(4)
+    texts = [None, "", " ", "\n", *("".join(r.choice(words) + r.choice(blanks) for _ in range(r.randint(1, 25))) for _ in range(600))]
+
+    def by_hand(text):
+        lines = []
+        for line in text.split("\n"):
+            bare = [re.sub(rf"/[^/{space}]+\Z", "", w) for w in re.split(rf"[{space}]+", line)]
+            lines.append(" ".join({"``": "\x01", "''": "\x02"}.get(w, w) for w in bare if w))
+        made = "\n".join(lines)
+        for a, b in ((rf"[{space}]*\x01[{space}]*", ' "'), (rf"[{space}]*\x02[{space}]*", '" '), (rf"[{space}]+([.,;:!?%)\]}}])", r"\1"), (rf"([(\[{{])[{space}]+", r"\1")):
+            made = re.sub(a, b, made)
+        return made
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.untag_words(F.col("t")).alias("t"))
+    assert {x.k: x.t for x in df.collect()} == {k: None if t is None else by_hand(t) for k, t in enumerate(texts)}
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()

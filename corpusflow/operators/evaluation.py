@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
+from .shared import bounded_batches
 
 # Phrases that count as declining to answer.
 REFUSALS = ("do not know", "don't know", "cannot", "can not", "not able", "no access", "not confident", "would rather not", "do not remember", "לא יודע", "אין לי", "לא יכול", "לא בטוח", "מעדיף לא")
@@ -31,52 +37,56 @@ def marker_match(marker: Column, text: Column) -> Column:
 def dominant_script(text: Column) -> Column:
     """he or en by letters; null under three of them; he only where it leads."""
     hebrew, latin = F.regexp_count(text, F.lit(r"[\x{0590}-\x{05FF}]")), F.regexp_count(text, F.lit("[A-Za-z]"))
-    return F.when(hebrew + latin < 3, F.lit(None)).when(hebrew > latin, "he").otherwise("en")
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, rf"[{SPACE}]+", -1), lambda w: w != "")
+    either = F.when(hebrew + latin < 3, F.lit(None)).when(hebrew > latin, "he").otherwise("en")
+    # Without Hebrew three letters tell, so only texts that have some are counted.
+    return F.when(text.rlike(r"[\x{0590}-\x{05FF}]"), either).when(~text.rlike("[A-Za-z](?:[^A-Za-z]*+[A-Za-z]){2}"), F.lit(None)).otherwise("en")
+
+
+def _repeats(texts: pa.Array) -> pa.Array:
+    """``degenerate`` of lower-case texts, a batch at once: words, keys and phrases are numbered, so equal
+    ones are found among integers.  Arrow's white space is ``SPACE``; a blank text counts as one word."""
+
+    def numbered(values: np.ndarray) -> np.ndarray:
+        return np.unique(values, return_inverse=True)[1]
+
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    row, coded = np.repeat(np.arange(len(lists)), size), lists.flatten().dictionary_encode()
+    word, distinct = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    keys = pc.utf8_trim(coded.dictionary, characters=".,!?;:\"'").dictionary_encode()
+    key, named = keys.indices.to_numpy()[word], pc.not_equal(keys.dictionary, "").to_numpy(zero_copy_only=False)[keys.indices.to_numpy()][word]
+    most = np.zeros(len(lists), np.int64)
+    of, count = np.unique((row * distinct + key)[named], return_counts=True)
+    np.maximum.at(most, of // max(distinct, 1), count)
+    # A row's words, pairs and phrases in turn; a number is below the batch's words, so products fit.
+    pair = numbered(numbered(row * distinct + word)[:-1] * distinct + word[1:])
+    inside = row[2:] == row[:-2]
+    _, first, count = np.unique((pair[:-1] * distinct + word[2:])[inside], return_index=True, return_counts=True)
+    thrice = np.zeros(len(lists), bool)
+    thrice[row[:-2][inside][first[count >= 3]]] = True
+    return pa.array((size >= 6) & ((most / np.maximum(size, 1) > 0.4) | thrice), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
 
 def degenerate(text: Column) -> Column:
     """Six words or more of which one makes over 40 %, or a 3- to 5-word phrase that comes three times.
 
     The first three words of a longer phrase come as often as it does, so phrases of three tell."""
-
-    def most(items: Column) -> Column:
-        """Largest count of an item: the longest run once sorted, so no pair is compared."""
-        start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-        def step(acc: Column, x: Column) -> Column:
-            run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
-            return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-        return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["best"])
-
-    def repeats(lower: Column) -> Column:
-        n = F.size(lower)
-        keys = F.filter(F.transform(lower, lambda w: F.regexp_replace(w, r"\A[.,!?;:\"']+|[.,!?;:\"']+\z", "")), lambda k: k != "")
-        # Shifted slices side by side, so a long text isn't copied for each phrase.
-        beside = F.arrays_zip(*(F.slice(lower, k + 1, F.greatest(n - 2, F.lit(0))).alias(f"w{k}") for k in range(3)))
-        phrases = F.transform(beside, lambda x: F.concat_ws(" ", x["w0"], x["w1"], x["w2"]))
-        return F.when(n < 6, F.lit(False)).otherwise((most(keys) / n > 0.4) | (most(phrases) >= 3))
-
-    # The one-element array binds the words, so the text is split once.
-    return F.transform(F.array(F.transform(words(text), F.lower)), repeats)[0]
+    return F.arrow_udf(_repeats, "boolean")(F.lower(text))
 
 
 def refuses(text: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, REFUSALS)), lambda m: F.contains(F.lower(text), m))
+    # The one-element array binds the lower-case text, so it is made once.
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, (F.contains(low, F.lit(m)) for m in REFUSALS)))
 
 
 def judged(df: DataFrame, execute=None) -> DataFrame:
     """Cases with predictions: prompt, expects_tool, expected_value, expects_refusal, relevant_if,
     answer, called, tool_result, tool_error, error.  Adds every check; null where it can't be scored."""
-    has_call, blank = F.col("called").isNotNull(), strip(F.coalesce("answer", F.lit(""))) == ""
+    bounded_batches(df.sparkSession)
     answer = F.coalesce("answer", F.lit(""))
+    has_call, blank = F.col("called").isNotNull(), ~answer.rlike(rf"[^{SPACE}]")
     low = F.lower(answer)
     wants, value = F.col("expects_tool").isNotNull(), F.col("expected_value")
-    want_script, got_script = dominant_script(F.col("prompt")), dominant_script(answer)
     engaged = (
         F.when(F.size("relevant_if") > 0, F.exists("relevant_if", lambda m: marker_match(m, low)))
         .when(F.col("expects_refusal"), refuses(answer))
@@ -92,7 +102,7 @@ def judged(df: DataFrame, execute=None) -> DataFrame:
         F.when(value.isNotNull(), mentions_number(value, answer)).alias("answer_ok"),
         F.when(F.col("expects_refusal"), refuses(answer)).alias("refusal_ok"),
         F.when(~blank | has_call, engaged).alias("relevant"),
-        F.when(want_script.isNotNull() & got_script.isNotNull(), want_script == got_script).alias("language_ok"),
+        (dominant_script(F.col("prompt")) == dominant_script(answer)).alias("language_ok"),
         F.when(~blank, ~degenerate(answer)).alias("coherent"),
     )
 

@@ -11,6 +11,7 @@ from ..functions import tools as T
 from ..functions.text import SPACE, Sql
 from ..operators import evaluation as E
 from ..operators import state as S
+from ..operators.shared import bounded_batches
 from ..sources import files as S_FILES
 from .common import literal, table, values
 
@@ -36,6 +37,7 @@ _ANSWER = "text"
 
 
 def answers(spark, d):
+    bounded_batches(spark)
     return table(spark, d, "documents").select("doc_id", F.col("text").alias("answer"))
 
 

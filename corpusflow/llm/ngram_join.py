@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, text_buffers, windows, word_spans
 from .common import Stored, arrow_limits, scratch, sized, stored, text_key
-from .components import connected_components
+from .components import joined_components
 
 HOT = 500_000
 STAR_ROUNDS = 3
@@ -348,7 +348,7 @@ def _components(df: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
     extra = stored(table.where("fresh").select("id", "class").join(classes, "class").where("id <> rep").select("id"), "equal-sets")
     shared = stored(_shared_grams(prefixes, buckets).join(sized(extra), "id", "left_anti"), "shared-grams")
 
-    links = tried = comps = None
+    tried = comps = None
     turn, last = 0, False
     while not last:
         last = turn == STAR_ROUNDS or (turn > 0 and found.isEmpty())
@@ -364,11 +364,12 @@ def _components(df: DataFrame, doc_id: str, text: str, n: int, percent: int) ->
         pairs = stored(pairs.select("u", "v"), "pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = _verified(pairs, df, names, text, n, percent).read()
-        links = found if links is None else links.unionAll(found)
-        comps = stored(connected_components(links), "components")
+        turn += 1
+        if comps is not None and found.isEmpty():
+            continue
+        comps = joined_components(comps, found)
         sizes = stored(comps.groupBy("component").agg(F.count("*").alias("size")), "component-sizes")
         comps = stored(comps.join(sized(sizes), "component"), "components")
-        turn += 1
     rows = table.select("id", "doc_id", "n_grams", "class").join(sized(classes), "class", "left").join(sized(comps), F.col("rep") == F.col("node"), "left")
     rows = stored(rows.select("doc_id", "n_grams", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "rep", "id").alias("comp")), "members")
     least = stored(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least-ids")

@@ -206,6 +206,36 @@ def test_jaccard_components_against_brute_force(spark, rows):
     assert got == jaccard_brute(more)
 
 
+def components_of(edges):
+    least = {x: x for e in edges for x in e}
+    while any(least[u] != least[v] for u, v in edges):
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    return least
+
+
+def test_components_join_by_new_links_only(spark, monkeypatch):
+    from corpusflow.llm import components
+
+    r = random.Random(5)
+    first = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(x, x + 1) for x in range(100, 112)]
+    first += [(v, u) for u, v in first[:5]] + first[:5]
+    more = [(r.randrange(120), r.randrange(120)) for _ in range(20)]
+    first, more = ([e for e in edges if e[0] != e[1]] for edges in (first, more))
+    one = components.joined_components(None, spark.createDataFrame(first, "u long, v long"))
+    assert {x.node: x.component for x in one.collect()} == components_of(first)
+    two = components.joined_components(one, spark.createDataFrame(more, "u long, v long"))
+    assert Counter((x.node, x.component) for x in two.collect()) == Counter(components_of(first + more).items())
+
+    written = []
+    real = components.Stored.__init__
+    monkeypatch.setattr(components.Stored, "__init__", lambda self, df, name, lasting=False: (written.append(name), real(self, df, name, lasting))[1])
+    stars = [(i, i % 7) for i in range(7, 90)]
+    got = components.connected_components(spark.createDataFrame(stars, "u long, v long"))
+    assert {x.node: x.component for x in got.collect()} == components_of(stars)
+    assert len(written) == 2  # the links and each node's least neighbour; no round
+
+
 def test_filters_never_lose_a_link():
     from corpusflow.llm import ngram_join as j
 
